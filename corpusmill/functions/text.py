@@ -133,10 +133,7 @@ def remove_fragments(text: Column, fragments: Column) -> Column:
 def remove_scoped(text: Column, patterns=R.NON_SYNTHESIZABLE_REGEXES) -> Column:
     """The narrower mode: each rule removes only what it matches itself."""
     for pattern in patterns:
-        text = F.when(
-            F.contains(text, F.lit(_needed_literal(pattern))),
-            F.regexp_replace(text, f"(?d){pattern}", ""),
-        ).otherwise(text)
+        text = F.regexp_replace(text, f"(?d){pattern}", "")
     return text
 
 

@@ -66,6 +66,13 @@ def rename_plan(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame
     )
 
 
+def rewrite(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """Add ``code``, the content with every planned rename applied at once."""
+    df = rename_plan(extract_names(df), seed, key)
+    df = df.withColumn("lookup", I.rename_lookup(F.col("renames")))
+    return df.withColumn("code", I.apply_renames(F.col("code"), F.col("lookup")))
+
+
 def anonymize(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """Rewrite ``content``; add ``id_count``, ``aberrant`` and ``quarantine``.
 
@@ -74,9 +81,7 @@ def anonymize(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """
     c = F.col
     kept = df.columns
-    df = rename_plan(extract_names(df), seed, key)
-    df = df.withColumn("lookup", I.rename_lookup(c("renames")))
-    df = df.withColumn("code", I.apply_renames(c("code"), c("lookup")))
+    df = rewrite(df, seed, key)
     known = I.words(R.VERILOG_KEYWORDS + R.MEANINGFUL_WORDS)
     residual = F.array_except(F.array_distinct(I.identifiers(c("code"))), known)
     residual = F.array_except(residual, c("renames")["replacement"])

@@ -1,0 +1,8 @@
+"""All registered queries, keyed by inventory item."""
+
+from __future__ import annotations
+
+from corpusmill.queries import anonymizing, cleaning, dedup, flagging
+
+MODULES = (dedup, flagging, cleaning, anonymizing)
+ALL = {name: query for module in MODULES for name, query in module.QUERIES.items()}

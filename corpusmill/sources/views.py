@@ -8,6 +8,9 @@ All views are per-row projections; nothing here shuffles.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.operators.ranking import rank_within
 
 LF = "chr(10)"
 CRLF = "chr(13) || chr(10)"
@@ -152,13 +155,18 @@ LATERAL VIEW inline(array(struct('a' AS model_id, 1 AS start),
                           struct('b' AS model_id, 11 AS start))) models
 """
 
+# A training log per user: every event is one epoch of the user's run, and
+# one step of the day it falls on.
 RUN_LOG = """
 SELECT cast(user_id AS string) AS run,
-       cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS int) AS epoch,
-       event_type,
+       event_id, ts,
+       cast(year(ts) * 1000 + dayofyear(ts) AS int) AS day,
+       CASE WHEN event_type = 'view' THEN 'validation' ELSE 'train' END AS phase,
        CASE WHEN user_id % 2 = 0 THEN 4 ELSE 8 END AS batch_size,
-       CASE WHEN floor(user_id / 2) % 2 = 0 THEN 0.00005 ELSE 0.00003 END AS learning_rate,
-       CASE WHEN floor(user_id / 4) % 2 = 0 THEN 0.01 ELSE 0.001 END AS weight_decay,
+       cast(CASE WHEN floor(user_id / 2) % 2 = 0 THEN 0.00005 ELSE 0.00003 END AS double)
+           AS learning_rate,
+       cast(CASE WHEN floor(user_id / 4) % 2 = 0 THEN 0.01 ELSE 0.001 END AS double)
+           AS weight_decay,
        CASE WHEN floor(user_id / 8) % 2 = 0 THEN 500 ELSE 1000 END AS warmup_steps,
        value AS loss,
        value / 1000 AS composite
@@ -195,7 +203,10 @@ def two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "events", RUN_LOG)
+    """Epochs numbered per run; a busy run is ranked hour by hour."""
+    rows = _view(spark, sf_dir, "events", RUN_LOG)
+    ranked = rank_within(rows, "run", F.date_trunc("hour", "ts"), "ts", "event_id")
+    return ranked.withColumn("epoch", F.col("rank").cast("int")).drop("rank")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
