@@ -9,6 +9,10 @@ from corpusmill import rules as R
 from corpusmill.functions import identifiers as I
 from corpusmill.functions.staging import evaluate_once
 
+FOUND = (
+    "code", "identifiers", "id_count", "literals", "module_names", "submodule_names",
+    "variable_names",
+)
 KINDS = {"module": "MODULE", "submodule": "SUBMODULE", "variable": "VAR"}
 
 
@@ -32,12 +36,13 @@ def extract_names(df: DataFrame, content: str = "content") -> DataFrame:
         "submodule_names",
         F.array_except(F.array_except(instances, I.words(I.RESERVED)), c("module_names")),
     )
-    return df.withColumn(
+    df = df.withColumn(
         "variable_names",
         I.renameable(
             c("identifiers"), c("literals"), c("module_names"), c("submodule_names")
         ),
     )
+    return evaluate_once(df, *FOUND)
 
 
 def rename_plan(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:

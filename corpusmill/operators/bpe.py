@@ -133,19 +133,29 @@ def _encode_words(
             F.translate(part, "".join(c for c, _ in known), "".join(code for _, code in known))
         )
     coded = word_counts.select(F.concat(*parts).alias("codes"), "freq")
-    return coded.groupBy("codes").agg(F.sum("freq").alias("freq"))
+    # Every round is computation over a small table, so spread it over all
+    # cores; a fixed count also keeps AQE from packing it into one partition.
+    cores = word_counts.sparkSession.sparkContext.defaultParallelism
+    return coded.groupBy("codes").agg(F.sum("freq").alias("freq")).repartition(cores)
 
 
 def _best_pairs(words: DataFrame, at_least: int, limit: int) -> list[tuple[str, int]]:
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length("codes") - 1), lambda i: F.col("codes").substr(i, F.lit(2))
-    )
-    rows = words.filter(F.length("codes") > 1).select(F.explode(pairs).alias("pair"), "freq")
+    places = F.explode(F.sequence(F.lit(1), F.length("codes") - 1)).alias("place")
+    long = words.filter(F.length("codes") > 1).select("codes", "freq", places)
+    rows = long.select(F.col("codes").substr(F.col("place"), F.lit(2)).alias("pair"), "freq")
     counted = rows.groupBy("pair").agg(F.sum("freq").alias("n")).filter(F.col("n") >= at_least)
     best = counted.orderBy(F.desc("n"), "pair").limit(limit).collect()
     return [(row["pair"], row["n"]) for row in best]
 
 
+def _merged(codes: Column, chosen: list[tuple[str, str]]) -> Column:
+    """Apply merges in order; as data, so that every round runs the same code."""
+    pairs = F.array(*(F.lit(pair) for pair, _ in chosen))
+    symbols = F.array(*(F.lit(code) for _, code in chosen))
+    merges = F.arrays_zip(pairs.alias("pair"), symbols.alias("code"))
+    return F.aggregate(merges, codes, lambda left, m: F.replace(left, m["pair"], m["code"]))
+
+
 def train(
     word_counts: DataFrame, profile: Profile, vocab_size: int | None = None,
     pairs_per_round: int = 64, rounds_per_checkpoint: int = 8,
@@ -153,21 +163,24 @@ def train(
     """Merge the best pair until the vocabulary is full.
 
     One round may apply several merges and still equal one merge at a time:
-    pairs are taken in rank order while they share no symbol. A new pair then
+    pairs are taken in rank order while none starts with a symbol that
+    another ends with, so their occurrences cannot overlap. A new pair then
     contains a new symbol, is at most as frequent as an existing pair that
     ranks below the ones taken, and loses every tie because new symbols have
     the highest ids. A merge whose token exists already ends its round.
     """
     size = vocab_size or profile.vocab_size
+    word_counts = word_counts.persist()
     ids, chars = _initial_ids(word_counts, profile)
     tokens = list(ids)
     merges: list[tuple[str, str]] = []
-    words = cut_lineage(_encode_words(word_counts, ids, chars, profile))
-    rounds = 0
+    words = cut_lineage(_encode_words(word_counts, ids, chars, profile)).persist()
+    word_counts.unpersist()
+    rounds, stale = 0, []
     while len(ids) < size:
-        chosen, busy = [], set()
+        chosen, lefts, rights = [], set(), set()
         for pair, _ in _best_pairs(words, max(1, profile.min_frequency), pairs_per_round):
-            if busy & set(pair) or len(ids) >= size:
+            if pair[0] in rights or pair[1] in lefts or len(ids) >= size:
                 break
             left, right = (tokens[_token_id(code)] for code in pair)
             merged = left + right.removeprefix(profile.prefix)
@@ -177,16 +190,20 @@ def train(
                 tokens.append(merged)
             merges.append((left, right))
             chosen.append((pair, _code(ids[merged])))
-            busy |= set(pair)
+            lefts.add(pair[0])
+            rights.add(pair[1])
             if known:
                 break
         if not chosen:
             break
-        codes = F.col("codes")
-        for pair, code in chosen:
-            codes = F.replace(codes, F.lit(pair), F.lit(code))
-        words = words.withColumn("codes", codes)
-        rounds += 1
+        before, rounds = words, rounds + 1
+        words = words.withColumn("codes", _merged(F.col("codes"), chosen)).persist()
         if rounds % rounds_per_checkpoint == 0:
-            words = cut_lineage(words)
+            cached, words = words, cut_lineage(words).persist()
+            cached.unpersist()
+        stale.append(before)
+        if len(stale) > 1:
+            stale.pop(0).unpersist()
+    for table in (*stale, words):
+        table.unpersist()
     return Tokenizer(profile, ids, merges)

@@ -142,7 +142,7 @@ def token_count_stats(counts: DataFrame, column: str = "n_tokens") -> DataFrame:
         F.round(F.sum(F.col(column) * F.col("n_docs")) / F.sum("n_docs"), 6).alias(
             "mean_token_count"
         ),
-        F.percentile(column, 0.5, "n_docs").alias("median_token_count"),
+        F.percentile(column, 0.5, F.col("n_docs")).alias("median_token_count"),
     )
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.tokens import MAX_LENGTH, attention_mask, pad, truncate
+from corpusmill.functions.tokens import MAX_LENGTH, attention_mask, pad, pre_tokens, truncate
 from corpusmill.operators import eda
 from corpusmill.operators import vocab as V
 from corpusmill.operators.bpe import Tokenizer
@@ -114,21 +114,23 @@ def model_inputs(
 
 
 def evaluate_tokenizer(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """Coverage, token counts, unknown rate and fragmentation in one row.
-
-    Words are whitespace words; each distinct word is pre-tokenised and
-    encoded once and weighted by its frequency.
-    """
-    words = eda.word_frequencies(df)
-    # A word keeps its identity while its pre-tokens are encoded and regrouped.
-    pieces = words.select(F.col("word").alias("doc"), "n", F.col("word").alias("content"))
-    parts = pieces.select("doc", "n", F.explode(V.pre_tokens(F.col("content"))).alias("word"))
-    dictionary = encode_words(parts, tokenizer)
-    measured = dictionary.select(
+    """Coverage, token counts, unknown rate and fragmentation in one row."""
+    dictionary = encode_words(V.pre_token_rows(df), tokenizer).select(
         "word", F.size("ids").alias("n_sub"),
         F.array_contains("tokens", tokenizer.profile.unknown).alias("unknown"),
     )
-    per_word = parts.join(measured, "word").groupBy("doc", "n").agg(
+    return evaluate_dictionary(df, dictionary)
+
+
+def evaluate_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The same from a table ``(word, n_sub, unknown)`` of all pre-tokens.
+
+    Each distinct whitespace word is taken apart once and weighted by its
+    frequency. Pieces inside whitespace words are the pre-tokens of the text.
+    """
+    words = eda.word_frequencies(df).select(F.col("word").alias("whole"), "n")
+    pieces = words.select("whole", "n", F.explode(pre_tokens(F.col("whole"))).alias("word"))
+    per_word = pieces.join(dictionary, "word").groupBy("whole", "n").agg(
         F.sum("n_sub").alias("n_sub"), F.max("unknown").alias("unknown")
     )
     n = F.col("n")
@@ -138,7 +140,11 @@ def evaluate_tokenizer(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
         F.count_if("unknown").alias("o_distinct"),
         F.coalesce(F.sum(F.when(F.col("n_sub") > 1, n)), F.lit(0)).alias("s"),
     )
-    lengths = encode_corpus(df, tokenizer).select(F.size("input_ids").alias("n_tokens"))
+    rows = V.pre_token_rows(df).join(dictionary, "word")
+    filled = rows.groupBy("doc_id").agg(F.sum("n_sub").alias("n_tokens"))
+    lengths = df.select("doc_id").join(filled, "doc_id", "left").select(
+        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")
+    )
     counts = eda.token_count_stats(lengths)
     joined = stats.withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one")
     return joined.select(

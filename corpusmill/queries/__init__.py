@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.queries import anonymizing, cleaning, dedup, flagging
+from corpusmill.queries import anonymizing, cleaning, dedup, flagging, modelling, reports, tokenizing
 
-MODULES = (dedup, flagging, cleaning, anonymizing)
+MODULES = (dedup, flagging, cleaning, anonymizing, reports, tokenizing, modelling)
 ALL = {name: query for module in MODULES for name, query in module.QUERIES.items()}
