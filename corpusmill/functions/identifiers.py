@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill import rules as R
-from corpusmill.functions.text import find_all
+from corpusmill.functions.text import contains_any, find_all
 
 RUNS = r"[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+"
 IDENTIFIERS = r"(?<![\w$])[_a-zA-Z][\w$]*"
@@ -20,8 +20,13 @@ NUMBER_TEXTS = r"'(d[0-9]+|b[01]+|o[0-7]+|h[0-9a-fA-F]+)"
 DUMMY_MODULE = "dummymodule"
 
 
-def words(items) -> Column:
-    return F.array(*(F.lit(item) for item in dict.fromkeys(items)))
+def without(names: Column, listed) -> Column:
+    """Names that are not in a fixed list, by one hash lookup each."""
+    return F.filter(names, lambda name: ~name.isin(*dict.fromkeys(listed)))
+
+
+def within(names: Column, listed) -> Column:
+    return F.filter(names, lambda name: name.isin(*dict.fromkeys(listed)))
 
 
 def strip_underscores(text: Column) -> Column:
@@ -35,7 +40,8 @@ def strip_underscores_except(text: Column, protected=R.MEANINGFUL_WORDS) -> Colu
     """
     names = "|".join(sorted(set(protected), key=len, reverse=True))
     keep = rf"(?<![\w$])((?:\w*\$)*(?:{names})(?!\w)[\w$]*)"
-    return F.regexp_replace(text, rf"{keep}|[_$]+", "$1")
+    stripped = F.regexp_replace(text, rf"{keep}|[_$]+", "$1")
+    return F.when(contains_any(text, ("_", "$")), stripped).otherwise(text)
 
 
 def module_names(text: Column) -> Column:
@@ -161,7 +167,7 @@ RESERVED = R.reserved_identifiers()
 
 def renameable(idents: Column, literals: Column, *others: Column) -> Column:
     """Distinct identifiers that are neither reserved, meaningful nor digits."""
-    names = F.array_except(F.array_distinct(idents), words(RESERVED + R.MEANINGFUL_WORDS))
+    names = without(F.array_distinct(idents), RESERVED + R.MEANINGFUL_WORDS)
     names = F.array_except(names, literals)
     for other in others:
         names = F.array_except(names, other)

@@ -8,6 +8,9 @@ which lets a rule drop a line with one linear ``regexp_replace``.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +31,17 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def contains_any(text: Column, literals) -> Column:
+    """Plain substring tests, far cheaper than the regular expressions they guard.
+
+    A literal that contains another one of the list adds nothing.
+    """
+    unique = list(dict.fromkeys(literals))
+    needed = [w for w in unique if not any(o != w and o in w for o in unique)]
+    tests = [F.contains(text, F.lit(word)) for word in needed]
+    return reduce(lambda one, other: one | other, tests)
+
+
 # --- comments, line endings, directives -----------------------------------
 
 
@@ -148,15 +162,12 @@ def trim_lines(text: Column) -> Column:
 
 def terminated_lines(text: Column) -> Column:
     """Trimmed text in which every line, the last too, ends in LF."""
-    trimmed = trim_lines(text)
-    return F.when(trimmed == "", "").otherwise(F.concat(trimmed, F.lit("\n")))
+    return F.regexp_replace(F.concat(trim_lines(text), F.lit("\n")), r"\A\n\z", "")
 
 
 def lines_of(text: Column) -> Column:
     """The lines of LF-terminated text."""
-    return F.when(text == "", empty_strings()).otherwise(
-        F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
-    )
+    return F.array_remove(F.split(text, "\n"), "")
 
 
 def drop_lines(text: Column, pattern: str, flags: str = "") -> Column:
@@ -172,12 +183,16 @@ def drop_unknown_directives(text: Column, keywords=R.VERILOG_KEYWORDS) -> Column
 
 def _drop_blocks(text: Column, block: str) -> Column:
     """Remove blocks of lines; lone ``begin`` lines inside them stay."""
-    inside = find_all(text, block)
+    pieces = F.arrays_zip(
+        F.split(text, block, -1).alias("outside"), find_all(text, block).alias("inside")
+    )
     kept = F.transform(
-        F.split(text, block, -1),
-        lambda outside, i: F.concat(
-            outside,
-            F.coalesce(F.array_join(find_all(F.get(inside, i), r"(?md)^begin\n"), ""), F.lit("")),
+        pieces,
+        lambda piece: F.concat(
+            piece["outside"],
+            F.array_join(
+                find_all(F.coalesce(piece["inside"], F.lit("")), r"(?md)^begin\n"), ""
+            ),
         ),
     )
     return F.array_join(kept, "")
@@ -207,7 +222,7 @@ def drop_marked_blocks(
         rf"(?:(?!.*(?:{closes})).*\n)*+(?:.*\n)?"
     )
     cleaned = drop_lines(_drop_blocks(text, block), closes)
-    return F.when(text.rlike(f"{opens}|{closes}"), cleaned).otherwise(text)
+    return F.when(contains_any(text, (*begin, *end)), cleaned).otherwise(text)
 
 
 def literal_hits(text: Column, words=R.COQ_KEYWORDS, word_boundary: bool = False) -> Column:
@@ -217,24 +232,40 @@ def literal_hits(text: Column, words=R.COQ_KEYWORDS, word_boundary: bool = False
             return line.rlike(rf"(?i)(?<!\w){R.any_literal([word])}(?!\w)")
         return F.contains(F.lower(line), F.lit(word.lower()))
 
-    anything = f"(?i){R.any_literal(words)}"
-    candidates = F.filter(lines_of(text), lambda line: line.rlike(anything))
     first = F.transform(
-        candidates, lambda line: F.coalesce(*(F.when(hit(line, w), w) for w in words))
+        lines_of(text), lambda line: F.coalesce(*(F.when(hit(line, w), w) for w in words))
     )
-    return F.when(text.rlike(anything), F.array_compact(first)).otherwise(empty_strings())
+    return F.when(contains_any_case(text, words), F.array_compact(first)).otherwise(
+        empty_strings()
+    )
+
+
+def contains_any_case(text: Column, words) -> Column:
+    """The same without regard to case; the text is lowered once."""
+    lowered = [word.lower() for word in words]
+    return F.exists(F.array(F.lower(text)), lambda low: contains_any(low, lowered))
 
 
 def drop_literal_lines(text: Column, words=R.COQ_KEYWORDS) -> Column:
-    return drop_lines(text, R.any_literal(words), "i")
+    dropped = drop_lines(text, R.any_literal(words), "i")
+    return F.when(contains_any_case(text, words), dropped).otherwise(text)
 
 
 def drop_single_lines(text: Column, patterns=R.SINGLE_LINE_REGEXES) -> Column:
-    return drop_lines(text, R.any_regex(patterns))
+    """Lines that match one of the regular expressions anywhere.
+
+    Patterns that are plain words but for word boundaries get a cheap guard.
+    """
+    dropped = drop_lines(text, R.any_regex(patterns))
+    plain = [pattern.replace(r"\b", "") for pattern in patterns]
+    if all(re.fullmatch(r"[\w #]+", word) for word in plain):
+        return F.when(contains_any(text, plain), dropped).otherwise(text)
+    return dropped
 
 
 def drop_dangling_assignments(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?md)^.*\w[^\S\n]*=[^\S\n]*\n", "")
+    dropped = F.regexp_replace(text, r"(?md)^.*\w[^\S\n]*=[^\S\n]*\n", "")
+    return F.when(text.rlike(r"=[^\S\n]*\n"), dropped).otherwise(text)
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -256,10 +287,14 @@ def strip_backticks(text: Column) -> Column:
 def balance_steps(lines: Column) -> Column:
     """Per line: does an ``end`` belong before it, and its change of depth."""
     def step(line: Column, i: Column) -> Column:
-        begins = F.regexp_count(line, F.lit(r"\bbegin\b"))
-        ends = F.regexp_count(line, F.lit(r"\bend\b"))
+        def count(word: str) -> Column:
+            exact = F.regexp_count(line, F.lit(rf"\b{word}\b"))
+            return F.when(F.contains(line, F.lit(word)), exact).otherwise(0)
+
+        begins, ends = count("begin"), count("end")
         orphan = (
-            line.rlike(r"\belse\b")
+            F.contains(line, F.lit("else"))
+            & line.rlike(r"\belse\b")
             & ~line.rlike(r"\bend\b\s*else\b")
             & ~((begins == 1) & (ends == 1))
             & ~F.coalesce(F.get(lines, i - 1).rlike(r"\bend\s*$"), F.lit(False))
@@ -289,7 +324,8 @@ def balance_blocks(lines: Column) -> Column:
         )
         return F.struct(depth.alias("depth"), inserts.alias("inserts"))
 
-    return F.aggregate(balance_steps(lines), zero, fold)
+    nested = F.exists(lines, lambda line: F.contains(line, F.lit("begin")))
+    return F.when(nested, F.aggregate(balance_steps(lines), zero, fold)).otherwise(zero)
 
 
 def insert_ends(lines: Column, inserts: Column) -> Column:

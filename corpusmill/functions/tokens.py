@@ -37,10 +37,9 @@ def all_ones(ids: Column) -> Column:
 
 
 def next_token_pairs(ids: Column) -> Column:
-    """``array<struct<context,next>>`` of neighbouring tokens."""
-    last = F.size(ids) - 1
-    pairs = F.transform(
-        F.slice(ids, 1, F.greatest(last, F.lit(0))),
-        lambda t, i: F.struct(t.alias("context"), F.get(ids, i + 1).alias("next")),
-    )
-    return pairs
+    """``array<struct<context,next>>`` of neighbouring tokens.
+
+    ``ids`` should be a finished column: it is read three times.
+    """
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(ids, 1, n).alias("context"), F.slice(ids, 2, n).alias("next"))

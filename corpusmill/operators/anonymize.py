@@ -34,7 +34,7 @@ def extract_names(df: DataFrame, content: str = "content") -> DataFrame:
     instances = I.instance_names(c("code"), c("module_names"))
     df = df.withColumn(
         "submodule_names",
-        F.array_except(F.array_except(instances, I.words(I.RESERVED)), c("module_names")),
+        F.array_except(I.without(instances, I.RESERVED), c("module_names")),
     )
     df = df.withColumn(
         "variable_names",
@@ -60,10 +60,9 @@ def rename_plan(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame
             I.meaningful_renames(c("submodule_names"), c("submodule_names")),
         ),
     )
-    keep = I.words(R.MEANINGFUL_WORDS)
     for kind in KINDS:
         names = F.array_except(c(f"{kind}_names"), c("kept_names")["name"])
-        names = I.seeded_order(F.array_except(names, keep), seed, c(key))
+        names = I.seeded_order(I.without(names, R.MEANINGFUL_WORDS), seed, c(key))
         df = df.withColumn(f"{kind}_renames", I.numbered(names, KINDS[kind]))
     return df.withColumn(
         "renames",
@@ -74,7 +73,7 @@ def rename_plan(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame
 def rewrite(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """Add ``code``, the content with every planned rename applied at once."""
     df = rename_plan(extract_names(df), seed, key)
-    df = df.withColumn("lookup", I.rename_lookup(F.col("renames")))
+    df = evaluate_once(df.withColumn("lookup", I.rename_lookup(F.col("renames"))), "lookup")
     return df.withColumn("code", I.apply_renames(F.col("code"), F.col("lookup")))
 
 
@@ -87,12 +86,12 @@ def anonymize(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     c = F.col
     kept = df.columns
     df = rewrite(df, seed, key)
-    known = I.words(R.VERILOG_KEYWORDS + R.MEANINGFUL_WORDS)
-    residual = F.array_except(F.array_distinct(I.identifiers(c("code"))), known)
+    known = R.VERILOG_KEYWORDS + R.MEANINGFUL_WORDS
+    residual = I.without(F.array_distinct(I.identifiers(c("code"))), known)
     residual = F.array_except(residual, c("renames")["replacement"])
     df = df.withColumn("residual", F.array_except(residual, c("literals")))
-    banned = I.words(R.NON_SYNTHESIZABLE_WORDS + R.PATH_KEYWORDS)
-    df = df.withColumn("banned", F.array_intersect(c("residual"), banned))
+    banned = I.within(c("residual"), R.NON_SYNTHESIZABLE_WORDS + R.PATH_KEYWORDS)
+    df = df.withColumn("banned", banned)
     df = df.withColumn("aberrant", F.array_except(c("residual"), c("banned")))
     df = df.withColumn("content", I.blank_lines_with(c("code"), c("banned")))
     df = df.withColumn(

@@ -19,7 +19,8 @@ def code_text(df: DataFrame, content: str = "content", keep_conditional: bool =
 
 def line_text(df: DataFrame) -> DataFrame:
     """Column ``code`` without fragments, as trimmed LF-terminated lines."""
-    df = df.withColumn("fragments", X.matched_fragments(X.mask_module_headers(F.col("code"))))
+    df = df.withColumn("masked", X.mask_module_headers(F.col("code")))
+    df = df.withColumn("fragments", X.matched_fragments(F.col("masked"))).drop("masked")
     stripped = X.remove_fragments(F.col("code"), F.col("fragments")["fragment"])
     return df.withColumn("code", X.terminated_lines(stripped))
 
@@ -36,14 +37,18 @@ def clean(
     c = F.col
     kept = [name for name in df.columns if name not in ("coq_flag", "coq_keywords")]
     df = line_text(code_text(df, keep_conditional=keep_conditional))
-    text = X.drop_initial_blocks(X.drop_unknown_directives(c("code")), until_eof)
-    df = df.withColumn("code", text)
+    df = df.withColumn("code", X.drop_unknown_directives(c("code")))
+    df = df.withColumn("code", X.drop_initial_blocks(c("code"), until_eof))
     df = df.withColumn("coq_keywords", X.literal_hits(c("code"), word_boundary=word_boundary))
     df = df.withColumn("coq_flag", F.size("coq_keywords") > 0)
-    text = X.drop_literal_lines(X.drop_marked_blocks(c("code")))
-    text = X.drop_dangling_assignments(X.drop_single_lines(text))
-    df = df.withColumn("lines", X.lines_of(X.collapse_spaces(text)))
-    df = df.withColumn("balance", X.balance_blocks(c("lines")))
+    df = df.withColumn("code", X.drop_marked_blocks(c("code")))
+    df = df.withColumn(
+        "code", F.when(c("coq_flag"), X.drop_literal_lines(c("code"))).otherwise(c("code"))
+    )
+    df = df.withColumn("code", X.drop_single_lines(c("code")))
+    df = df.withColumn("code", X.drop_dangling_assignments(c("code")))
+    df = df.withColumn("lines", X.lines_of(X.collapse_spaces(c("code"))))
+    df = evaluate_once(df.withColumn("balance", X.balance_blocks(c("lines"))), "balance")
     df = df.withColumn("unbalanced", c("balance")["depth"] > 0)
     joined = F.array_join(X.insert_ends(c("lines"), c("balance")["inserts"]), "\n")
     df = df.withColumn("content", X.strip_backticks(joined))
@@ -53,9 +58,9 @@ def clean(
 
 def fragment_log(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Audit rows ``(key, rule_set, rule, fragment)`` of every removal by rule."""
-    df = code_text(df)
-    hits = X.matched_fragments(X.mask_module_headers(F.col("code")))
-    return df.select(key, F.inline(hits)).select(
+    df = code_text(df).withColumn("masked", X.mask_module_headers(F.col("code")))
+    found = df.select(key, X.matched_fragments(F.col("masked")).alias("hits"))
+    return evaluate_once(found, "hits").select(key, F.inline("hits")).select(
         key, F.lit("non_synthesizable_regex").alias("rule_set"), "rule", "fragment"
     )
 

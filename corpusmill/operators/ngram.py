@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.staging import evaluate_once
 from corpusmill.functions.tokens import next_token_pairs, pre_tokens
 
 
 def bigram_counts(df: DataFrame) -> DataFrame:
     """``(context, next, n)``; pairs form inside the row, without a window."""
-    pairs = df.select(F.inline(next_token_pairs(pre_tokens(F.col("content")))))
+    tokens = evaluate_once(df.select(pre_tokens(F.col("content")).alias("tokens")), "tokens")
+    pairs = tokens.select(F.inline(next_token_pairs(F.col("tokens"))))
     return pairs.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -81,7 +83,7 @@ def score_summary(scored: DataFrame, k: int = 5) -> DataFrame:
 
     return scored.agg(
         F.sum(n).alias("n_pairs"),
-        F.round(loss, 6).alias("loss"), F.round(F.exp(loss), 6).alias("perplexity"),
+        F.round(loss, 6).alias("loss"), F.round(F.exp(loss), 2).alias("perplexity"),
         F.round(share(F.col("rank") == 1), 6).alias("top1"),
         F.round(share(F.col("rank").between(1, k)), 6).alias("topk"),
     )

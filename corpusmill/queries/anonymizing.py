@@ -164,7 +164,7 @@ def _kept(spark, sf_dir):
 
 def _meaningful(spark, sf_dir):
     named = A.extract_names(source(spark, sf_dir))
-    kept = F.array_intersect(F.array_distinct("identifiers"), I.words(R.MEANINGFUL_WORDS))
+    kept = I.within(F.array_distinct("identifiers"), R.MEANINGFUL_WORDS)
     return named.select("doc_id", F.explode(kept).alias("name"))
 
 

@@ -209,7 +209,8 @@ def _unfragmented(scoped: bool):
         code = clean.code_text(V.vcorpus(spark, sf_dir))
         if scoped:
             return code.select("doc_id", X.remove_scoped(F.col("code")).alias("content"))
-        code = code.withColumn("hits", X.matched_fragments(X.mask_module_headers(F.col("code"))))
+        code = code.withColumn("masked", X.mask_module_headers(F.col("code")))
+        code = code.withColumn("hits", X.matched_fragments(F.col("masked")))
         left = X.remove_fragments(F.col("code"), F.col("hits")["fragment"])
         return code.select("doc_id", left.alias("content"))
 

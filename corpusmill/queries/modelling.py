@@ -242,7 +242,7 @@ QUERIES = {
         lambda spark, d: G.score_summary(_scored(spark, d)),
         _ngram_sql(
             """SELECT CAST(sum(test_n) AS BIGINT) AS n_pairs, round(loss, 6) AS loss,
-                      round(exp(loss), 6) AS perplexity, round(any_value(t1) / sum(test_n), 6) AS top1,
+                      round(exp(loss), 2) AS perplexity, round(any_value(t1) / sum(test_n), 6) AS top1,
                       round(any_value(t5) / sum(test_n), 6) AS topk
                FROM scored, (SELECT sum(-ln(p_true) * test_n) / sum(test_n) AS loss,
                     sum(CASE WHEN rank = 1 THEN test_n ELSE 0 END) AS t1,
