@@ -20,13 +20,17 @@ NUMBER_TEXTS = r"'(d[0-9]+|b[01]+|o[0-7]+|h[0-9a-fA-F]+)"
 DUMMY_MODULE = "dummymodule"
 
 
-def without(names: Column, listed) -> Column:
-    """Names that are not in a fixed list, by one hash lookup each."""
-    return F.filter(names, lambda name: ~name.isin(*dict.fromkeys(listed)))
+def without(column: str, listed) -> Column:
+    """Names of an array column that are not listed, by one hash lookup each."""
+    return F.expr(f"filter({column}, name -> name NOT IN ({_sql_list(listed)}))")
 
 
-def within(names: Column, listed) -> Column:
-    return F.filter(names, lambda name: name.isin(*dict.fromkeys(listed)))
+def within(column: str, listed) -> Column:
+    return F.expr(f"filter({column}, name -> name IN ({_sql_list(listed)}))")
+
+
+def _sql_list(listed) -> str:
+    return ", ".join(f"'{word}'" for word in dict.fromkeys(listed))
 
 
 def strip_underscores(text: Column) -> Column:
@@ -165,11 +169,10 @@ def blank_lines_with(text: Column, banned: Column) -> Column:
 RESERVED = R.reserved_identifiers()
 
 
-def renameable(idents: Column, literals: Column, *others: Column) -> Column:
-    """Distinct identifiers that are neither reserved, meaningful nor digits."""
-    names = without(F.array_distinct(idents), RESERVED + R.MEANINGFUL_WORDS)
-    names = F.array_except(names, literals)
+def renameable(identifiers: str, *others: str) -> Column:
+    """Distinct identifiers that no list reserves and no other column holds."""
+    names = F.array_distinct(without(identifiers, RESERVED + R.MEANINGFUL_WORDS))
     for other in others:
-        names = F.array_except(names, other)
+        names = F.array_except(names, F.col(other))
     return names
 

@@ -9,7 +9,6 @@ which lets a rule drop a line with one linear ``regexp_replace``.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,15 +30,26 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def contains_any(text: Column, literals) -> Column:
+def literals(items) -> Column:
+    """A constant array of strings, built in one call."""
+    quoted = (item.replace("\\", "\\\\").replace("'", "\\'") for item in dict.fromkeys(items))
+    return F.expr("array(" + ", ".join(f"'{item}'" for item in quoted) + ")")
+
+
+def contains_any(text: Column, words) -> Column:
     """Plain substring tests, far cheaper than the regular expressions they guard.
 
-    A literal that contains another one of the list adds nothing.
+    A word that contains another one of the list adds nothing.
     """
-    unique = list(dict.fromkeys(literals))
+    unique = list(dict.fromkeys(words))
     needed = [w for w in unique if not any(o != w and o in w for o in unique)]
-    tests = [F.contains(text, F.lit(word)) for word in needed]
-    return reduce(lambda one, other: one | other, tests)
+    return F.exists(literals(needed), lambda word: F.contains(text, word))
+
+
+def contains_any_case(text: Column, words) -> Column:
+    """The same without regard to case; the text is lowered once."""
+    lowered = [word.lower() for word in words]
+    return F.exists(F.array(F.lower(text)), lambda low: contains_any(low, lowered))
 
 
 # --- comments, line endings, directives -----------------------------------
@@ -106,27 +116,24 @@ def matched_fragments(text: Column, patterns=R.NON_SYNTHESIZABLE_REGEXES) -> Col
     Rules are grouped by a literal their matches must contain, so a text
     without ``$`` or ``#`` skips those regular expressions altogether.
     """
-    kind = "array<struct<rule:int,fragment:string>>"
-    gates: dict[str, list[Column]] = {}
-
-    def hits(ord_: int, pattern: str) -> Column:
-        return F.transform(
-            find_all(text, f"(?d){pattern}"),
-            lambda hit: F.struct(F.lit(ord_).alias("rule"), hit.alias("fragment")),
-        )
-
-    for ord_, pattern in enumerate(patterns):
-        gates.setdefault(_needed_literal(pattern), []).append(hits(ord_, pattern))
-    return F.flatten(
-        F.array(
-            *(
-                F.when(F.contains(text, F.lit(literal)), F.flatten(F.array(*found))).otherwise(
-                    F.array().cast(kind)
-                )
-                for literal, found in gates.items()
-            )
-        )
+    groups: dict[str, list[int]] = {}
+    for rule, pattern in enumerate(patterns):
+        groups.setdefault(_needed_literal(pattern), []).append(rule)
+    found = []
+    for literal, rules in groups.items():
+        hits = F.array(*(find_all(text, f"(?d){patterns[rule]}") for rule in rules))
+        none = F.array_repeat(empty_strings(), len(rules))
+        found.append(F.when(F.contains(text, F.lit(literal)), hits).otherwise(none))
+    order = ", ".join(str(rule) for rules in groups.values() for rule in rules)
+    numbers = F.expr(f"array({order})")
+    tagged = F.transform(
+        F.flatten(F.array(*found)),
+        lambda hits, i: F.transform(
+            hits,
+            lambda hit: F.struct(F.get(numbers, i).alias("rule"), hit.alias("fragment")),
+        ),
     )
+    return F.flatten(tagged)
 
 
 def longest_first(fragments: Column) -> Column:
@@ -227,25 +234,24 @@ def drop_marked_blocks(
 
 def literal_hits(text: Column, words=R.COQ_KEYWORDS, word_boundary: bool = False) -> Column:
     """Per line that contains a word of the list, the first such word."""
-    def hit(line: Column, word: str) -> Column:
+    listed = literals(words)
+
+    def first_hit(line: Column) -> Column:
         if word_boundary:
-            return line.rlike(rf"(?i)(?<!\w){R.any_literal([word])}(?!\w)")
-        return F.contains(F.lower(line), F.lit(word.lower()))
+            found = F.filter(
+                listed,
+                lambda w: line.rlike(F.concat(F.lit(r"(?i)(?<!\w)\Q"), w, F.lit(r"\E(?!\w)"))),
+            )
+        else:
+            found = F.filter(listed, lambda w: F.contains(F.lower(line), F.lower(w)))
+        return F.get(found, 0)
 
-    first = F.transform(
-        lines_of(text), lambda line: F.coalesce(*(F.when(hit(line, w), w) for w in words))
-    )
+    first = F.transform(lines_of(text), first_hit)
     return F.when(contains_any_case(text, words), F.array_compact(first)).otherwise(
         empty_strings()
     )
 
 
-def contains_any_case(text: Column, words) -> Column:
-    """The same without regard to case; the text is lowered once."""
-    lowered = [word.lower() for word in words]
-    return F.exists(F.array(F.lower(text)), lambda low: contains_any(low, lowered))
-
-
 def drop_literal_lines(text: Column, words=R.COQ_KEYWORDS) -> Column:
     dropped = drop_lines(text, R.any_literal(words), "i")
     return F.when(contains_any_case(text, words), dropped).otherwise(text)

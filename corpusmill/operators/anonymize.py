@@ -31,16 +31,13 @@ def extract_names(df: DataFrame, content: str = "content") -> DataFrame:
     df = df.withColumn("identifiers", I.identifiers(c("code")))
     df = df.withColumn("id_count", F.size("identifiers").cast("bigint"))
     df = df.withColumn("literals", I.number_texts(c("code")))
-    instances = I.instance_names(c("code"), c("module_names"))
+    df = df.withColumn("instances", I.instance_names(c("code"), c("module_names")))
     df = df.withColumn(
-        "submodule_names",
-        F.array_except(I.without(instances, I.RESERVED), c("module_names")),
-    )
+        "submodule_names", F.array_except(I.without("instances", I.RESERVED), c("module_names"))
+    ).drop("instances")
     df = df.withColumn(
         "variable_names",
-        I.renameable(
-            c("identifiers"), c("literals"), c("module_names"), c("submodule_names")
-        ),
+        I.renameable("identifiers", "literals", "module_names", "submodule_names"),
     )
     return evaluate_once(df, *FOUND)
 
@@ -61,8 +58,8 @@ def rename_plan(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame
         ),
     )
     for kind in KINDS:
-        names = F.array_except(c(f"{kind}_names"), c("kept_names")["name"])
-        names = I.seeded_order(I.without(names, R.MEANINGFUL_WORDS), seed, c(key))
+        names = I.without(f"{kind}_names", R.MEANINGFUL_WORDS)
+        names = I.seeded_order(F.array_except(names, c("kept_names")["name"]), seed, c(key))
         df = df.withColumn(f"{kind}_renames", I.numbered(names, KINDS[kind]))
     return df.withColumn(
         "renames",
@@ -87,10 +84,10 @@ def anonymize(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     kept = df.columns
     df = rewrite(df, seed, key)
     known = R.VERILOG_KEYWORDS + R.MEANINGFUL_WORDS
-    residual = I.without(F.array_distinct(I.identifiers(c("code"))), known)
-    residual = F.array_except(residual, c("renames")["replacement"])
+    df = df.withColumn("residual", F.array_distinct(I.identifiers(c("code"))))
+    residual = F.array_except(I.without("residual", known), c("renames")["replacement"])
     df = df.withColumn("residual", F.array_except(residual, c("literals")))
-    banned = I.within(c("residual"), R.NON_SYNTHESIZABLE_WORDS + R.PATH_KEYWORDS)
+    banned = I.within("residual", R.NON_SYNTHESIZABLE_WORDS + R.PATH_KEYWORDS)
     df = df.withColumn("banned", banned)
     df = df.withColumn("aberrant", F.array_except(c("residual"), c("banned")))
     df = df.withColumn("content", I.blank_lines_with(c("code"), c("banned")))

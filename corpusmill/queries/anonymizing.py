@@ -130,8 +130,8 @@ def source(spark, sf_dir):
     return clean.code_text(rows).select("doc_id", "path", "size", F.col("code").alias("content"))
 
 
-def _names(*columns):
-    return lambda spark, d: A.extract_names(source(spark, d)).select("doc_id", *columns)
+def _names(columns):
+    return lambda spark, d: A.extract_names(source(spark, d)).select("doc_id", *columns())
 
 
 def _joined(column: str):
@@ -164,7 +164,7 @@ def _kept(spark, sf_dir):
 
 def _meaningful(spark, sf_dir):
     named = A.extract_names(source(spark, sf_dir))
-    kept = I.within(F.array_distinct("identifiers"), R.MEANINGFUL_WORDS)
+    kept = F.array_distinct(I.within("identifiers", R.MEANINGFUL_WORDS))
     return named.select("doc_id", F.explode(kept).alias("name"))
 
 
@@ -204,13 +204,16 @@ QUERIES = {
         _sql("SELECT doc_id, code AS content FROM strip", "strip"),
     ),
     "N2_module_names": Query(
-        _names(F.array_join("module_names", "|").alias("module_names"), "code"),
+        _names(lambda: [F.array_join("module_names", "|").alias("module_names"), "code"]),
         _sql("""SELECT n.doc_id, any_value(n.code) AS code,
                        string_agg(m.name, '|' ORDER BY m.place) AS module_names
                 FROM named n JOIN modules m ON n.doc_id = m.doc_id GROUP BY n.doc_id""", "modules"),
     ),
     "N3_identifier_counts": Query(
-        _names("id_count", F.size(F.array_distinct("identifiers")).cast("bigint").alias("n_distinct")),
+        _names(lambda: [
+            "id_count",
+            F.size(F.array_distinct("identifiers")).cast("bigint").alias("n_distinct"),
+        ]),
         _sql("SELECT doc_id, count(*) AS id_count, count(DISTINCT name) AS n_distinct FROM idents "
              "GROUP BY doc_id", "idents"),
     ),

@@ -51,8 +51,8 @@ JUDGED = f"""
 JUDGED_STAGES = {"flagged": FLAGGED} | CLEAN_STAGES | {"judged": JUDGED}
 
 
-def _on_paths(*columns):
-    return lambda spark, d: V.vcorpus(spark, d).select("doc_id", *columns)
+def _on_paths(column):
+    return lambda spark, d: V.vcorpus(spark, d).select("doc_id", column())
 
 
 def _code(spark, sf_dir):
@@ -137,11 +137,11 @@ QUERIES = {
               "length(coalesce(content, '')) AS n_chars FROM vcorpus"),
     ),
     "F3_full_path": Query(
-        _on_paths(flags.full_path().alias("full_path")),
+        _on_paths(lambda: flags.full_path().alias("full_path")),
         check("vcorpus", "SELECT doc_id, lower(repo_name || '/' || path) AS full_path FROM vcorpus"),
     ),
     "F4_coq_path": Query(
-        _on_paths(flags.has_coq_path().alias("coq_path")),
+        _on_paths(lambda: flags.has_coq_path().alias("coq_path")),
         check("vcorpus", "SELECT doc_id, (repo_name || '/' || path) ILIKE '%coq%' AS coq_path "
               "FROM vcorpus"),
     ),
@@ -160,7 +160,7 @@ QUERIES = {
     ),
     "F6_path_keyword": Query(
         _on_paths(
-            F.coalesce(flags.first_contained(flags.full_path(), R.PATH_KEYWORDS), F.lit("")).alias("word")
+            lambda: F.coalesce(flags.first_contained(flags.full_path(), R.PATH_KEYWORDS), F.lit("")).alias("word")
         ),
         check("vcorpus", f"""SELECT doc_id, coalesce(list_filter({listed(R.PATH_KEYWORDS)},
               lambda k: contains(lower(repo_name || '/' || path), k))[1], '') AS word FROM vcorpus"""),

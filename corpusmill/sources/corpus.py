@@ -21,6 +21,19 @@ def read_corpus(
     return spark.read.format(fmt).schema(schema).options(**options).load(path)
 
 
+def spread(rows: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """Give text work at least one task per core.
+
+    A small table, or one written as a few huge row groups, scans in fewer
+    tasks than there are cores and would leave most of them idle. A table with
+    enough scan tasks passes through without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if source.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, key)
+
+
 def read_split(spark: SparkSession, path: str, *splits: str) -> DataFrame:
     """Named splits of a table partitioned by split; others are not listed."""
     table = spark.read.schema(schemas.ANONYMIZED).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ranking import rank_within
+from corpusmill.sources.corpus import spread
 
 LF = "chr(10)"
 CRLF = "chr(13) || chr(10)"
@@ -178,20 +179,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _view(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=_table(spark, sf_dir, table))
+def _view(
+    spark: SparkSession, sf_dir: str, table: str, sql: str, key: str | None = None
+) -> DataFrame:
+    source = _table(spark, sf_dir, table)
+    rows = spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=source)
+    return spread(rows, source, key) if key else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "documents", CORPUS)
+    return _view(spark, sf_dir, "documents", CORPUS, "doc_id")
 
 
 def vcorpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "part", VCORPUS)
+    return _view(spark, sf_dir, "part", VCORPUS, "doc_id")
 
 
 def varcorpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "part", VARCORPUS_SPARK)
+    return _view(spark, sf_dir, "part", VARCORPUS_SPARK, "doc_id")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,4 +215,5 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages")
+    source = _table(spark, sf_dir, "pages")
+    return spread(source, source, "page_id")
