@@ -240,7 +240,7 @@ def literal_hits(text: Column, words=R.COQ_KEYWORDS, word_boundary: bool = False
         if word_boundary:
             found = F.filter(
                 listed,
-                lambda w: line.rlike(F.concat(F.lit(r"(?i)(?<!\w)\Q"), w, F.lit(r"\E(?!\w)"))),
+                lambda w: F.rlike(line, F.concat(F.lit(r"(?i)(?<!\w)\Q"), w, F.lit(r"\E(?!\w)"))),
             )
         else:
             found = F.filter(listed, lambda w: F.contains(F.lower(line), F.lower(w)))

@@ -22,9 +22,9 @@ SOURCE = "SELECT doc_id, code FROM code_all WHERE present"
 CODE_ALL = """SELECT c.doc_id, c.code, v.content IS NOT NULL AS present
     FROM code_raw c JOIN vcorpus v ON c.doc_id = v.doc_id"""
 STRIP = f"""
-    SELECT doc_id, list_aggregate(list_transform(regexp_extract_all(code, '{_RUN}'),
+    SELECT doc_id, coalesce(list_aggregate(list_transform(regexp_extract_all(code, '{_RUN}'),
         lambda x: CASE WHEN {_PROTECTED} THEN x ELSE replace(replace(x, '_', ''), '$', '') END),
-        'string_agg', '') AS code FROM source"""
+        'string_agg', ''), '') AS code FROM source"""
 NAMED = r"""
     SELECT doc_id, CASE WHEN len(mods) = 0 THEN 'module dummymodule(' || chr(10) || code ELSE code END
            AS code, CASE WHEN len(mods) = 0 THEN ['dummymodule'] ELSE mods END AS mods
@@ -115,6 +115,12 @@ _ORDER = {
 }
 
 
+# The same steps on cleaned text.
+ON_CLEANED = {"source": "SELECT doc_id, content AS code FROM cleaned"} | {
+    name: body for name, body in _ORDER.items() if name not in ("code_raw", "code_all", "source")
+}
+
+
 def _sql(select: str, upto: str) -> str:
     names = list(_ORDER)
     steps = {name: _ORDER[name] for name in names[: names.index(upto) + 1]}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill import rules as R
 from corpusmill.functions import text as X
 from corpusmill.operators import clean, dedup, flags, split
-from corpusmill.queries.base import Query, check, listed, quoted, values
+from corpusmill.queries.base import Query, check, listed, values
 from corpusmill.queries.cleaning import CODE, FRAGMENTS, MASKED
 from corpusmill.sources import corpus as C
 from corpusmill.sources import views as V
@@ -134,5 +134,3 @@ QUERIES = {
     ),
     "U3_banned_word_union": Query(_banned_usage, check("vcorpus", _BANNED_SQL)),
 }
-
-__all__ = ["QUERIES", "SPLIT_SQL", "quoted"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import rules as R
 from corpusmill.functions import text as X
-from corpusmill.operators import clean, eda, evaluate, flags
+from corpusmill.operators import clean, evaluate, flags
 from corpusmill.queries.base import Query, check, listed, quoted
 from corpusmill.queries.cleaning import CLEAN_STAGES, CODE, _comments
 from corpusmill.sources import views as V
@@ -285,6 +285,3 @@ QUERIES = {
               GROUP BY identifier""", code=CODE),
     ),
 }
-
-REASONS = flags.REASONS
-__all__ = ["QUERIES", "FLAGGED", "HEAVY", "JUDGED_STAGES", "LABEL_VOCAB", "REASONS", "eda"]

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill import rules as R
+from corpusmill.functions import text as X
 from corpusmill.functions.tokens import pre_tokens
+from corpusmill.operators import anonymize as A
 from corpusmill.operators import clean, eda, flags, split
 from corpusmill.plans import curate
-from corpusmill.queries.anonymizing import _ORDER, source
+from corpusmill.queries.anonymizing import _ORDER, ON_CLEANED, source
 from corpusmill.queries.base import Query, check
-from corpusmill.queries.cleaning import CLEAN_STAGES, _AUDIT_SQL, _comments
+from corpusmill.queries.cleaning import (
+    _AUDIT_SQL, CLEAN_STAGES, _comments, _directives, _endings,
+)
 from corpusmill.queries.dedup import SPLIT_SQL
-from corpusmill.queries.flagging import FLAGGED, HEAVY, flagged, heavy
+from corpusmill.queries.flagging import FLAGGED, HEAVY, JUDGED_STAGES, flagged, heavy
 from corpusmill.sources import views as V
 
 GAP = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
@@ -27,9 +30,38 @@ VARS = """
               WHERE split = 'train') v) u GROUP BY var"""
 WORD_FREQ = f"SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM corpus) w GROUP BY word"
 
-# --- the funnel in SQL: only the anonymised length needs the identifier steps
-UNIQUE = """SELECT *, content IS NOT NULL AND row_number() OVER
-    (PARTITION BY content ORDER BY doc_id) = 1 AS uniq FROM vcorpus"""
+# --- the funnel in SQL: every stage's steps, then five filtered aggregates
+STRIPPED_FIRST = f"""
+    SELECT doc_id, {_comments(_directives(_endings(_comments("coalesce(content, '')"))))} AS code
+    FROM vcorpus"""
+TRACE = """
+    SELECT v.doc_id, v.size, strlen(coalesce(v.content, '')) AS raw_bytes,
+           strlen(c.content) AS clean_bytes, strlen(f.content) AS final_bytes,
+           v.content IS NOT NULL AND row_number() OVER (PARTITION BY v.content ORDER BY v.doc_id) = 1
+               AS uniq,
+           NOT j.remove_flag AND NOT j.coq_flag AS ok,
+           len(string_split(c.content, chr(10))) >= 10 AS long, f.quarantine IS NULL AS free
+    FROM vcorpus v JOIN cleaned c ON c.doc_id = v.doc_id JOIN judged j ON j.doc_id = v.doc_id
+    JOIN final f ON f.doc_id = v.doc_id"""
+_REACHED = (
+    ("raw", "true", "raw_bytes"), ("deduplicated", "uniq", "raw_bytes"),
+    ("cleaned", "uniq AND ok", "clean_bytes"),
+    ("long_enough", "uniq AND ok AND long", "clean_bytes"),
+    ("anonymized", "uniq AND ok AND long AND free", "final_bytes"),
+)
+FUNNEL = " UNION ALL ".join(
+    f"""SELECT CAST({i} AS BIGINT) AS stage_no, '{name}' AS stage,
+               count(*) FILTER ({test}) AS n_rows,
+               CAST(coalesce(sum(size) FILTER ({test}), 0) AS BIGINT) AS declared_size,
+               CAST(coalesce(sum({length}) FILTER ({test}), 0) AS BIGINT) AS content_bytes,
+               round(count(*) FILTER ({test}) / count(*) * 100, 6) AS pct_of_rows,
+               round(coalesce(sum({length}) FILTER ({test}), 0) / sum(raw_bytes) * 100, 6)
+                   AS pct_of_bytes FROM trace"""
+    for i, (name, test, length) in enumerate(_REACHED)
+)
+FUNNEL_STEPS = (
+    JUDGED_STAGES | {"code": STRIPPED_FIRST} | ON_CLEANED | {"trace": TRACE}
+)
 
 
 def _variables(spark, sf_dir):
@@ -49,8 +81,6 @@ def _token_counts(spark, sf_dir):
 def _stages(spark, sf_dir):
     raw = V.vcorpus(spark, sf_dir).filter("content IS NOT NULL").select("content")
     cleaned = clean.clean(V.vcorpus(spark, sf_dir)).select("content")
-    from corpusmill.operators import anonymize as A
-
     anonymized = A.anonymize(source(spark, sf_dir)).select("content")
     return eda.distinct_words_by_stage(
         {"raw": raw, "cleaned": cleaned, "anonymized": anonymized}
@@ -59,8 +89,6 @@ def _stages(spark, sf_dir):
 
 def _unbalanced(spark, sf_dir):
     """Unbalanced files and leftover lines of the cleaned text, in one pass."""
-    from corpusmill.functions import text as X
-
     cleaned = clean.clean(V.vcorpus(spark, sf_dir))
     return cleaned.agg(
         F.count_if("unbalanced").alias("n_unbalanced"),
@@ -69,7 +97,6 @@ def _unbalanced(spark, sf_dir):
 
 
 _LEFT = _AUDIT_SQL.replace("FROM vcorpus", "FROM cleaned")
-ANON_ORDER = {k: v for k, v in _ORDER.items()}
 
 
 def _docs(spark, sf_dir):
@@ -117,6 +144,7 @@ QUERIES = {
     ),
     "A5_stage_funnel": Query(
         lambda spark, d: curate.stage_funnel(curate.trace(V.vcorpus(spark, d), min_lines=10)),
+        check("vcorpus", FUNNEL, **FUNNEL_STEPS),
     ),
     "A6_variable_totals": Query(
         lambda spark, d: eda.variable_totals(_variables(spark, d)),
@@ -169,7 +197,7 @@ QUERIES = {
                   SELECT 'raw' AS stage, unnest({WORDS}) AS word FROM vcorpus
                   UNION ALL SELECT 'cleaned', unnest({WORDS}) FROM cleaned
                   UNION ALL SELECT 'anonymized', unnest({WORDS}) FROM final) w GROUP BY stage""",
-              **(CLEAN_STAGES | ANON_ORDER)),
+              **(CLEAN_STAGES | _ORDER)),
     ),
     "K1_seeded_sample": Query(
         lambda spark, d: split.seeded_sample(_docs(spark, d), 100).select("doc_id", "path"),
@@ -208,5 +236,3 @@ QUERIES = {
                         (ORDER BY sha256('42:1:' || doc_id), doc_id) - 1 AS r FROM corpus) k"""),
     ),
 }
-
-__all__ = ["QUERIES", "PRE", "R", "UNIQUE", "_comments"]
