@@ -210,7 +210,8 @@ def two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epochs numbered per run; a busy run is ranked hour by hour."""
     rows = _view(spark, sf_dir, "events", RUN_LOG)
-    ranked = rank_within(rows, "run", F.date_trunc("hour", "ts"), "ts", "event_id")
+    hour = F.year("ts") * 100000 + F.dayofyear("ts") * 100 + F.hour("ts")
+    ranked = rank_within(rows, "run", hour, "ts", "event_id")
     return ranked.withColumn("epoch", F.col("rank").cast("int")).drop("rank")
 
 
