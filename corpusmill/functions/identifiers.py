@@ -115,7 +115,7 @@ def seeded_order(names: Column, seed: int, key: Column) -> Column:
             n.alias("name"),
         ),
     )
-    return F.array_sort(keyed)["name"]
+    return F.sort_array(keyed)["name"]
 
 
 def numbered(names: Column, prefix: str) -> Column:

@@ -141,7 +141,7 @@ def longest_first(fragments: Column) -> Column:
         F.array_distinct(fragments),
         lambda f: F.struct((-F.length(f)).alias("n"), f.alias("fragment")),
     )
-    return F.array_sort(keyed)["fragment"]
+    return F.sort_array(keyed)["fragment"]
 
 
 def remove_fragments(text: Column, fragments: Column) -> Column:

@@ -86,7 +86,7 @@ def encode_corpus(df: DataFrame, tokenizer: Tokenizer, key: str = "doc_id") -> D
     rows = V.pre_token_rows(df)
     dictionary = encode_words(rows, tokenizer).select("word", "ids")
     joined = rows.join(dictionary, "word")
-    packed = F.array_sort(F.collect_list(F.struct("pos", "ids")))
+    packed = F.sort_array(F.collect_list(F.struct("pos", "ids")))
     encoded = joined.groupBy(key).agg(F.flatten(packed["ids"]).alias("input_ids"))
     whole = df.select(key).join(encoded, key, "left")
     return whole.withColumn(
@@ -95,10 +95,13 @@ def encode_corpus(df: DataFrame, tokenizer: Tokenizer, key: str = "doc_id") -> D
 
 
 def decode_corpus(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids back to tokens, joined by spaces in order."""
+    """Ids back to tokens, joined by spaces in order.
+
+    The vocabulary is bounded by its configured size and may be broadcast.
+    """
     rows = encoded.select(key, F.posexplode("input_ids").alias("pos", "id"))
-    named = rows.join(vocab, "id")
-    packed = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    named = rows.join(F.broadcast(vocab), "id")
+    packed = F.sort_array(F.collect_list(F.struct("pos", "token")))
     return named.groupBy(key).agg(F.array_join(packed["token"], " ").alias("text"))
 
 
@@ -146,13 +149,13 @@ def evaluate_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")
     )
     counts = eda.token_count_stats(lengths)
-    joined = stats.withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one")
-    return joined.select(
+    return stats.select(
         F.round((F.col("u") - F.col("o")) / F.col("u"), 6).alias("vocab_coverage"),
         F.round((F.col("u") - F.col("o_distinct")) / F.col("u"), 6).alias(
             "vocab_coverage_distinct"
         ),
-        "mean_token_count", "median_token_count",
+        counts.select("mean_token_count").scalar().alias("mean_token_count"),
+        counts.select("median_token_count").scalar().alias("median_token_count"),
         F.round(F.col("o") / F.col("w"), 6).alias("oov_rate"),
         F.round(F.col("s") / F.col("w"), 6).alias("subword_fragmentation"),
     )

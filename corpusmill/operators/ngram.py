@@ -38,23 +38,24 @@ def predict(contexts: DataFrame, bigrams: DataFrame, unigrams: DataFrame, k: int
     known = contexts.join(seen, "context").select(
         "context", "rank", "next", F.lit(False).alias("backed_off")
     )
-    # k rows, so numbering and broadcasting them is bounded.
+    # k rows, so numbering and packing them into one array is bounded.
     common = unigrams.orderBy(F.desc("n"), "next").limit(k)
     number = F.row_number().over(Window.orderBy(F.desc("n"), "next"))
     packed = common.select(F.struct(number.alias("rank"), "next").alias("item")).agg(
-        F.array_sort(F.collect_list("item")).alias("items")
+        F.sort_array(F.collect_list("item")).alias("items")
     )
     unseen = contexts.join(bigrams.select("context").distinct(), "context", "left_anti")
     backed = (
-        unseen.withColumn("one", F.lit(1))
-        .join(F.broadcast(packed.withColumn("one", F.lit(1))), "one")
+        unseen.withColumn("items", packed.scalar())
         .select("context", F.inline("items"))
         .select("context", "rank", "next", F.lit(True).alias("backed_off"))
     )
     return known.unionByName(backed)
 
 
-def score(test: DataFrame, train_bigrams: DataFrame, vocab_size: int, alpha: float = 1.0) -> DataFrame:
+def score(
+    test: DataFrame, train_bigrams: DataFrame, vocab_size: Column | int, alpha: float = 1.0
+) -> DataFrame:
     """Per distinct test pair: smoothed probability and rank in training.
 
     ``rank`` counts the strictly more frequent successors, plus one.
@@ -64,11 +65,12 @@ def score(test: DataFrame, train_bigrams: DataFrame, vocab_size: int, alpha: flo
     ranked = train_bigrams.withColumn("rank", F.rank().over(order))
     pairs = bigram_counts(test).withColumnRenamed("n", "test_n")
     joined = pairs.join(ranked, ["context", "next"], "left").join(totals, "context", "left")
+    size = F.lit(vocab_size) if isinstance(vocab_size, int) else vocab_size
     n = F.coalesce("n", F.lit(0))
     context_n = F.coalesce("context_n", F.lit(0))
     return joined.select(
         "context", "next", "test_n",
-        ((n + alpha) / (context_n + alpha * vocab_size)).alias("p_true"),
+        ((n + alpha) / (context_n + size * alpha)).alias("p_true"),
         F.coalesce(F.col("rank"), F.lit(0)).alias("rank"),
     )
 

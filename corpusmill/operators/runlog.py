@@ -86,7 +86,7 @@ def early_stop(
     rows = running_max(runs.select(key, at, score), key, at, score, "best_before")
     record = F.col("best_before").isNull() | (F.col(score) > F.col("best_before"))
     packed = rows.groupBy(key).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(record, F.struct(F.col(at).alias("at"), F.col(score).alias("s"))))
         ).alias("records"),
         F.max(at).alias("last_epoch"),

@@ -58,11 +58,13 @@ def trimmed_coverage(word_counts: DataFrame, sizes) -> DataFrame:
     """Share of occurrences that the ``k`` most frequent words cover, per k."""
     top = word_counts.orderBy(F.desc("freq"), "word").limit(max(sizes))
     rank = F.row_number().over(Window.orderBy(F.desc("freq"), "word"))
+    totals = word_counts.agg(F.sum("freq").alias("total"), F.count(F.lit(1)).alias("n_words"))
     kept = top.withColumn("rank", rank).agg(
         *(F.sum(F.when(F.col("rank") <= k, F.col("freq"))).alias(f"c_{k}") for k in sizes)
     )
-    total = word_counts.agg(F.sum("freq").alias("total"), F.count(F.lit(1)).alias("n_words"))
-    both = kept.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    both = kept.withColumns(
+        {name: totals.select(name).scalar() for name in ("total", "n_words")}
+    )
     rows = F.array(
         *(
             F.struct(
@@ -76,16 +78,16 @@ def trimmed_coverage(word_counts: DataFrame, sizes) -> DataFrame:
     return both.select(F.inline(rows))
 
 
-def token_ids(tokens: DataFrame, vocab: DataFrame, unknown: str | None = "[UNK]") -> DataFrame:
-    """Add ``id`` to a table with ``token``; unknown tokens get the unknown id.
+def token_ids(tokens: DataFrame, vocab: DataFrame, unknown_id: int | None = None) -> DataFrame:
+    """Add ``id`` to a table with ``token``; unknown tokens get ``unknown_id``.
 
-    The vocabulary has at most its configured size, so the join is Spark's to
-    choose: it broadcasts by measured size and otherwise splits hot tokens.
+    A vocabulary never has more rows than its configured size, so it may be
+    broadcast; occurrences then stay where they are, however hot a token is.
     """
-    joined = tokens.join(vocab, "token", "left")
-    if unknown is None:
+    joined = tokens.join(F.broadcast(vocab), "token", "left")
+    if unknown_id is None:
         return joined
-    return joined.withColumn("id", F.coalesce("id", F.lit(special_id(vocab, unknown))))
+    return joined.withColumn("id", F.coalesce("id", F.lit(unknown_id)))
 
 
 def special_id(vocab: DataFrame, token: str) -> int:
@@ -105,7 +107,7 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
 
 def ids_per_document(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, pos, id)`` rows back to one ordered array per document."""
-    packed = F.array_sort(F.collect_list(F.struct("pos", "id")))
+    packed = F.sort_array(F.collect_list(F.struct("pos", "id")))
     return rows.groupBy(key).agg(packed["id"].alias("input_ids"))
 
 

@@ -141,7 +141,7 @@ def _names(columns):
 
 
 def _joined(column: str):
-    return F.array_join(F.array_sort(column), "|").alias(column)
+    return F.array_join(F.sort_array(column), "|").alias(column)
 
 
 def _content(rule):
@@ -183,7 +183,7 @@ def _bijection(spark, sf_dir):
 
 def _quarantine(spark, sf_dir):
     return A.quarantined(_anonymized(spark, sf_dir)).select(
-        "doc_id", "quarantine", F.array_join(F.array_sort("aberrant"), "|").alias("aberrant")
+        "doc_id", "quarantine", F.array_join(F.sort_array("aberrant"), "|").alias("aberrant")
     )
 
 

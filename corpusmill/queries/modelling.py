@@ -59,7 +59,7 @@ def _predicted(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     train = _part(spark, sf_dir, "train")
-    size = G.unigram_counts(train).count()
+    size = G.unigram_counts(train).agg(F.count(F.lit(1)).alias("size")).scalar()
     return G.score(_part(spark, sf_dir, "test"), G.bigram_counts(train), size)
 
 

@@ -17,7 +17,7 @@ SPECIALS = bpe.PROFILES["gpt2"].specials
 VOCAB_SIZE = 2000
 PAD_ID = SPECIALS.index("[PAD]")
 UNK_ID = SPECIALS.index("[UNK]")
-TRAINED_SIZE = 300
+TRAINED_SIZE = 450
 
 PRE_ROWS = f"""
     SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos
@@ -56,9 +56,7 @@ def _encoded(spark, sf_dir):
     """Word-level ids per document, in order."""
     corpus = V.corpus(spark, sf_dir)
     rows = W.pre_token_rows(corpus).withColumnRenamed("word", "token")
-    named = rows.join(_vocab(spark, sf_dir), "token", "left").withColumn(
-        "id", F.coalesce("id", F.lit(UNK_ID))
-    )
+    named = W.token_ids(rows, _vocab(spark, sf_dir), UNK_ID)
     whole = corpus.select("doc_id").join(W.ids_per_document(named), "doc_id", "left")
     return whole.withColumn("input_ids", F.coalesce("input_ids", F.array().cast("array<int>")))
 
@@ -163,7 +161,7 @@ def _evaluated(spark, sf_dir):
     corpus = V.corpus(spark, sf_dir)
     words = _counts(spark, sf_dir).select("word")
     known = _vocab(spark, sf_dir).select(F.col("token").alias("word"), F.lit(False).alias("unknown"))
-    dictionary = words.join(known, "word", "left").select(
+    dictionary = words.join(F.broadcast(known), "word", "left").select(  # bounded vocabulary
         "word", F.lit(1).alias("n_sub"), F.coalesce("unknown", F.lit(True)).alias("unknown")
     )
     return encode.evaluate_dictionary(corpus, dictionary)
@@ -197,7 +195,7 @@ def _lookup(spark, sf_dir):
     """Ids of the words of the benchmark items, unknown ones included."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     words = items.select(F.explode(T.pre_tokens(F.col("text"))).alias("token")).distinct()
-    return W.token_ids(words, _vocab(spark, sf_dir))
+    return W.token_ids(words, _vocab(spark, sf_dir), UNK_ID)
 
 
 QUERIES = {
