@@ -55,13 +55,14 @@ def class_counts(scored: DataFrame, *by: str) -> DataFrame:
 
 
 def macro_scores(counts: DataFrame, *by: str) -> DataFrame:
-    """Unweighted means over classes; an empty denominator scores zero."""
+    """Accuracy, and unweighted means over classes; an empty class scores zero."""
     precision = F.coalesce(F.try_divide("n_hit", "n_pred"), F.lit(0.0))
     recall = F.coalesce(F.try_divide("n_hit", "n_true"), F.lit(0.0))
     f1 = F.coalesce(
         F.try_divide(2 * F.col("n_hit"), F.col("n_true") + F.col("n_pred")), F.lit(0.0)
     )
     return counts.groupBy(*by).agg(
+        F.try_divide(F.sum("n_hit"), F.sum("n_true")).alias("accuracy"),
         F.avg(precision).alias("precision"), F.avg(recall).alias("recall"), F.avg(f1).alias("f1")
     )
 
@@ -69,10 +70,8 @@ def macro_scores(counts: DataFrame, *by: str) -> DataFrame:
 def batch_metrics(scored: DataFrame) -> DataFrame:
     """The batch-wise series: one row per model and batch."""
     by = ("model_id", "batch_id")
-    counted = F.col("counted")
     means = scored.groupBy(*by).agg(
         F.avg("loss").alias("loss"),
-        F.avg(F.when(counted, (F.col("pred") == F.col("label")).cast("int"))).alias("accuracy"),
         F.avg(F.col("top_k").cast("int")).alias("top5_accuracy"),
         F.avg("entropy").alias("entropy"), F.avg("confidence").alias("confidence"),
     )
@@ -88,10 +87,7 @@ def run_metrics(batches: DataFrame) -> DataFrame:
 
 def global_scores(scored: DataFrame) -> DataFrame:
     """The variant that scores all rows of a model at once."""
-    accuracy = scored.filter("counted").groupBy("model_id").agg(
-        F.avg((F.col("pred") == F.col("label")).cast("int")).alias("accuracy")
-    )
-    return accuracy.join(macro_scores(class_counts(scored, "model_id"), "model_id"), "model_id")
+    return macro_scores(class_counts(scored, "model_id"), "model_id")
 
 
 def composite(accuracy: Column, precision: Column, recall: Column, f1: Column) -> Column:
