@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import chunk_dedup, decontaminate, mixing, near_dedup, quality
+from corpusmill.llm import (
+    chunk_dedup,
+    decontaminate,
+    langid,
+    licenses,
+    mixing,
+    near_dedup,
+    quality,
+    secret_scan,
+    url_rules,
+    warc,
+)
 from corpusmill.queries.base import Query
 
 
@@ -12,6 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP1_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes
+    FROM pages),
+h AS (SELECT html, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN holder IS NULL OR holder IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       nullif(holder, page_id) AS refers_to
+FROM p LEFT JOIN h USING (html)
+"""
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -81,6 +114,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranking = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -128,10 +165,73 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE r(verdict, host, path) AS (
+    VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+l AS (
+    SELECT url, unnest([
+        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>'),
+                       '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>'),
+                       '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)]) AS target
+    FROM pages),
+a AS (
+    SELECT url, replace(target, '&amp;', '&') AS target,
+           regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme,
+           regexp_extract(url, '(?s)^.*?://[^/?#]*') AS site,
+           regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder
+    FROM l WHERE target != ''),
+t AS (
+    SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+                     WHEN target LIKE '//%' THEN scheme || ':' || target
+                     WHEN target LIKE '/%' THEN site || target
+                     ELSE site || CASE folder WHEN '' THEN '/' ELSE folder END || target END AS target
+    FROM a),
+u AS (SELECT url FROM pages WHERE contains(url, '://') UNION SELECT target FROM t WHERE contains(target, '://')),
+k AS (
+    SELECT url,
+           translate(regexp_extract(url, '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+               || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS key,
+           translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM u),
+j AS (
+    SELECT url, arg_max(r.host || r.path, len(r.host || r.path)) AS rule, arg_max(verdict, len(r.host || r.path)) AS verdict
+    FROM k JOIN r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)
+    GROUP BY url),
+e AS (
+    SELECT x.key AS a, y.key AS b FROM t JOIN k x ON x.url = t.url JOIN k y ON y.url = t.target
+    UNION SELECT y.key, x.key FROM t JOIN k x ON x.url = t.url JOIN k y ON y.url = t.target),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+s AS (
+    SELECT a AS key, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS bad
+    FROM reach JOIN k ON k.key = reach.b JOIN j ON j.url = k.url GROUP BY a)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(verdict, CASE WHEN bad THEN 'block' END, 'allow') AS verdict
+FROM pages LEFT JOIN k ON k.url = pages.url LEFT JOIN j ON j.url = pages.url LEFT JOIN s ON s.key = k.key
+"""
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 QUERIES = {
+    "op1_warc": Query(op1, OP1_SQL),
+    "op2_secrets": Query(op2),
     "op3_exact_dedup": Query(op3, OP3_SQL),
     "op4_near_dedup": Query(op4, OP4_SQL),
     "op5_mixing": Query(op5),
+    "op6_licences": Query(op6),
     "op7_quality": Query(op7),
     "op8_decontamination": Query(op8, OP8_SQL),
+    "op9_url_rules": Query(op9, OP9_SQL),
+    "op10_language": Query(op10),
 }
