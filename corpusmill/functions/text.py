@@ -102,28 +102,24 @@ def mask_module_headers(text: Column) -> Column:
     return F.when(many, F.regexp_replace(text, R.MODULE_HEADER_REGEX, "")).otherwise(text)
 
 
-def _needed_literal(pattern: str) -> str:
-    """A literal that every match of ``pattern`` contains."""
-    for mark, literal in ((r"\$", "$"), ("#", "#"), ("`", "`"), ("->", "->")):
-        if mark in pattern and not pattern.startswith("defparam"):
-            return literal
-    return next(w for w in ("specparam", "defparam", "covergroup") if w in pattern)
-
-
-def matched_fragments(text: Column, patterns=R.NON_SYNTHESIZABLE_REGEXES) -> Column:
+def matched_fragments(
+    text: Column, patterns=R.NON_SYNTHESIZABLE_REGEXES, guards=R.FRAGMENT_GUARDS
+) -> Column:
     """Every match of every rule as ``array<struct<rule:int, fragment:string>>``.
 
-    Rules are grouped by a literal their matches must contain, so a text
-    without ``$`` or ``#`` skips those regular expressions altogether.
+    ``guards`` names, for some patterns, a text that all their matches hold:
+    rules with one guard are skipped together where it is missing. A pattern
+    without a guard is always searched for.
     """
-    groups: dict[str, list[int]] = {}
+    groups: dict[str | None, list[int]] = {}
     for rule, pattern in enumerate(patterns):
-        groups.setdefault(_needed_literal(pattern), []).append(rule)
+        groups.setdefault(guards.get(pattern), []).append(rule)
     found = []
     for literal, rules in groups.items():
         hits = F.array(*(find_all(text, f"(?d){patterns[rule]}") for rule in rules))
         none = F.array_repeat(empty_strings(), len(rules))
-        found.append(F.when(F.contains(text, F.lit(literal)), hits).otherwise(none))
+        guarded = F.when(F.contains(text, F.lit(literal)), hits).otherwise(none)
+        found.append(hits if literal is None else guarded)
     order = ", ".join(str(rule) for rules in groups.values() for rule in rules)
     numbers = F.expr(f"array({order})")
     tagged = F.transform(

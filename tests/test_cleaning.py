@@ -225,3 +225,16 @@ def test_balance_equals_a_plain_loop(spark, documents):
     for row in found.collect():
         lines, depth = fold_reference(documents[row["i"]])
         assert (row["text"], row["depth"]) == ("\n".join(lines), depth)
+
+
+def test_a_rule_without_a_guard_is_always_searched_for(texts):
+    rules = (r"foo|\$bar", r"\$stop\b", "plain")
+    (found,) = texts(lambda t: X.matched_fragments(t, rules), ["foo here, $bar and plain"])
+    assert sorted((row["rule"], row["fragment"]) for row in found) == [(0, "$bar"), (0, "foo"), (2, "plain")]
+    (found,) = texts(lambda t: X.matched_fragments(t, rules), ["foo here"])
+    assert [(row["rule"], row["fragment"]) for row in found] == [(0, "foo")]
+
+
+def test_guards_stand_in_every_match():
+    for pattern, guard in R.FRAGMENT_GUARDS.items():
+        assert guard in pattern.replace("\\", ""), pattern
