@@ -86,24 +86,25 @@ def meaningful_renames(names: Column, taken: Column) -> Column:
     """``u$clk`` becomes ``clk``, the next such name ``clk1``, and so on.
 
     ``names`` in order of appearance; the counter starts one later when the
-    plain word is already among ``taken``.
+    plain word is already among ``taken``. Names are numbered word by word;
+    the words are a fixed list, so the work grows with the names.
     """
     keyed = F.transform(
         names, lambda n: F.struct(n.alias("name"), meaningful_part(n).alias("word"))
     )
     keyed = F.filter(keyed, lambda k: (k["word"] != "") & (k["word"] != k["name"]))
 
-    def numbered(item: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(keyed, 1, i), lambda k: k["word"] == item["word"]))
-        n = earlier + F.array_contains(taken, item["word"]).cast("int")
-        return F.struct(
-            item["name"].alias("name"),
-            F.when(n == 0, item["word"])
-            .otherwise(F.concat(item["word"], n.cast("string")))
-            .alias("replacement"),
-        )
-
-    return F.transform(keyed, numbered)
+    def of_word(word: Column) -> Column:
+        shift = F.array_contains(taken, word).cast("int")
+
+        def numbered(item: Column, i: Column) -> Column:
+            n = i + shift
+            plain = F.when(n == 0, word).otherwise(F.concat(word, n.cast("string")))
+            return F.struct(item["name"].alias("name"), plain.alias("replacement"))
+
+        return F.transform(F.filter(keyed, lambda k: k["word"] == word), numbered)
+
+    return F.flatten(F.transform(F.array_distinct(keyed["word"]), of_word))
 
 
 def seeded_order(names: Column, seed: int, key: Column) -> Column:

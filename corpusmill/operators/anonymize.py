@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill import rules as R
@@ -47,15 +47,13 @@ def rename_plan(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame
 
     Placeholders of a kind are exactly 1..k; which name gets which follows a
     seeded hash, so neither position nor spelling leaks. Meaningful module and
-    submodule names keep their word instead of getting a placeholder.
+    submodule names keep their word instead of getting a placeholder, numbered
+    together and apart from every identifier of the file.
     """
     c = F.col
     df = df.withColumn(
         "kept_names",
-        F.array_union(
-            I.meaningful_renames(c("module_names"), c("module_names")),
-            I.meaningful_renames(c("submodule_names"), c("submodule_names")),
-        ),
+        I.meaningful_renames(F.concat("module_names", "submodule_names"), c("identifiers")),
     )
     for kind in KINDS:
         names = I.without(f"{kind}_names", R.MEANINGFUL_WORDS)
@@ -77,8 +75,9 @@ def rewrite(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
 def anonymize(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """Rewrite ``content``; add ``id_count``, ``aberrant`` and ``quarantine``.
 
-    Instead of ending the job, a document without identifiers or with an
-    identifier that no rule explains carries a quarantine reason.
+    Instead of ending the job, a document without identifiers, with two names
+    that would become one, or with an identifier that no rule explains carries
+    a quarantine reason.
     """
     c = F.col
     kept = df.columns
@@ -93,14 +92,22 @@ def anonymize(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     df = df.withColumn("content", I.blank_lines_with(c("code"), c("banned")))
     df = df.withColumn(
         "quarantine",
-        F.when(c("id_count") == 0, F.lit("NO_IDENTIFIERS")).when(
-            F.size("aberrant") > 0, F.lit("ABERRANT_IDENTIFIER")
-        ),
+        F.when(c("id_count") == 0, F.lit("NO_IDENTIFIERS"))
+        .when(collides(), F.lit("RENAME_COLLISION"))
+        .when(F.size("aberrant") > 0, F.lit("ABERRANT_IDENTIFIER")),
     )
     df = df.select(*kept, "id_count", "banned", "aberrant", "quarantine")
     return evaluate_once(df, "content", "id_count", "banned", "aberrant", "quarantine")
 
 
+def collides() -> Column:
+    """Two names become one: a repeated replacement, or one that an unrenamed identifier has."""
+    replacements = F.col("renames")["replacement"]
+    staying = F.array_except("identifiers", F.col("renames")["name"])
+    repeated = F.size(F.array_distinct(replacements)) < F.size(replacements)
+    return repeated | F.arrays_overlap(replacements, staying)
+
+
 def rename_rows(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """The rename plan in long form ``(key, kind, name, replacement)``."""
     planned = rename_plan(extract_names(df), seed, key)

@@ -64,9 +64,9 @@ VARIABLES = f"""
 KEPT = f"""
     SELECT doc_id, name, word || CASE WHEN n + taken = 0 THEN '' ELSE CAST(n + taken AS VARCHAR) END
            AS replacement
-    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, word ORDER BY place) - 1 AS n,
-                 CASE WHEN EXISTS (SELECT 1 FROM both_kinds o WHERE o.doc_id = b.doc_id
-                     AND o.kind = b.kind AND o.name = b.word) THEN 1 ELSE 0 END AS taken
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY kind, place) - 1 AS n,
+                 CASE WHEN EXISTS (SELECT 1 FROM idents o WHERE o.doc_id = b.doc_id
+                     AND o.name = b.word) THEN 1 ELSE 0 END AS taken
           FROM (SELECT *, list_filter(string_split(name, '$'),
                     lambda p: list_contains({_WORDS}, p))[1] AS word FROM both_kinds) b
           WHERE word IS NOT NULL AND word <> name) k"""
@@ -98,9 +98,14 @@ RELEASED = """
            coalesce(string_agg(name, '|' ORDER BY name) FILTER (NOT banned), '') AS aberrant,
            list(name) FILTER (banned) AS banned_list, any_value(w.code) AS code
     FROM rewritten w LEFT JOIN banned b ON w.doc_id = b.doc_id GROUP BY w.doc_id"""
+COLLIDED = """
+    SELECT doc_id FROM renames GROUP BY doc_id HAVING count(DISTINCT replacement) < count(*)
+    UNION SELECT r.doc_id FROM renames r JOIN idents i ON i.doc_id = r.doc_id AND i.name = r.replacement
+    WHERE NOT EXISTS (SELECT 1 FROM renames x WHERE x.doc_id = i.doc_id AND x.name = i.name)"""
 FINAL = """
-    SELECT doc_id, banned, aberrant, CASE WHEN aberrant <> '' THEN 'ABERRANT_IDENTIFIER' END
-           AS quarantine,
+    SELECT doc_id, banned, aberrant,
+           CASE WHEN doc_id IN (SELECT doc_id FROM collided) THEN 'RENAME_COLLISION'
+                WHEN aberrant <> '' THEN 'ABERRANT_IDENTIFIER' END AS quarantine,
            CASE WHEN banned_list IS NULL THEN code ELSE list_aggregate(list_transform(
                string_split(code, chr(10)), lambda x: CASE WHEN len(list_filter(banned_list,
                    lambda w: contains(x, w))) > 0 THEN '' ELSE x END), 'string_agg', chr(10)) END
@@ -111,7 +116,7 @@ _ORDER = {
     "idents": IDENTS, "literals": LITERALS, "modules": MODULES, "runs": RUNS,
     "instances": INSTANCES, "variables": VARIABLES, "both_kinds": BOTH, "kept": KEPT,
     "renames": RENAMES, "rewritten": REWRITTEN, "residual": RESIDUAL, "banned": BANNED,
-    "released": RELEASED, "final": FINAL,
+    "released": RELEASED, "collided": COLLIDED, "final": FINAL,
 }
 
 
@@ -175,7 +180,8 @@ def _meaningful(spark, sf_dir):
 
 
 def _bijection(spark, sf_dir):
-    return _renames(spark, sf_dir).groupBy("doc_id", "kind").agg(
+    """Over all kinds together: as many replacements as names."""
+    return _renames(spark, sf_dir).groupBy("doc_id").agg(
         F.count_distinct("name").alias("n_names"),
         F.count_distinct("replacement").alias("n_replacements"),
     )
@@ -248,8 +254,8 @@ QUERIES = {
     ),
     "N11_bijection": Query(
         _bijection,
-        _sql("SELECT doc_id, kind, count(DISTINCT name) AS n_names, count(DISTINCT replacement) "
-             "AS n_replacements FROM renames GROUP BY doc_id, kind", "renames"),
+        _sql("SELECT doc_id, count(DISTINCT name) AS n_names, count(DISTINCT replacement) "
+             "AS n_replacements FROM renames GROUP BY doc_id", "renames"),
     ),
     "N12_aberrant_identifiers": Query(
         lambda spark, d: _anonymized(spark, d).select(

@@ -130,3 +130,31 @@ def test_everything_but_names_is_preserved(corpus_of, contents):
         assert len(set(names.values())) == len(names) and not kept & set(names)
         runs = re.findall(r"[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+", f"module m;{contents[row['doc_id']]}")
         assert row["code"] == "".join(names.get(run, run) for run in runs)
+
+
+COLLIDING = """module x$clk(input clk);
+leaf u$clk();
+leaf v$clk();
+endmodule
+module leaf(input data);
+endmodule
+"""
+
+
+def test_kept_words_are_numbered_apart_from_all_identifiers(corpus_of):
+    docs = corpus_of({"a.v": COLLIDING})
+    rows = A.rename_rows(docs).collect()
+    kept = {row["name"]: row["replacement"] for row in rows if row["kind"] == "kept"}
+    assert kept == {"x$clk": "clk1", "u$clk": "clk2", "v$clk": "clk3"}
+    A.assert_bijection(A.rename_rows(docs))
+    assert A.anonymize(docs).first()["quarantine"] is None
+
+
+def test_many_names_take_bounded_time(corpus_of):
+    import time
+
+    names = " ".join(f"wire name_{i} = u{i}$clk;" for i in range(10_000))
+    docs = corpus_of({"a.v": f"module top(input clk);\n{names}\nendmodule"})
+    start = time.perf_counter()
+    assert A.anonymize(docs).first()["quarantine"] is None
+    assert time.perf_counter() - start < 60
