@@ -36,6 +36,12 @@ def all_ones(ids: Column) -> Column:
     return F.transform(ids, lambda i: F.lit(1))
 
 
+def shifted_labels(ids: Column, ignore: int = -100) -> Column:
+    """At each place the next id; the last place, which has none, is ignored."""
+    rest = F.concat(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), F.array(F.lit(ignore)))
+    return F.when(F.size(ids) > 0, rest).otherwise(ids)
+
+
 def next_token_pairs(ids: Column) -> Column:
     """``array<struct<context,next>>`` of neighbouring tokens.
 

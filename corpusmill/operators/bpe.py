@@ -23,7 +23,11 @@ from corpusmill.session import cut_lineage
 
 @dataclass(frozen=True)
 class Profile:
-    """Trainer settings of one tokenizer family."""
+    """Trainer settings of one tokenizer family.
+
+    A wordpiece word of more than ``max_word_chars`` characters is unknown, as
+    in the public model; None sets no limit.
+    """
 
     specials: tuple[str, ...]
     vocab_size: int
@@ -33,12 +37,14 @@ class Profile:
     suffix: str = ""
     unknown: str = "[UNK]"
     kind: str = "bpe"
+    max_word_chars: int | None = None
 
 
 # The five tokenizer profiles.
 PROFILES = {
     "bert": Profile(
-        ("[CLS]", "[SEP]", "[PAD]", "[MASK]", "[UNK]"), 30522, prefix="##", kind="wordpiece"
+        ("[CLS]", "[SEP]", "[PAD]", "[MASK]", "[UNK]"), 30522, prefix="##", kind="wordpiece",
+        max_word_chars=100,
     ),
     "gpt2": Profile(
         ("[UNK]", "[PAD]", "[MASK]", "[BOS]", "[EOS]"), 50257, min_frequency=2,

@@ -1,55 +1,77 @@
-"""Encoding a corpus: each distinct word once, then a join back.
+"""Encoding a corpus without a shuffle.
 
-Documents are taken apart, joined and put together by Spark; the only Python
-is the small helper that splits one distinct word with the trained merges.
+Pre-tokens are cut in the JVM and stay in their row. A task takes the distinct
+words of each batch apart once, remembers them, and puts the ids together by
+position. What travels with a task is the vocabulary of the tokenizer, which
+its profile bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import MAX_LENGTH, attention_mask, pad, pre_tokens, truncate
 from corpusmill.operators import eda
-from corpusmill.operators import vocab as V
-from corpusmill.operators.bpe import Tokenizer
+from corpusmill.operators.bpe import Profile, Tokenizer
 
-ENCODED_WORD = "word string, tokens array<string>, ids array<int>"
-MAX_WORD_CHARS = 100
+#: Words that a task remembers the ids of.
+REMEMBERED = 200_000
+
+
+def word_tokenizer(vocab: DataFrame, specials: tuple[str, ...], size: int) -> Tokenizer:
+    """Word-level ids as a tokenizer; ``vocab`` has at most ``size`` rows."""
+    ids = {row["token"]: row["id"] for row in vocab.limit(size).collect()}
+    return Tokenizer(Profile(specials, size, kind="word"), ids)
 
 
 def bpe_pieces(word: str, tokenizer: Tokenizer, ranks: dict) -> list[str]:
-    """Merge the lowest ranked neighbours until none is left."""
+    """Merge the lowest ranked neighbours, leftmost first, until none is left.
+
+    Neighbours wait in a heap, so a long word costs n log n.
+    """
     p, last = tokenizer.profile, len(word) - 1
     spelled = [
         ("" if i == 0 else p.prefix) + c + (p.suffix if i == last else "")
         for i, c in enumerate(word)
     ]
-    parts = [s if s in tokenizer.ids else p.unknown for s in spelled]
-    while len(parts) > 1:
-        pair = min(zip(parts, parts[1:]), key=lambda two: ranks.get(two, len(ranks)))
-        if pair not in ranks:
-            break
-        joined, merged, i = pair[0] + pair[1].removeprefix(p.prefix), [], 0
-        while i < len(parts):
-            hit = tuple(parts[i : i + 2]) == pair
-            merged.append(joined if hit else parts[i])
-            i += 2 if hit else 1
-        parts = merged
-    return parts
-
-
-def wordpiece_pieces(word: str, tokenizer: Tokenizer) -> list[str]:
+    parts: list[str | None] = [s if s in tokenizer.ids else p.unknown for s in spelled]
+    right, left = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+
+    def waiting(i: int) -> tuple | None:
+        pair = (parts[i], parts[right[i]]) if right[i] < len(parts) else None
+        return (ranks[pair], i, pair) if pair in ranks else None
+
+    heap = [item for item in map(waiting, range(len(parts))) if item]
+    heapq.heapify(heap)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = right[i]
+        if parts[i] != pair[0] or j >= len(parts) or parts[j] != pair[1]:
+            continue
+        parts[i], parts[j] = pair[0] + pair[1].removeprefix(p.prefix), None
+        right[i] = right[j]
+        if right[i] < len(parts):
+            left[right[i]] = i
+        for place in (left[i], i):
+            if place >= 0 and (item := waiting(place)):
+                heapq.heappush(heap, item)
+    return [part for part in parts if part is not None]
+
+
+def wordpiece_pieces(word: str, tokenizer: Tokenizer, longest: int) -> list[str]:
     """Greedy longest match; a word with an unmatched rest is unknown."""
     p, start, parts = tokenizer.profile, 0, []
-    if len(word) > MAX_WORD_CHARS:
+    if p.max_word_chars is not None and len(word) > p.max_word_chars:
         return [p.unknown]
     while start < len(word):
         mark = p.prefix if start else ""
-        ends = range(len(word), start, -1)
+        ends = range(min(len(word), start + longest), start, -1)
         end = next((e for e in ends if mark + word[start:e] in tokenizer.ids), None)
         if end is None:
             return [p.unknown]
@@ -58,51 +80,100 @@ def wordpiece_pieces(word: str, tokenizer: Tokenizer) -> list[str]:
     return parts
 
 
-def encode_words(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """Distinct ``word`` rows to their pieces and ids, batch by batch.
+def splitter(tokenizer: Tokenizer) -> Callable[[str], list[str]]:
+    """The function that takes one word apart."""
+    p = tokenizer.profile
+    if p.kind == "word":
+        return lambda word: [word if word in tokenizer.ids else p.unknown]
+    if p.kind == "wordpiece":
+        longest = max(map(len, tokenizer.ids), default=1)
+        return lambda word: wordpiece_pieces(word, tokenizer, longest)
+    ranks = {pair: rank for rank, pair in reversed([*enumerate(tokenizer.merges)])}
+    return lambda word: bpe_pieces(word, tokenizer, ranks)
 
-    The tokenizer travels with the task; its size is the configured one.
-    """
-    ranks = {pair: rank for rank, pair in enumerate(tokenizer.merges)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if tokenizer.profile.kind == "wordpiece":
-                pieces = [wordpiece_pieces(w, tokenizer) for w in batch["word"]]
-            else:
-                pieces = [bpe_pieces(w, tokenizer, ranks) for w in batch["word"]]
-            ids = [[tokenizer.ids[t] for t in parts] for parts in pieces]
-            yield pd.DataFrame({"word": batch["word"], "tokens": pieces, "ids": ids})
 
-    return words.select("word").distinct().mapInPandas(run, ENCODED_WORD)
+def _spread(values: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values[code]`` of each code one after the other, and their sizes."""
+    sizes = np.array([len(v) for v in values], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.concatenate(values) if values else np.empty(0, np.int32)
+    each = sizes[codes]
+    place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return flat[np.repeat(starts[codes], each) + place], each
 
 
-def encode_corpus(df: DataFrame, tokenizer: Tokenizer, key: str = "doc_id") -> DataFrame:
-    """``(key, input_ids)`` per document, empty documents included.
+def encode_tokens(rows: DataFrame, tokenizer: Tokenizer, keys: list[str]) -> DataFrame:
+    """``keys`` and ``tokens`` to ``input_ids`` and ``unknown`` (a piece is unknown)."""
 
-    The dictionary has one row per distinct word, so a hot word only makes
-    the occurrence side uneven, which Spark's skew join splits.
-    """
-    rows = V.pre_token_rows(df)
-    dictionary = encode_words(rows, tokenizer).select("word", "ids")
-    joined = rows.join(dictionary, "word")
-    packed = F.sort_array(F.collect_list(F.struct("pos", "ids")))
-    encoded = joined.groupBy(key).agg(F.flatten(packed["ids"]).alias("input_ids"))
-    whole = df.select(key).join(encoded, key, "left")
-    return whole.withColumn(
-        "input_ids", F.coalesce("input_ids", F.array().cast("array<int>"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, unknown = splitter(tokenizer), tokenizer.profile.unknown
+        known: dict[str, tuple[np.ndarray, bool]] = {}
+        for batch in batches:
+            lists = batch.column("tokens")
+            lists = lists.fill_null([]) if lists.null_count else lists
+            words = lists.flatten().dictionary_encode()
+            if len(known) > REMEMBERED:
+                known.clear()
+            values, bad = [], []
+            for word in words.dictionary.to_pylist():
+                if word not in known:
+                    parts = split(word)
+                    ids = np.array([tokenizer.ids[t] for t in parts], dtype=np.int32)
+                    known[word] = ids, unknown in parts
+                values.append(known[word][0])
+                bad.append(known[word][1])
+            codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, sizes = _spread(values, codes)
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+            misses = np.concatenate([[0], np.cumsum(np.array(bad, dtype=bool)[codes])])[bounds]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k) for k in keys),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())),
+                    pa.array(np.diff(misses) > 0),
+                ],
+                [*keys, "input_ids", "unknown"],
+            )
+
+    head = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.select(*keys, "tokens").mapInArrow(
+        run, f"{head}input_ids array<int>, unknown boolean"
     )
 
 
-def decode_corpus(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+def encode_corpus(df: DataFrame, tokenizer: Tokenizer, key: str = "doc_id") -> DataFrame:
+    """``(key, input_ids)`` per document, empty documents included."""
+    rows = df.select(key, pre_tokens(F.coalesce("content", F.lit(""))).alias("tokens"))
+    return encode_tokens(rows, tokenizer, [key]).drop("unknown")
+
+
+def decode_corpus(
+    encoded: DataFrame, vocab: Tokenizer | DataFrame, key: str = "doc_id", unknown: str = "[UNK]"
+) -> DataFrame:
     """Ids back to tokens, joined by spaces in order.
 
-    The vocabulary is bounded by its configured size and may be broadcast.
+    Every document stays, an empty one as empty text; an id that the
+    vocabulary lacks reads as the unknown token. A vocabulary table
+    ``(token, id)`` is as large as its tokenizer was configured.
     """
-    rows = encoded.select(key, F.posexplode("input_ids").alias("pos", "id"))
-    named = rows.join(F.broadcast(vocab), "id")
-    packed = F.sort_array(F.collect_list(F.struct("pos", "token")))
-    return named.groupBy(key).agg(F.array_join(packed["token"], " ").alias("text"))
+    if isinstance(vocab, Tokenizer):
+        unknown, tokens = vocab.profile.unknown, {i: token for token, i in vocab.ids.items()}
+    else:
+        tokens = {row["id"]: row["token"] for row in vocab.collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                " ".join([tokens.get(i, unknown) for i in ids or []])
+                for ids in batch.column("input_ids").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array(texts, pa.string())], [key, "text"]
+            )
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(key, "input_ids").mapInArrow(run, f"{key} {kind}, text string")
 
 
 def model_inputs(
@@ -117,45 +188,28 @@ def model_inputs(
 
 
 def evaluate_tokenizer(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """Coverage, token counts, unknown rate and fragmentation in one row."""
-    dictionary = encode_words(V.pre_token_rows(df), tokenizer).select(
-        "word", F.size("ids").alias("n_sub"),
-        F.array_contains("tokens", tokenizer.profile.unknown).alias("unknown"),
-    )
-    return evaluate_dictionary(df, dictionary)
-
-
-def evaluate_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The same from a table ``(word, n_sub, unknown)`` of all pre-tokens.
+    """Coverage, token counts, unknown rate and fragmentation in one row.
 
     Each distinct whitespace word is taken apart once and weighted by its
-    frequency. Pieces inside whitespace words are the pre-tokens of the text.
+    frequency; lengths of documents come from encoding them in their rows.
     """
-    words = eda.word_frequencies(df).select(F.col("word").alias("whole"), "n")
-    pieces = words.select("whole", "n", F.explode(pre_tokens(F.col("whole"))).alias("word"))
-    per_word = pieces.join(dictionary, "word").groupBy("whole", "n").agg(
-        F.sum("n_sub").alias("n_sub"), F.max("unknown").alias("unknown")
-    )
-    n = F.col("n")
+    words = eda.word_frequencies(df).select("word", "n", pre_tokens(F.col("word")).alias("tokens"))
+    per_word = encode_tokens(words.where("size(tokens) > 0"), tokenizer, ["word", "n"])
+    n, unknown = F.col("n"), F.col("unknown")
     stats = per_word.agg(
         F.count(F.lit(1)).alias("u"), F.sum(n).alias("w"),
-        F.coalesce(F.sum(F.when(F.col("unknown"), n)), F.lit(0)).alias("o"),
+        F.coalesce(F.sum(F.when(unknown, n)), F.lit(0)).alias("o"),
         F.count_if("unknown").alias("o_distinct"),
-        F.coalesce(F.sum(F.when(F.col("n_sub") > 1, n)), F.lit(0)).alias("s"),
-    )
-    rows = V.pre_token_rows(df).join(dictionary, "word")
-    filled = rows.groupBy("doc_id").agg(F.sum("n_sub").alias("n_tokens"))
-    lengths = df.select("doc_id").join(filled, "doc_id", "left").select(
-        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")
+        F.coalesce(F.sum(F.when(F.size("input_ids") > 1, n)), F.lit(0)).alias("s"),
     )
+    lengths = encode_corpus(df, tokenizer).select(F.size("input_ids").alias("n_tokens"))
     counts = eda.token_count_stats(lengths)
-    return stats.select(
+    return stats.withColumn("counts", counts.select(F.struct("*")).scalar()).select(
         F.round((F.col("u") - F.col("o")) / F.col("u"), 6).alias("vocab_coverage"),
         F.round((F.col("u") - F.col("o_distinct")) / F.col("u"), 6).alias(
             "vocab_coverage_distinct"
         ),
-        counts.select("mean_token_count").scalar().alias("mean_token_count"),
-        counts.select("median_token_count").scalar().alias("median_token_count"),
+        "counts.mean_token_count", "counts.median_token_count",
         F.round(F.col("o") / F.col("w"), 6).alias("oov_rate"),
         F.round(F.col("s") / F.col("w"), 6).alias("subword_fragmentation"),
     )

@@ -55,12 +55,19 @@ def rank_within(df: DataFrame, key: str, block: Column, *order: str) -> DataFram
     )
     inside = Window.partitionBy(key, "rank_block").orderBy(*order)
     return (
-        df.join(offsets, [key, "rank_block"])
+        _with_block(df, offsets, key, "rank_block", "block_offset")
         .withColumn("rank", F.row_number().over(inside) + F.col("block_offset"))
         .drop("rank_block", "block_offset")
     )
 
 
+def _with_block(df: DataFrame, blocks: DataFrame, key: str, block: str, value: str) -> DataFrame:
+    """Add the value of each row's block; a null key or block is one like others."""
+    same = df[key].eqNullSafe(F.col("__key")) & df[block].eqNullSafe(F.col("__block"))
+    renamed = blocks.select(F.col(key).alias("__key"), F.col(block).alias("__block"), value)
+    return df.join(renamed, same).drop("__key", "__block")
+
+
 def running_max(
     df: DataFrame, key: str, position: str, value: str, name: str,
     include_current: bool = False, block_rows: int = 4096,
@@ -76,7 +83,7 @@ def running_max(
         .rowsBetween(Window.unboundedPreceding, last)
     )
     return (
-        df.join(maxima, [key, "max_block"])
+        _with_block(df, maxima, key, "max_block", "earlier_max")
         .withColumn(name, F.greatest(F.max(value).over(inside), F.col("earlier_max")))
         .drop("max_block", "earlier_max")
     )

@@ -81,23 +81,14 @@ def trimmed_coverage(word_counts: DataFrame, sizes) -> DataFrame:
 def token_ids(tokens: DataFrame, vocab: DataFrame, unknown_id: int | None = None) -> DataFrame:
     """Add ``id`` to a table with ``token``; unknown tokens get ``unknown_id``.
 
-    A vocabulary never has more rows than its configured size, so it may be
-    broadcast; occurrences then stay where they are, however hot a token is.
+    How the vocabulary is joined is left to Spark, by its measured size.
     """
-    joined = tokens.join(F.broadcast(vocab), "token", "left")
+    joined = tokens.join(vocab, "token", "left")
     if unknown_id is None:
         return joined
     return joined.withColumn("id", F.coalesce("id", F.lit(unknown_id)))
 
 
-def special_id(vocab: DataFrame, token: str) -> int:
-    """The id of one token, looked up once."""
-    row = vocab.filter(F.col("token") == token).select("id").first()
-    if row is None:
-        raise KeyError(token)
-    return row["id"]
-
-
 def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(
         F.count(F.lit(1)).alias("size"), F.min("id").cast("bigint").alias("min_id"),
@@ -105,12 +96,6 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     )
 
 
-def ids_per_document(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, pos, id)`` rows back to one ordered array per document."""
-    packed = F.sort_array(F.collect_list(F.struct("pos", "id")))
-    return rows.groupBy(key).agg(packed["id"].alias("input_ids"))
-
-
 def longest_in_batch(df: DataFrame, batch: Column, column: str = "input_ids") -> DataFrame:
     """Add the longest sequence length of the row's batch (batches are small)."""
     return df.withColumn("batch_id", batch).withColumn(

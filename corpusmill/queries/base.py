@@ -40,11 +40,11 @@ CHECK_VIEWS = {
     ),
     "predictions": """
         SELECT 'a' AS model_id, vec_id // 10 AS batch_id, vec_id AS pos, label,
-               embedding[1:10] AS logits
+               embedding AS logits
         FROM embeddings""",
     "two_models": """
         SELECT model_id, vec_id // 10 AS batch_id, vec_id AS pos, label,
-               CASE WHEN model_id = 'a' THEN embedding[1:10] ELSE embedding[11:20] END AS logits
+               CASE WHEN model_id = 'a' THEN embedding ELSE list_reverse(embedding) END AS logits
         FROM embeddings, (VALUES ('a'), ('b')) m(model_id)""",
     "run_log": f"""
         SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS INTEGER)

@@ -14,10 +14,11 @@ from corpusmill.queries.reports import PRE, WORDS
 from corpusmill.sources import views as V
 
 SPECIALS = bpe.PROFILES["gpt2"].specials
-VOCAB_SIZE = 2000
+VOCAB_SIZE = bpe.PROFILES["gpt2"].vocab_size
 PAD_ID = SPECIALS.index("[PAD]")
 UNK_ID = SPECIALS.index("[UNK]")
 TRAINED_SIZE = 450
+TRIMMED_SIZES = (1000, 42_163)
 
 PRE_ROWS = f"""
     SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos
@@ -54,11 +55,11 @@ def _vocab(spark, sf_dir):
 
 def _encoded(spark, sf_dir):
     """Word-level ids per document, in order."""
-    corpus = V.corpus(spark, sf_dir)
-    rows = W.pre_token_rows(corpus).withColumnRenamed("word", "token")
-    named = W.token_ids(rows, _vocab(spark, sf_dir), UNK_ID)
-    whole = corpus.select("doc_id").join(W.ids_per_document(named), "doc_id", "left")
-    return whole.withColumn("input_ids", F.coalesce("input_ids", F.array().cast("array<int>")))
+    return encode.encode_corpus(V.corpus(spark, sf_dir), _word_level(spark, sf_dir))
+
+
+def _word_level(spark, sf_dir):
+    return encode.word_tokenizer(_vocab(spark, sf_dir), SPECIALS, VOCAB_SIZE)
 
 
 def _ids(rule, name="ids"):
@@ -109,10 +110,10 @@ def _labels(spark, sf_dir):
 
 
 def _shifted(spark, sf_dir):
-    pairs = T.next_token_pairs(F.col("input_ids"))
-    return _encoded(spark, sf_dir).select("doc_id", F.inline(pairs)).groupBy("context", "next").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """Per document the inputs and, one to the left, the token to predict at each place."""
+    ids = T.truncate(F.col("input_ids"))
+    shifted = _encoded(spark, sf_dir).select("doc_id", T.shifted_labels(ids).alias("labels"))
+    return shifted.select("doc_id", F.array_join("labels", " ").alias("labels"))
 
 
 @lru_cache(maxsize=16)
@@ -147,24 +148,16 @@ def _trained_encoding(profile: str):
 def _decoded(spark, sf_dir):
     corpus = V.corpus(spark, sf_dir)
     tokenizer = trained(spark, sf_dir, "mistral")
-    return encode.decode_corpus(
-        encode.encode_corpus(corpus, tokenizer), tokenizer.vocab(spark)
-    )
+    return encode.decode_corpus(encode.encode_corpus(corpus, tokenizer), tokenizer)
 
 
 def _word_decoded(spark, sf_dir):
-    return encode.decode_corpus(_encoded(spark, sf_dir), _vocab(spark, sf_dir))
+    return encode.decode_corpus(_encoded(spark, sf_dir), _word_level(spark, sf_dir))
 
 
 def _evaluated(spark, sf_dir):
     """The word-level tokenizer: a known word is one token, others unknown."""
-    corpus = V.corpus(spark, sf_dir)
-    words = _counts(spark, sf_dir).select("word")
-    known = _vocab(spark, sf_dir).select(F.col("token").alias("word"), F.lit(False).alias("unknown"))
-    dictionary = words.join(F.broadcast(known), "word", "left").select(  # bounded vocabulary
-        "word", F.lit(1).alias("n_sub"), F.coalesce("unknown", F.lit(True)).alias("unknown")
-    )
-    return encode.evaluate_dictionary(corpus, dictionary)
+    return encode.evaluate_tokenizer(V.corpus(spark, sf_dir), _word_level(spark, sf_dir))
 
 
 _EVALUATED = f"""
@@ -230,8 +223,10 @@ QUERIES = {
     "X9_decode_bpe": Query(_decoded),
     "X9_decode_words": Query(
         _word_decoded,
-        _sql(f"""SELECT doc_id, string_agg(coalesce(v.token, '{SPECIALS[UNK_ID]}'), ' ' ORDER BY pos)
-                 AS text FROM pre p LEFT JOIN vocab v ON p.word = v.token GROUP BY doc_id""", "vocab"),
+        _sql(f"""SELECT c.doc_id, coalesce(string_agg(coalesce(v.token, '{SPECIALS[UNK_ID]}'), ' '
+                     ORDER BY pos) FILTER (pos IS NOT NULL), '') AS text
+                 FROM corpus c LEFT JOIN pre p ON c.doc_id = p.doc_id LEFT JOIN vocab v ON p.word = v.token
+                 GROUP BY c.doc_id""", "vocab"),
     ),
     "X10_truncate": Query(_ids(T.truncate), _sql(f"SELECT doc_id, {_text(_CUT)} AS ids FROM encoded")),
     "X11_left_pad": Query(
@@ -253,19 +248,22 @@ QUERIES = {
     "X13_labels": Query(_labels, _sql(f"SELECT doc_id, {_text(_LEFT)} AS labels FROM encoded")),
     "X13_shifted_labels": Query(
         _shifted,
-        _sql("""SELECT context, next, count(*) AS n FROM (
-                  SELECT ids[i] AS context, ids[i + 1] AS next
-                  FROM (SELECT ids, unnest(generate_series(1, len(ids) - 1)) AS i FROM encoded) e) p
-                GROUP BY ALL"""),
+        _sql(f"""SELECT doc_id, CASE WHEN len({_CUT}) = 0 THEN ''
+                   ELSE {_text(f"list_concat(list_slice({_CUT}, 2, 512), [-100])")} END AS labels
+                 FROM encoded"""),
     ),
     "X14_evaluate_words": Query(_evaluated, _sql(_EVALUATED)),
     "X14_evaluate_bpe": Query(_trained_evaluation("gpt2")),
     "X15_trimmed_coverage": Query(
-        lambda spark, d: W.trimmed_coverage(_counts(spark, d), (100, 1000, 5000)),
+        lambda spark, d: W.trimmed_coverage(_counts(spark, d), TRIMMED_SIZES),
         _sql("""SELECT CAST(k AS BIGINT) AS vocab_size, CAST(sum(freq) FILTER (r <= k) AS BIGINT) AS covered,
                   count(*) AS n_words, round(sum(freq) FILTER (r <= k) / sum(freq), 6) AS coverage
                 FROM (SELECT freq, row_number() OVER (ORDER BY freq DESC, word) AS r FROM counts) c,
-                     (VALUES (100), (1000), (5000)) v(k) GROUP BY k""", "counts"),
+                     (VALUES (1000), (42163)) v(k) GROUP BY k""", "counts"),
+    ),
+    "X15_trimmed_vocabulary": Query(
+        lambda spark, d: W.word_vocabulary(_counts(spark, d), SPECIALS, TRIMMED_SIZES[-1]),
+        _sql(f"SELECT token, id FROM vocab WHERE id < {TRIMMED_SIZES[-1]}", "vocab"),
     ),
     "X16_vocab_lookup": Query(
         _lookup,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 
 import pytest
@@ -156,3 +157,36 @@ def test_evaluation_of_a_full_vocabulary(docs):
     row = encode.evaluate_tokenizer(docs, tokenizer).first()
     assert (row["vocab_coverage"], row["oov_rate"]) == (1.0, 0.0)
     assert 0 < row["subword_fragmentation"] <= 1
+
+
+def test_decoding_keeps_every_document_and_id(spark, docs):
+    counts = W.pre_token_counts(docs)
+    vocab = W.word_vocabulary(counts, ("[UNK]", "[PAD]"), 8)
+    tokenizer = encode.word_tokenizer(vocab, ("[UNK]", "[PAD]"), 8)
+    decoded = {r["doc_id"]: r["text"] for r in encode.decode_corpus(encode.encode_corpus(docs, tokenizer), vocab).collect()}
+    assert decoded[3] == "" and len(decoded) == len(CODE)
+    assert all(len(decoded[i].split()) == len(words) for i, words in enumerate(map(str.split, decoded.values())))
+    lost = spark.createDataFrame([(0, [0, 99, 1]), (1, [])], "doc_id long, input_ids array<int>")
+    rows = encode.decode_corpus(lost, tokenizer).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == ["[UNK] [UNK] [PAD]", ""]
+
+
+def test_encoding_moves_nothing(docs):
+    tokenizer = bpe.train(W.pre_token_counts(docs), bpe.PROFILES["mistral"], 60)
+    plan = encode.encode_corpus(docs, tokenizer)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_long_runs_and_word_limits(docs):
+    tokenizer = bpe.train(W.pre_token_counts(docs), bpe.PROFILES["mistral"], 100)
+    split = encode.splitter(tokenizer)
+    assert "".join(split("a" * 50_000)) == "a" * 50_000
+    wordpiece = bpe.train(W.pre_token_counts(docs), bpe.PROFILES["bert"], 100)
+    assert encode.splitter(wordpiece)("a" * 101) == ["[UNK]"]
+    wordpiece.profile = dataclasses.replace(wordpiece.profile, max_word_chars=None)
+    assert encode.splitter(wordpiece)("a" * 101) != ["[UNK]"]
+
+
+def test_shifted_labels(spark):
+    rows = spark.createDataFrame([([1, 2, 3],), ([1],), ([],)], "ids array<int>")
+    assert [r[0] for r in rows.select(T.shifted_labels(F.col("ids"))).collect()] == [[2, 3, -100], [-100], []]
