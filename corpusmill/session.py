@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,7 @@ def local_session(name: str = "corpusmill", cores: str = "8", **conf: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a local session gets its own."""
+    """Use the folder the cluster names; a local session without one gets its own, gone at exit."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -42,6 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
 
 

@@ -21,17 +21,17 @@ def read_corpus(
     return spark.read.format(fmt).schema(schema).options(**options).load(path)
 
 
-def spread(rows: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Give text work at least one task per core.
+SPREAD = "corpusmill.spread.partitions"
 
-    A small table, or one written as a few huge row groups, scans in fewer
-    tasks than there are cores and would leave most of them idle. A table with
-    enough scan tasks passes through without a shuffle.
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by key into as many partitions as the session setting SPREAD says.
+
+    For tables written as one huge row group, which scan in one task. Without
+    the setting nothing moves.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if source.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, key)
+    partitions = rows.sparkSession.conf.get(SPREAD, None)
+    return rows.repartition(int(partitions), key) if partitions else rows
 
 
 def read_split(spark: SparkSession, path: str, *splits: str) -> DataFrame:

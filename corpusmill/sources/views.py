@@ -2,7 +2,8 @@
 
 Each view is one portable SELECT (only functions with the same meaning in
 Spark SQL and ANSI engines), so a check in another engine sees the same rows.
-All views are per-row projections; nothing here shuffles.
+All views are per-row projections; nothing here shuffles unless the session
+asks for it (see ``spread``).
 """
 
 from __future__ import annotations
@@ -145,15 +146,14 @@ VARCORPUS_SPARK = VARCORPUS.format(
 
 PREDICTIONS_SPARK = """
 SELECT 'a' AS model_id, cast(floor(vec_id / 10) AS bigint) AS batch_id, vec_id AS pos, label,
-       slice(embedding, 1, 10) AS logits
+       embedding AS logits
 FROM embeddings
 """
 TWO_MODELS_SPARK = """
 SELECT model_id, cast(floor(vec_id / 10) AS bigint) AS batch_id, vec_id AS pos, label,
-       slice(embedding, start, 10) AS logits
+       CASE model_id WHEN 'a' THEN embedding ELSE reverse(embedding) END AS logits
 FROM embeddings
-LATERAL VIEW inline(array(struct('a' AS model_id, 1 AS start),
-                          struct('b' AS model_id, 11 AS start))) models
+LATERAL VIEW explode(array('a', 'b')) models AS model_id
 """
 
 # A training log per user: every event is one epoch of the user's run, and
@@ -184,7 +184,7 @@ def _view(
 ) -> DataFrame:
     source = _table(spark, sf_dir, table)
     rows = spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=source)
-    return spread(rows, source, key) if key else rows
+    return spread(rows, key) if key else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,4 +217,4 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _table(spark, sf_dir, "pages")
-    return spread(source, source, "page_id")
+    return spread(source, "page_id")
