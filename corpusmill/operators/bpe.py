@@ -11,6 +11,7 @@ configured size. Word counts and pair counts stay distributed.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,8 @@ class Tokenizer:
         return spark.createDataFrame(rows, schemas.MERGES)
 
 
+WORDS_PER_TASK = 20_000
+
 _FIRST_CODE = 0x100
 _SURROGATES = range(0xD800, 0xE000)
 
@@ -139,10 +142,10 @@ def _encode_words(
             F.translate(part, "".join(c for c, _ in known), "".join(code for _, code in known))
         )
     coded = word_counts.select(F.concat(*parts).alias("codes"), "freq")
-    # Every round is computation over a small table, so spread it over all
-    # cores; a fixed count also keeps AQE from packing it into one partition.
-    cores = word_counts.sparkSession.sparkContext.defaultParallelism
-    return coded.groupBy("codes").agg(F.sum("freq").alias("freq")).repartition(cores)
+    # A round is one pass over the words: enough of them for each task, and
+    # without a shuffle of pairs while they fit one.
+    tasks = math.ceil(max(1, word_counts.count()) / WORDS_PER_TASK)
+    return coded.groupBy("codes").agg(F.sum("freq").alias("freq")).repartition(tasks)
 
 
 def _best_pairs(words: DataFrame, at_least: int, limit: int) -> list[tuple[str, int]]:
@@ -164,7 +167,7 @@ def _merged(codes: Column, chosen: list[tuple[str, str]]) -> Column:
 
 def train(
     word_counts: DataFrame, profile: Profile, vocab_size: int | None = None,
-    pairs_per_round: int = 64, rounds_per_checkpoint: int = 8,
+    pairs_per_round: int = 64, rounds_per_checkpoint: int = 16,
 ) -> Tokenizer:
     """Merge the best pair until the vocabulary is full.
 

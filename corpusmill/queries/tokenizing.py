@@ -1,9 +1,7 @@
-"""Vocabularies, BPE, encoding and model inputs."""
+"""Vocabularies, word-level encoding and model inputs."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tokens as T
@@ -17,7 +15,6 @@ SPECIALS = bpe.PROFILES["gpt2"].specials
 VOCAB_SIZE = bpe.PROFILES["gpt2"].vocab_size
 PAD_ID = SPECIALS.index("[PAD]")
 UNK_ID = SPECIALS.index("[UNK]")
-TRAINED_SIZE = 450
 TRIMMED_SIZES = (1000, 42_163)
 
 PRE_ROWS = f"""
@@ -116,41 +113,6 @@ def _shifted(spark, sf_dir):
     return shifted.select("doc_id", F.array_join("labels", " ").alias("labels"))
 
 
-@lru_cache(maxsize=16)
-def trained(spark, sf_dir, profile: str, size: int = TRAINED_SIZE) -> bpe.Tokenizer:
-    return bpe.train(_counts(spark, sf_dir), bpe.PROFILES[profile], size)
-
-
-def _trained_vocab(profile: str):
-    def build(spark, sf_dir):
-        return trained(spark, sf_dir, profile).vocab(spark)
-
-    return build
-
-
-def _trained_merges(spark, sf_dir):
-    return trained(spark, sf_dir, "mistral").merge_table(spark)
-
-
-def _trained_encoding(profile: str):
-    def build(spark, sf_dir):
-        encoded = encode.encode_corpus(
-            V.corpus(spark, sf_dir), trained(spark, sf_dir, profile)
-        )
-        return encoded.select(
-            "doc_id", F.size("input_ids").alias("n_tokens"),
-            F.array_join("input_ids", " ").alias("ids"),
-        )
-
-    return build
-
-
-def _decoded(spark, sf_dir):
-    corpus = V.corpus(spark, sf_dir)
-    tokenizer = trained(spark, sf_dir, "mistral")
-    return encode.decode_corpus(encode.encode_corpus(corpus, tokenizer), tokenizer)
-
-
 def _word_decoded(spark, sf_dir):
     return encode.decode_corpus(_encoded(spark, sf_dir), _word_level(spark, sf_dir))
 
@@ -164,8 +126,8 @@ _EVALUATED = f"""
 SELECT round((u - o) / u, 6) AS vocab_coverage, round((u - od) / u, 6) AS vocab_coverage_distinct,
        mean_token_count, median_token_count, round(o / w, 6) AS oov_rate,
        round(s / w, 6) AS subword_fragmentation
-FROM (SELECT count(*) AS u, sum(n) AS w, sum(n) FILTER (bad) AS o, count(*) FILTER (bad) AS od,
-             sum(n) FILTER (n_sub > 1) AS s
+FROM (SELECT count(*) AS u, sum(n) AS w, coalesce(sum(n) FILTER (bad), 0) AS o,
+             count(*) FILTER (bad) AS od, coalesce(sum(n) FILTER (n_sub > 1), 0) AS s
       FROM (SELECT word, any_value(n) AS n, count(*) AS n_sub, bool_or(v.id IS NULL) AS bad
             FROM (SELECT word, n, unnest(regexp_extract_all(word, '{PRE}')) AS piece FROM
                   (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM corpus) x
@@ -175,15 +137,6 @@ FROM (SELECT count(*) AS u, sum(n) AS w, sum(n) FILTER (bad) AS o, count(*) FILT
              quantile_cont(len(ids), 0.5) AS median_token_count FROM encoded) m"""
 
 
-def _trained_evaluation(profile: str):
-    def build(spark, sf_dir):
-        return encode.evaluate_tokenizer(
-            V.corpus(spark, sf_dir), trained(spark, sf_dir, profile)
-        )
-
-    return build
-
-
 def _lookup(spark, sf_dir):
     """Ids of the words of the benchmark items, unknown ones included."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -211,16 +164,10 @@ QUERIES = {
                 FROM (SELECT word, freq, unnest(generate_series(1, length(word) - 1)) AS i FROM counts) c
                 GROUP BY ALL HAVING sum(freq) >= 2""", "counts"),
     ),
-    "X5_train_bpe_mistral": Query(_trained_merges),
-    "X5_train_bpe_gpt2": Query(_trained_vocab("gpt2")),
-    "X6_train_wordpiece": Query(_trained_vocab("bert")),
-    "X6_encode_wordpiece": Query(_trained_encoding("bert")),
     "X7_special_tokens_first": Query(_vocab, _sql("SELECT token, id FROM vocab", "vocab")),
-    "X8_encode_bpe": Query(_trained_encoding("gpt2")),
     "X8_encode_words": Query(
         _ids(lambda ids: ids), _sql(f"SELECT doc_id, {_text('ids')} AS ids FROM encoded")
     ),
-    "X9_decode_bpe": Query(_decoded),
     "X9_decode_words": Query(
         _word_decoded,
         _sql(f"""SELECT c.doc_id, coalesce(string_agg(coalesce(v.token, '{SPECIALS[UNK_ID]}'), ' '
@@ -253,7 +200,6 @@ QUERIES = {
                  FROM encoded"""),
     ),
     "X14_evaluate_words": Query(_evaluated, _sql(_EVALUATED)),
-    "X14_evaluate_bpe": Query(_trained_evaluation("gpt2")),
     "X15_trimmed_coverage": Query(
         lambda spark, d: W.trimmed_coverage(_counts(spark, d), TRIMMED_SIZES),
         _sql("""SELECT CAST(k AS BIGINT) AS vocab_size, CAST(sum(freq) FILTER (r <= k) AS BIGINT) AS covered,
