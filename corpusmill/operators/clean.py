@@ -25,22 +25,31 @@ def line_text(df: DataFrame) -> DataFrame:
     return df.withColumn("code", X.terminated_lines(stripped))
 
 
-def clean(
+def scan_keywords(
     df: DataFrame, until_eof: bool = False, keep_conditional: bool = False,
     word_boundary: bool = False,
 ) -> DataFrame:
-    """Clean ``content``; add ``coq_keywords``, ``coq_flag``, ``unbalanced``.
+    """The first half of cleaning: ``code``, ``coq_keywords`` and ``coq_flag``.
 
     The keyword scan runs before marked blocks are dropped, so a block that
     hides such a line still flags its file.
     """
     c = F.col
-    kept = [name for name in df.columns if name not in ("coq_flag", "coq_keywords")]
-    df = line_text(code_text(df, keep_conditional=keep_conditional))
+    df = line_text(code_text(df, keep_conditional=keep_conditional)).drop("fragments")
     df = df.withColumn("code", X.drop_unknown_directives(c("code")))
     df = df.withColumn("code", X.drop_initial_blocks(c("code"), until_eof))
     df = df.withColumn("coq_keywords", X.literal_hits(c("code"), word_boundary=word_boundary))
-    df = df.withColumn("coq_flag", F.size("coq_keywords") > 0)
+    return df.withColumn("coq_flag", F.size("coq_keywords") > 0)
+
+
+def clean(
+    df: DataFrame, until_eof: bool = False, keep_conditional: bool = False,
+    word_boundary: bool = False,
+) -> DataFrame:
+    """Clean ``content``; add ``coq_keywords``, ``coq_flag``, ``unbalanced``."""
+    c = F.col
+    kept = [name for name in df.columns if name not in ("coq_flag", "coq_keywords")]
+    df = scan_keywords(df, until_eof, keep_conditional, word_boundary)
     df = df.withColumn("code", X.drop_marked_blocks(c("code")))
     df = df.withColumn(
         "code", F.when(c("coq_flag"), X.drop_literal_lines(c("code"))).otherwise(c("code"))
@@ -50,7 +59,7 @@ def clean(
     df = df.withColumn("lines", X.lines_of(X.collapse_spaces(c("code"))))
     df = evaluate_once(df.withColumn("balance", X.balance_blocks(c("lines"))), "balance")
     df = df.withColumn("unbalanced", c("balance")["depth"] > 0)
-    joined = F.array_join(X.insert_ends(c("lines"), c("balance")["inserts"]), "\n")
+    joined = F.array_join(X.insert_ends(c("lines"), c("balance")["closes"]), "\n")
     df = df.withColumn("content", X.strip_backticks(joined))
     df = df.select(*kept, "coq_keywords", "coq_flag", "unbalanced")
     return evaluate_once(df, "content", "coq_keywords", "coq_flag", "unbalanced")

@@ -35,8 +35,12 @@ def full_path() -> Column:
     return F.lower(F.concat_ws("/", *parts))
 
 
+def has_coq(lowered: Column) -> Column:
+    return F.contains(lowered, F.lit("coq"))
+
+
 def has_coq_path() -> Column:
-    return F.contains(full_path(), F.lit("coq"))
+    return has_coq(full_path())
 
 
 def coq_module_header(text: Column) -> Column:
@@ -100,10 +104,17 @@ def coq_suspects(df: DataFrame) -> DataFrame:
     return df.filter(F.col("coq_flag") & ~F.col("remove_flag"))
 
 
+def flags_left(df: DataFrame) -> DataFrame:
+    """Rows, and those still flagged."""
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("remove_flag") | F.col("coq_flag")).alias("n_flagged"),
+    )
+
+
 def assert_no_flags(df: DataFrame) -> None:
     """Raise when a flagged row is left."""
-    left = df.filter(F.col("remove_flag") | F.col("coq_flag")).limit(1).count()
-    if left:
+    if flags_left(df).first()["n_flagged"]:
         raise ValueError("flagged rows are left after the filter")
 
 
@@ -139,15 +150,20 @@ def short_file_sweep(df: DataFrame, thresholds=(6, 20, 30, 50)) -> DataFrame:
     return total.select(F.inline(rows))
 
 
-def filter_acquisition(
-    df: DataFrame, licenses=R.PERMISSIVE_LICENSES, extensions=R.SOURCE_EXTENSIONS
-) -> DataFrame:
-    """Permissively licensed files with a source extension."""
+def acquirable(licenses=R.PERMISSIVE_LICENSES, extensions=R.SOURCE_EXTENSIONS) -> Column:
+    """Permissively licensed, with a source extension; false where either is unknown."""
     wanted = F.lower("license").isin(*licenses)
     for_ext = F.lit(False)
     for ext in extensions:
         for_ext = for_ext | F.endswith(F.col("path"), F.lit(ext))
-    return df.filter(wanted & for_ext)
+    return F.coalesce(wanted & for_ext, F.lit(False))
+
+
+def filter_acquisition(
+    df: DataFrame, licenses=R.PERMISSIVE_LICENSES, extensions=R.SOURCE_EXTENSIONS
+) -> DataFrame:
+    """Permissively licensed files with a source extension."""
+    return df.filter(acquirable(licenses, extensions))
 
 
 # --- identifier-heavy files -----------------------------------------------

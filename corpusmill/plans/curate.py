@@ -12,45 +12,76 @@ from corpusmill.operators import clean, dedup, eda, flags, split
 MIN_LINES = 30
 
 
-def judge(df: DataFrame) -> DataFrame:
-    """Flag by path and header, clean, and join both Coq flags."""
+def _survivors(df: DataFrame) -> DataFrame:
+    """Flagged rows; the content of rows to remove moves aside, so no rule runs on it."""
     rows = flags.flag(df).withColumnRenamed("coq_flag", "path_coq_flag")
-    cleaned = clean.clean(rows)
+    left = F.when(~F.col("remove_flag"), F.col("content"))
+    return rows.withColumn("removed_content", F.when(F.col("remove_flag"), F.col("content"))).withColumn(
+        "content", left
+    )
+
+
+def _both_flags(df: DataFrame) -> DataFrame:
+    """The Coq flag of the path where a row is removed, else that of its text."""
     coq = F.when(F.col("remove_flag"), F.col("path_coq_flag")).otherwise(F.col("coq_flag"))
-    return evaluate_once(cleaned.withColumn("coq_flag", coq).drop("path_coq_flag"), "coq_flag")
+    return evaluate_once(df.withColumn("coq_flag", coq).drop("path_coq_flag"), "coq_flag")
+
+
+def judge_flags(df: DataFrame) -> DataFrame:
+    """All flags, at the cost of the half of cleaning that they need; ``content`` is left out."""
+    scanned = clean.scan_keywords(_survivors(df)).drop("content", "removed_content", "code", "coq_keywords")
+    return _both_flags(scanned)
+
+
+def judge(df: DataFrame) -> DataFrame:
+    """Flag by path and header, clean what is left, and join both Coq flags.
+
+    Rows to remove keep their content without comments.
+    """
+    cleaned = clean.clean(_survivors(df))
+    content = F.when(F.col("remove_flag"), F.col("removed_content")).otherwise(F.col("content"))
+    return _both_flags(cleaned.withColumn("content", content).drop("removed_content"))
 
 
 def curate(df: DataFrame, min_lines: int = MIN_LINES, seed: int = 42) -> DataFrame:
-    """Unique, valid, long enough, anonymised and split files.
+    """Acquired, unique, valid, long enough, anonymised, trimmed and split files.
 
     The only shuffle is the one of deduplication; everything after it is one
     stage of per-row expressions.
     """
-    valid = flags.keep_valid(judge(dedup.deduplicate(df)))
-    names = [c for c in df.columns]
+    names = df.columns
+    valid = flags.keep_valid(judge(dedup.deduplicate(flags.filter_acquisition(df))))
     long = flags.keep_long(valid, min_lines).select(*names)
     released = A.released(A.anonymize(long, seed)).select(*names)
-    return split.assign_split(released, seed=seed)
+    trimmed = flags.flag_identifier_heavy(released).filter(~F.col("remove")).select(*names)
+    return split.assign_split(trimmed, seed=seed)
 
 
 def trace(df: DataFrame, min_lines: int = MIN_LINES, seed: int = 42) -> DataFrame:
-    """How far each row gets and how long its content is at each stage."""
-    groups = dedup.copy_groups(df).filter("content_hash IS NOT NULL")
+    """How far each row gets and how long its content is at each stage.
+
+    Each stage works on what reached it: content that did not is put out of
+    its way.
+    """
+    groups = dedup.copy_groups(flags.filter_acquisition(df)).filter("content_hash IS NOT NULL")
     first = groups.select(F.col("first.doc_id").alias("doc_id"), F.lit(True).alias("is_first"))
     rows = df.withColumn("raw_bytes", F.coalesce(F.octet_length("content"), F.lit(0)))
+    rows = rows.withColumn("acquired", flags.acquirable())
     rows = rows.join(first, "doc_id", "left").withColumn("unique", F.col("is_first").isNotNull())
-    rows = judge(rows)
+    rows = judge(rows.withColumn("content", F.when(F.col("unique"), F.col("content"))))
     valid = F.col("unique") & ~F.col("remove_flag") & ~F.col("coq_flag")
     rows = rows.withColumn("valid", valid)
     rows = rows.withColumn(
         "long", F.col("valid") & (flags.line_count(F.col("content")) >= min_lines)
     )
     rows = rows.withColumn("clean_bytes", F.octet_length("content"))
-    rows = A.anonymize(evaluate_once(rows, "valid", "long", "clean_bytes"), seed)
+    rows = rows.withColumn("content", F.when(F.col("long"), F.col("content")))
+    rows = A.anonymize(evaluate_once(rows, "content", "valid", "long", "clean_bytes"), seed)
     rows = rows.withColumn("released", F.col("long") & F.col("quarantine").isNull())
+    rows = flags.flag_identifier_heavy(rows).withColumn("trimmed", F.col("released") & ~F.col("remove"))
     return rows.select(
-        "doc_id", "size", "raw_bytes", "unique", "valid", "long", "clean_bytes", "released",
-        F.octet_length("content").alias("final_bytes"),
+        "doc_id", "size", "raw_bytes", "acquired", "unique", "valid", "long", "clean_bytes", "released",
+        "trimmed", F.octet_length("content").alias("final_bytes"),
     )
 
 
@@ -60,9 +91,11 @@ def stage_funnel(traced: DataFrame) -> DataFrame:
         traced,
         [
             ("raw", F.lit(True), c("raw_bytes")),
+            ("acquired", c("acquired"), c("raw_bytes")),
             ("deduplicated", c("unique"), c("raw_bytes")),
             ("cleaned", c("valid"), c("clean_bytes")),
             ("long_enough", c("long"), c("clean_bytes")),
             ("anonymized", c("released"), c("final_bytes")),
+            ("trimmed", c("trimmed"), c("final_bytes")),
         ],
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill import rules as R
 from corpusmill.functions import text as X
 from corpusmill.operators import clean, evaluate, flags
+from corpusmill.plans import curate
 from corpusmill.queries.base import Query, check, listed, quoted
 from corpusmill.queries.cleaning import CLEAN_STAGES, CODE, _comments
 from corpusmill.sources import views as V
@@ -37,11 +38,8 @@ def flagged(spark, sf_dir):
 
 
 def judged(spark, sf_dir):
-    """Flagged, then cleaned: the Coq flag of the text joins that of the path."""
-    rows = flagged(spark, sf_dir).withColumnRenamed("coq_flag", "path_coq_flag")
-    return clean.clean(rows).withColumn(
-        "coq_flag", F.when(F.col("remove_flag"), F.col("path_coq_flag")).otherwise(F.col("coq_flag"))
-    )
+    """All flags: the Coq flag of the text joins that of the path."""
+    return curate.judge_flags(V.vcorpus(spark, sf_dir))
 
 
 JUDGED = f"""
@@ -114,6 +112,11 @@ def _reserved(spark, sf_dir):
     return counted.join(F.broadcast(words), "identifier", "left_anti")  # fixed-size list
 
 
+def _flags_left(spark, sf_dir):
+    """What the check of the filter counts."""
+    return flags.flags_left(flags.keep_valid(judged(spark, sf_dir)))
+
+
 def _removed_paths(spark, sf_dir):
     return heavy(spark, sf_dir).filter("remove").select("doc_id", "path", "split")
 
@@ -147,9 +150,9 @@ QUERIES = {
     ),
     "F4_coq_url": Query(
         lambda spark, d: V.pages(spark, d).select(
-            "page_id", F.contains(F.lower("url"), F.lit("en")).alias("hit")
+            "page_id", flags.has_coq(F.lower("url")).alias("hit")
         ),
-        "SELECT page_id, url ILIKE '%en%' AS hit FROM pages",
+        "SELECT page_id, url ILIKE '%coq%' AS hit FROM pages",
     ),
     "F5_coq_module_header": Query(
         lambda spark, d: _code(spark, d).select(
@@ -194,7 +197,7 @@ QUERIES = {
               **JUDGED_STAGES),
     ),
     "F10_removed": Query(
-        lambda spark, d: flags.removed(judged(spark, d)).select("doc_id", "reason_code"),
+        lambda spark, d: flags.removed(flagged(spark, d)).select("doc_id", "reason_code"),
         check("vcorpus", "SELECT doc_id, reason_code FROM judged WHERE remove_flag",
               **JUDGED_STAGES),
     ),
@@ -204,10 +207,7 @@ QUERIES = {
               **JUDGED_STAGES),
     ),
     "F11_flags_left": Query(
-        lambda spark, d: flags.keep_valid(judged(spark, d)).agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(F.col("remove_flag") | F.col("coq_flag")).alias("n_flagged"),
-        ),
+        _flags_left,
         check("vcorpus", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_flagged FROM judged "
               "WHERE NOT remove_flag AND NOT coq_flag", **JUDGED_STAGES),
     ),

@@ -30,24 +30,31 @@ VARS = """
               WHERE split = 'train') v) u GROUP BY var"""
 WORD_FREQ = f"SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM corpus) w GROUP BY word"
 
-# --- the funnel in SQL: every stage's steps, then five filtered aggregates
+# --- the funnel in SQL: every stage's steps, then filtered aggregates
 STRIPPED_FIRST = f"""
     SELECT doc_id, {_comments(_directives(_endings(_comments("coalesce(content, '')"))))} AS code
     FROM vcorpus"""
 TRACE = """
     SELECT v.doc_id, v.size, strlen(coalesce(v.content, '')) AS raw_bytes,
            strlen(c.content) AS clean_bytes, strlen(f.content) AS final_bytes,
-           v.content IS NOT NULL AND row_number() OVER (PARTITION BY v.content ORDER BY v.doc_id) = 1
-               AS uniq,
+           v.acq, v.acq AND v.content IS NOT NULL
+               AND row_number() OVER (PARTITION BY v.acq, v.content ORDER BY v.doc_id) = 1 AS uniq,
+           f.content = '' OR regexp_matches(f.content, '\\bVAR1[0-9]{2,}\\b')
+               OR coalesce(list_sum(list_transform(regexp_extract_all(f.content, '\\bVAR[0-9]+\\b'),
+                                                   lambda x: length(x))), 0) / length(f.content) > 0.49 AS heavy,
            NOT j.remove_flag AND NOT j.coq_flag AS ok,
            len(string_split(c.content, chr(10))) >= 10 AS long, f.quarantine IS NULL AS free
-    FROM vcorpus v JOIN cleaned c ON c.doc_id = v.doc_id JOIN judged j ON j.doc_id = v.doc_id
+    FROM (SELECT *, coalesce(lower(license) IN ('mit', 'bsd-2-clause', 'bsd-3-clause', 'apache-2.0')
+                 AND (path LIKE '%.v' OR path LIKE '%.sv'), false) AS acq FROM vcorpus) v
+    JOIN cleaned c ON c.doc_id = v.doc_id JOIN judged j ON j.doc_id = v.doc_id
     JOIN final f ON f.doc_id = v.doc_id"""
 _REACHED = (
-    ("raw", "true", "raw_bytes"), ("deduplicated", "uniq", "raw_bytes"),
+    ("raw", "true", "raw_bytes"), ("acquired", "acq", "raw_bytes"),
+    ("deduplicated", "uniq", "raw_bytes"),
     ("cleaned", "uniq AND ok", "clean_bytes"),
     ("long_enough", "uniq AND ok AND long", "clean_bytes"),
     ("anonymized", "uniq AND ok AND long AND free", "final_bytes"),
+    ("trimmed", "uniq AND ok AND long AND free AND NOT heavy", "final_bytes"),
 )
 FUNNEL = " UNION ALL ".join(
     f"""SELECT CAST({i} AS BIGINT) AS stage_no, '{name}' AS stage,

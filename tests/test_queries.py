@@ -43,5 +43,5 @@ def test_query_without_sql_runs(name, spark, sf_dir):
 
 
 def test_entry(spark):
-    assert entry_module.entry(spark).count() == 5
+    assert entry_module.entry(spark).count() == 7
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
