@@ -132,20 +132,33 @@ def rename_lookup(renames: Column) -> Column:
     """The renames as a hashed lookup; null when there are none.
 
     Spark looks a map up linearly, so the names are spread over about
-    sqrt(n) small maps by hash; files with tens of thousands of names stay fast.
+    sqrt(n) small maps by hash. They are hashed and sorted by bucket once, and
+    each map is a slice of them.
     """
     buckets = F.ceil(F.sqrt(F.size(renames))).cast("int")
 
-    def bucket(name: Column) -> Column:
-        return F.pmod(F.xxhash64(name), buckets).cast("int")
+    def keyed(entry: Column) -> Column:
+        place = F.pmod(F.xxhash64(entry["name"]), buckets).cast("int")
+        return F.struct(
+            place.alias("bucket"), entry["name"].alias("name"), entry["replacement"].alias("replacement")
+        )
 
-    lookups = F.transform(
-        F.sequence(F.lit(0), buckets - 1),
-        lambda b: F.map_from_entries(F.filter(renames, lambda e: bucket(e["name"]) == b)),
-    )
-    return F.when(
-        F.size(renames) > 0, F.struct(lookups.alias("maps"), buckets.alias("n"))
-    )
+    def lookups(entries: Column) -> Column:
+        places, back = entries["bucket"], F.reverse(entries["bucket"])
+
+        def part(b: Column) -> Column:
+            first = F.array_position(places, b)
+            size = F.size(entries) - F.array_position(back, b) - first + 2
+            rows = F.slice(
+                entries, F.greatest(first, F.lit(1)).cast("int"), F.when(first > 0, size).otherwise(0).cast("int")
+            )
+            return F.map_from_entries(F.transform(rows, lambda e: F.struct(e["name"], e["replacement"])))
+
+        return F.transform(F.sequence(F.lit(0), buckets - 1), part)
+
+    # one-element transform: the entries are sorted once
+    maps = F.element_at(F.transform(F.array(F.array_sort(F.transform(renames, keyed))), lookups), 1)
+    return F.when(F.size(renames) > 0, F.struct(maps.alias("maps"), buckets.alias("n")))
 
 
 def apply_renames(text: Column, lookup: Column) -> Column:

@@ -230,19 +230,17 @@ def drop_marked_blocks(
 
 def literal_hits(text: Column, words=R.COQ_KEYWORDS, word_boundary: bool = False) -> Column:
     """Per line that contains a word of the list, the first such word."""
-    listed = literals(words)
 
-    def first_hit(line: Column) -> Column:
+    def found(line: Column, word: str) -> Column:
         if word_boundary:
-            found = F.filter(
-                listed,
-                lambda w: F.rlike(line, F.concat(F.lit(r"(?i)(?<!\w)\Q"), w, F.lit(r"\E(?!\w)"))),
-            )
-        else:
-            found = F.filter(listed, lambda w: F.contains(F.lower(line), F.lower(w)))
-        return F.get(found, 0)
-
-    first = F.transform(lines_of(text), first_hit)
+            return line.rlike(rf"(?i)(?<!\w)\Q{word}\E(?!\w)")
+        return F.contains(line, F.lit(word.lower()))
+
+    def first_hit(line: Column) -> Column:
+        return F.coalesce(*(F.when(found(line, word), F.lit(word)) for word in words))
+
+    # the text is lower-cased once, not each line once per word
+    first = F.transform(lines_of(text if word_boundary else F.lower(text)), first_hit)
     return F.when(contains_any_case(text, words), F.array_compact(first)).otherwise(
         empty_strings()
     )
@@ -308,34 +306,56 @@ def balance_steps(lines: Column) -> Column:
     return F.transform(lines, step)
 
 
+FOLD_BLOCK = 256
+
+
 def balance_blocks(lines: Column) -> Column:
-    """Fold the steps: final depth and the lines that need an ``end`` first.
+    """Fold the steps: final depth, and per line whether it needs an ``end`` first.
 
-    The accumulator holds only the depth and the few insert positions, never
-    the output, so the fold stays linear in the number of lines.
+    The fold appends to arrays, which copies them; it runs block by block, so
+    that each copy is of one block and the work grows with the lines.
     """
-    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("inserts"))
+    nothing = F.array().cast("array<boolean>")
+    zero = F.struct(F.lit(0).alias("depth"), nothing.alias("closes"))
 
     def fold(state: Column, step: Column) -> Column:
         close = (state["depth"] > 0) & step["orphan"]
         depth = F.greatest(
             F.lit(0), state["depth"] - close.cast("int") + step["change"]
         )
-        inserts = F.when(close, F.array_append(state["inserts"], step["i"])).otherwise(
-            state["inserts"]
+        return F.struct(
+            depth.alias("depth"), F.array_append(state["closes"], close).alias("closes")
+        )
+
+    def fold_block(state: Column, steps: Column) -> Column:
+        start = F.struct(state["depth"].alias("depth"), nothing.alias("closes"))
+        done = F.aggregate(steps, start, fold)
+        return F.struct(
+            done["depth"].alias("depth"), F.array_append(state["blocks"], done["closes"]).alias("blocks")
+        )
+
+    def folded(steps: Column) -> Column:
+        last = F.floor((F.size(steps) - 1) / FOLD_BLOCK).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), last), lambda b: F.slice(steps, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK))
+        )
+        start = F.struct(
+            F.lit(0).alias("depth"), F.array().cast("array<array<boolean>>").alias("blocks")
         )
-        return F.struct(depth.alias("depth"), inserts.alias("inserts"))
+        return F.aggregate(blocks, start, fold_block, lambda s: F.struct(
+            s["depth"].alias("depth"), F.flatten(s["blocks"]).alias("closes")
+        ))
 
     nested = F.exists(lines, lambda line: F.contains(line, F.lit("begin")))
-    return F.when(nested, F.aggregate(balance_steps(lines), zero, fold)).otherwise(zero)
+    # one-element transform: the steps are made once
+    once = F.element_at(F.transform(F.array(balance_steps(lines)), folded), 1)
+    return F.when(nested, once).otherwise(zero)
 
 
-def insert_ends(lines: Column, inserts: Column) -> Column:
+def insert_ends(lines: Column, closes: Column) -> Column:
     return F.transform(
         lines,
-        lambda line, i: F.when(
-            F.array_contains(inserts, i), F.concat(F.lit("end\n"), line)
-        ).otherwise(line),
+        lambda line, i: F.when(F.get(closes, i), F.concat(F.lit("end\n"), line)).otherwise(line),
     )
 
 

@@ -58,13 +58,23 @@ def score(
 ) -> DataFrame:
     """Per distinct test pair: smoothed probability and rank in training.
 
-    ``rank`` counts the strictly more frequent successors, plus one.
+    ``rank`` counts the strictly more frequent successors, plus one. It comes
+    from how many successors of a context share a count: a context with very
+    many successors has few different counts, so no window is large.
     """
-    totals = train_bigrams.groupBy("context").agg(F.sum("n").alias("context_n"))
-    order = Window.partitionBy("context").orderBy(F.desc("n"))
-    ranked = train_bigrams.withColumn("rank", F.rank().over(order))
+    shared = train_bigrams.groupBy("context", "n").agg(F.count(F.lit(1)).alias("successors"))
+    above = (
+        Window.partitionBy("context").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ranks = shared.select(
+        "context", "n", (F.coalesce(F.sum("successors").over(above), F.lit(0)) + 1).alias("rank")
+    )
+    totals = shared.groupBy("context").agg(F.sum(F.col("n") * F.col("successors")).alias("context_n"))
     pairs = bigram_counts(test).withColumnRenamed("n", "test_n")
-    joined = pairs.join(ranked, ["context", "next"], "left").join(totals, "context", "left")
+    joined = (
+        pairs.join(train_bigrams, ["context", "next"], "left")
+        .join(ranks, ["context", "n"], "left").join(totals, "context", "left")
+    )
     size = F.lit(vocab_size) if isinstance(vocab_size, int) else vocab_size
     n = F.coalesce("n", F.lit(0))
     context_n = F.coalesce("context_n", F.lit(0))

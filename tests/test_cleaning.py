@@ -220,7 +220,7 @@ def test_balance_equals_a_plain_loop(spark, documents):
     rows = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "i int, lines array<string>")
     found = rows.withColumn("b", X.balance_blocks(F.col("lines"))).select(
         "i", F.col("b.depth").alias("depth"),
-        F.array_join(X.insert_ends(F.col("lines"), F.col("b.inserts")), "\n").alias("text"),
+        F.array_join(X.insert_ends(F.col("lines"), F.col("b.closes")), "\n").alias("text"),
     )
     for row in found.collect():
         lines, depth = fold_reference(documents[row["i"]])
@@ -238,3 +238,18 @@ def test_a_rule_without_a_guard_is_always_searched_for(texts):
 def test_guards_stand_in_every_match():
     for pattern, guard in R.FRAGMENT_GUARDS.items():
         assert guard in pattern.replace("\\", ""), pattern
+
+
+def test_many_orphan_lines_take_bounded_time(texts):
+    import time
+
+    code = "begin\n" + "if (a) begin\nx;\nelse y;\n" * 7_000
+    start = time.perf_counter()
+
+    def balanced(text):
+        balance = X.balance_blocks(F.split(text, "\n"))
+        return F.struct(balance["depth"], F.size(F.filter(balance["closes"], lambda c: c)))
+
+    (found,) = texts(balanced, [code])
+    assert tuple(found) == (1, 7_000)
+    assert time.perf_counter() - start < 60
