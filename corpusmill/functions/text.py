@@ -90,7 +90,12 @@ def strip_directives(
     """Lines that start with a directive, with the blank lines above them."""
     if keep_conditional:
         directives = [d for d in directives if d not in R.CONDITIONAL_DIRECTIVES]
-    return F.regexp_replace(text, rf"(?md)^\s*(?:{R.any_literal(directives)}).*\n", "")
+    return F.regexp_replace(text, directive_line(directives), "")
+
+
+def directive_line(directives=R.DIRECTIVES) -> str:
+    """Pattern of such a line; group 1 is the line without what stands before it."""
+    return rf"(?md)^\s*((?:{R.any_literal(directives)}).*)\n"
 
 
 # --- fragments ------------------------------------------------------------
@@ -173,15 +178,29 @@ def lines_of(text: Column) -> Column:
     return F.array_remove(F.split(text, "\n"), "")
 
 
+def line_with(pattern: str, flags: str = "") -> str:
+    """Pattern of a line that ``pattern`` matches somewhere."""
+    return rf"(?md{flags})^.*(?:{pattern}).*\n"
+
+
 def drop_lines(text: Column, pattern: str, flags: str = "") -> Column:
-    return F.regexp_replace(text, rf"(?md{flags})^.*(?:{pattern}).*\n", "")
+    return F.regexp_replace(text, line_with(pattern, flags), "")
 
 
-def drop_unknown_directives(text: Column, keywords=R.VERILOG_KEYWORDS) -> Column:
-    """Backtick lines that name no keyword, pragma lines and ``#`` lines."""
+def found_lines(text: Column, pattern: str) -> Column:
+    """The lines, without LF, that a line pattern matches."""
+    return F.transform(find_all(text, pattern), lambda line: F.rtrim(line, F.lit("\n")))
+
+
+def unknown_directive(keywords=R.VERILOG_KEYWORDS) -> str:
     gap = r"[^\S\n]"
     known = rf"(?!{gap}*(?:{R.any_literal(keywords)})\b)"
-    return F.regexp_replace(text, rf"(?mdi)^(?:#|`pragma{gap}|`{known}).*\n", "")
+    return rf"(?mdi)^(?:#|`pragma{gap}|`{known}).*\n"
+
+
+def drop_unknown_directives(text: Column, keywords=R.VERILOG_KEYWORDS) -> Column:
+    """Backtick lines that name no keyword, pragma lines and ``#`` lines."""
+    return F.regexp_replace(text, unknown_directive(keywords), "")
 
 
 def _drop_blocks(text: Column, block: str) -> Column:
@@ -201,16 +220,44 @@ def _drop_blocks(text: Column, block: str) -> Column:
     return F.array_join(kept, "")
 
 
+def block_lines(text: Column, block: str) -> Column:
+    """The lines that ``_drop_blocks`` removes."""
+    return F.flatten(F.transform(
+        find_all(text, block),
+        lambda piece: F.filter(F.split(piece, "\n"), lambda line: (line != "") & (line != "begin")),
+    ))
+
+
 _INITIAL_LINE = r"initial(?:[^\S\n]+begin)?\n"
 
 
+def initial_block(until_eof: bool = False) -> str:
+    body = r"(?:.*\n)*+" if until_eof else r"(?:(?!end\n).*\n)*+(?:end\n)?"
+    return rf"(?md)^{_INITIAL_LINE}{body}"
+
+
 def drop_initial_blocks(text: Column, until_eof: bool = False) -> Column:
     """From a bare ``initial`` line to the next lone ``end`` line."""
-    body = r"(?:.*\n)*+" if until_eof else r"(?:(?!end\n).*\n)*+(?:end\n)?"
-    block = rf"(?md)^{_INITIAL_LINE}{body}"
+    block = initial_block(until_eof)
     return F.when(F.contains(text, F.lit("initial")), _drop_blocks(text, block)).otherwise(text)
 
 
+def marked_block(begin=R.BLOCK_BEGIN_MARKERS, end=R.BLOCK_END_MARKERS) -> str:
+    opens, closes = R.any_literal(begin), R.any_literal(end)
+    return (
+        rf"(?md)^(?!.*(?:{closes}))(?=.*(?:{opens})).*\n"
+        rf"(?:(?!.*(?:{closes})).*\n)*+(?:.*\n)?"
+    )
+
+
+def marked_lines(text: Column, begin=R.BLOCK_BEGIN_MARKERS, end=R.BLOCK_END_MARKERS) -> Column:
+    """The lines that ``drop_marked_blocks`` removes: of blocks, then stray end markers."""
+    block = marked_block(begin, end)
+    strays = found_lines(_drop_blocks(text, block), line_with(R.any_literal(end)))
+    found = F.concat(block_lines(text, block), strays)
+    return F.when(contains_any(text, (*begin, *end)), found).otherwise(empty_strings())
+
+
 def drop_marked_blocks(
     text: Column, begin=R.BLOCK_BEGIN_MARKERS, end=R.BLOCK_END_MARKERS
 ) -> Column:
@@ -219,12 +266,7 @@ def drop_marked_blocks(
     An end marker wins over a begin marker on the same line; a block without
     an end runs to the end of the text; stray end marker lines go too.
     """
-    opens, closes = R.any_literal(begin), R.any_literal(end)
-    block = (
-        rf"(?md)^(?!.*(?:{closes}))(?=.*(?:{opens})).*\n"
-        rf"(?:(?!.*(?:{closes})).*\n)*+(?:.*\n)?"
-    )
-    cleaned = drop_lines(_drop_blocks(text, block), closes)
+    cleaned = drop_lines(_drop_blocks(text, marked_block(begin, end)), R.any_literal(end))
     return F.when(contains_any(text, (*begin, *end)), cleaned).otherwise(text)
 
 
@@ -263,8 +305,11 @@ def drop_single_lines(text: Column, patterns=R.SINGLE_LINE_REGEXES) -> Column:
     return dropped
 
 
+DANGLING_LINE = r"(?md)^.*\w[^\S\n]*=[^\S\n]*\n"
+
+
 def drop_dangling_assignments(text: Column) -> Column:
-    dropped = F.regexp_replace(text, r"(?md)^.*\w[^\S\n]*=[^\S\n]*\n", "")
+    dropped = F.regexp_replace(text, DANGLING_LINE, "")
     return F.when(text.rlike(r"=[^\S\n]*\n"), dropped).otherwise(text)
 
 

@@ -74,6 +74,47 @@ def fragment_log(df: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def audit_log(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Audit rows ``(key, rule_set, rule, fragment)`` of everything that cleaning removes.
+
+    Rule sets, in the order of the steps: directive, non_synthesizable_regex
+    (with the number of the rule, else null), unknown_directive, initial_block,
+    marked_block, coq_keyword, single_line and incomplete_assignment. Each
+    step looks at what the steps before it left.
+    """
+    c = F.col
+    text = X.normalize_line_endings(F.coalesce("content", F.lit("")))
+    found = {"directive": X.find_all(text, X.directive_line(), 1)}
+    rows = df.select(key, found["directive"].alias("directive"), "content")
+    rows = line_text(code_text(rows)).select(key, "directive", "fragments", c("code").alias("l0"))
+    rows = rows.withColumn("unknown_directive", X.found_lines(c("l0"), X.unknown_directive()))
+    rows = rows.withColumn("l1", X.drop_unknown_directives(c("l0")))
+    rows = rows.withColumn("initial_block", X.block_lines(c("l1"), X.initial_block()))
+    rows = rows.withColumn("l2", X.drop_initial_blocks(c("l1")))
+    rows = rows.withColumn("marked_block", X.marked_lines(c("l2")))
+    rows = rows.withColumn("l3", X.drop_marked_blocks(c("l2")))
+    rows = rows.withColumn("coq_keyword", X.found_lines(c("l3"), X.line_with(R.any_literal(R.COQ_KEYWORDS), "i")))
+    rows = rows.withColumn("l4", X.drop_literal_lines(c("l3")))
+    rows = rows.withColumn("single_line", X.found_lines(c("l4"), X.line_with(R.any_regex(R.SINGLE_LINE_REGEXES))))
+    rows = rows.withColumn("l5", X.drop_single_lines(c("l4")))
+    rows = rows.withColumn("incomplete_assignment", X.found_lines(c("l5"), X.DANGLING_LINE))
+    line_sets = (
+        "directive", "unknown_directive", "initial_block", "marked_block", "coq_keyword",
+        "single_line", "incomplete_assignment",
+    )
+
+    def tagged(name: str):
+        return F.transform(c(name), lambda line: F.struct(
+            F.lit(name).alias("rule_set"), F.lit(None).cast("int").alias("rule"), line.alias("fragment")
+        ))
+
+    by_rule = F.transform("fragments", lambda hit: F.struct(
+        F.lit("non_synthesizable_regex").alias("rule_set"), hit["rule"].alias("rule"),
+        hit["fragment"].alias("fragment"),
+    ))
+    return rows.select(key, F.inline(F.concat(by_rule, *map(tagged, line_sets))))
+
+
 def code_lines(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Long form ``(key, line_no, line)`` of LF-terminated ``code``."""
     return df.select(key, F.posexplode(X.lines_of(F.col("code"))).alias("line_no", "line"))

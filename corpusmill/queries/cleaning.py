@@ -153,6 +153,20 @@ CLEAN_STAGES = STAGES | {
     "cleaned": _CLEANED,
 }
 
+_DIRECTIVE_LINES = rf"""
+    SELECT doc_id, unnest(regexp_extract_all({_endings("coalesce(content, '')")},
+        '(?m)^\s*((?:{R.any_literal(R.DIRECTIVES)}).*)\n', 1)) AS fragment FROM vcorpus"""
+AUDIT_SQL = f"""
+    SELECT doc_id, 'directive' AS rule_set, CAST(NULL AS INTEGER) AS rule, fragment FROM ({_DIRECTIVE_LINES}) d
+    UNION ALL SELECT doc_id, 'non_synthesizable_regex', rule, fragment FROM fragments
+    UNION ALL SELECT doc_id, 'unknown_directive', NULL, line FROM lines WHERE NOT ({KNOWN_LINE})
+    UNION ALL SELECT doc_id, 'initial_block', NULL, line FROM ({INITIAL.format(lines="l12")}) i WHERE dropped
+    UNION ALL SELECT doc_id, 'marked_block', NULL, line FROM ({MARKED.format(lines="l13")}) m WHERE dropped
+    UNION ALL SELECT doc_id, CASE WHEN {HIT} IS NOT NULL THEN 'coq_keyword'
+                                  WHEN NOT ({SINGLE_OK}) THEN 'single_line' ELSE 'incomplete_assignment' END, NULL, line
+    FROM ({_kept(MARKED, "NOT dropped", "l13")}) x
+    WHERE NOT ({HIT} IS NULL AND {SINGLE_OK} AND {ASSIGN_OK})"""
+
 # --- Spark side -----------------------------------------------------------
 
 

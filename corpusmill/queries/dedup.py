@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from corpusmill import rules as R
 from corpusmill.functions import text as X
 from corpusmill.operators import clean, dedup, flags, split
 from corpusmill.queries.base import Query, check, listed, values
-from corpusmill.queries.cleaning import CODE, FRAGMENTS, MASKED
+from corpusmill.queries.cleaning import AUDIT_SQL, CLEAN_STAGES, CODE, FRAGMENTS, MASKED
+from corpusmill.schemas import ANONYMIZED
+from corpusmill.session import ensure_checkpoint_dir
 from corpusmill.sources import corpus as C
 from corpusmill.sources import views as V
 
@@ -23,6 +27,14 @@ SPLIT_SQL = """
           FROM corpus) h"""
 
 
+def _read_split(spark, sf_dir):
+    """A table partitioned by split, of which one folder is read."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/splits-{uuid4().hex}"
+    C.write_corpus(_with_split(spark, sf_dir).select(*ANONYMIZED.names), path)
+    return C.read_split(spark, path, "train").select("doc_id", "path")
+
+
 def _union(spark, sf_dir):
     whole = _with_split(spark, sf_dir)
     parts = {name: whole.filter(F.col("split") == name).drop("split") for name in C.SPLITS}
@@ -59,7 +71,7 @@ QUERIES = {
         lambda spark, d: V.corpus(spark, d), check("corpus", "SELECT * FROM corpus")
     ),
     "S2_read_split": Query(
-        lambda spark, d: _with_split(spark, d).filter("split = 'train'").select("doc_id", "path"),
+        _read_split,
         check("corpus", f"SELECT doc_id, path FROM ({SPLIT_SQL}) s WHERE split = 'train'"),
     ),
     "S3_union_splits": Query(
@@ -73,6 +85,10 @@ QUERIES = {
             code=CODE, masked=MASKED, fragments=FRAGMENTS,
         ),
     ),
+    "S8_audit_log": Query(
+        lambda spark, d: clean.audit_log(V.vcorpus(spark, d)),
+        check("vcorpus", AUDIT_SQL, **CLEAN_STAGES),
+    ),
     "S10_licence_filter": Query(
         lambda spark, d: flags.filter_acquisition(V.corpus(spark, d)).select(
             "doc_id", "path", "license"

@@ -80,6 +80,33 @@ def write_vocab(vocab: DataFrame, merges: DataFrame | None, path: str) -> None:
         merges.write.mode("overwrite").parquet(f"{path}/merges")
 
 
+def write_vocab_json(vocab: DataFrame, path: str) -> None:
+    """The vocabulary as one JSON object from token to id; it is as large as its tokenizer was configured."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "id"))))
+    vocab.agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
+    text = spark.read.text(path, wholetext=True)
+    ids = F.from_json("value", T.MapType(T.StringType(), T.IntegerType()))
+    return text.select(F.explode(ids).alias("token", "id"))
+
+
+def write_token_counts(encoded: DataFrame, path: str, key: str = "doc_id") -> None:
+    """How many tokens each document has, as CSV with a header."""
+    write_audit_csv(encoded.select(key, F.size("input_ids").alias("n_tokens")), path)
+
+
+def write_shards(inputs: DataFrame, batches: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Model inputs in the order of an epoch, a folder per shard, batches in order in each file.
+
+    ``batches`` comes from ``epoch_batches``; a shard is a set of whole batches.
+    """
+    rows = inputs.join(batches, key)
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "batch_no", "slot")
+    ordered.write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.VOCAB).parquet(f"{path}/vocab")
 

@@ -87,3 +87,46 @@ def test_dedup_groups_never_shuffle_bodies(spark, sf_dir, tmp_path):
     plan = report._jdf.queryExecution().executedPlan().toString()
     shuffled = [line for line in plan.split("\n") if "hashpartitioning(" in line]
     assert shuffled and all("content#" not in line for line in shuffled)
+
+
+def test_vocabulary_shard_and_count_sinks(spark, corpus_of, tmp_path):
+    import json
+
+    from corpusmill.operators import encode
+    from corpusmill.operators import vocab as W
+
+    docs = corpus_of({f"{i}.v": f"module m{i}; wire \"é\\{i}\"; endmodule" for i in range(20)})
+    vocab = W.word_vocabulary(W.pre_token_counts(docs), ("[UNK]", "[PAD]"), 30)
+    C.write_vocab_json(vocab, f"{tmp_path}/vocab")
+    (file,) = (tmp_path / "vocab").glob("part-*")
+    ids = json.loads(file.read_text())
+    assert ids == {r["token"]: r["id"] for r in vocab.collect()}
+    assert {r["token"]: r["id"] for r in C.read_vocab_json(spark, f"{tmp_path}/vocab").collect()} == ids
+    encoded = encode.encode_corpus(docs, encode.word_tokenizer(vocab, ("[UNK]", "[PAD]"), 30))
+    C.write_token_counts(encoded, f"{tmp_path}/counts")
+    counts = spark.read.csv(f"{tmp_path}/counts", header=True)
+    lengths = {str(r["doc_id"]): str(len(r["input_ids"])) for r in encoded.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in counts.collect()} == lengths
+    batches = split.epoch_batches(docs, epoch=1, batch_size=3, shards=2)
+    C.write_shards(encode.model_inputs(encoded, 1, 16), batches, f"{tmp_path}/shards")
+    shards = spark.read.parquet(f"{tmp_path}/shards")
+    assert shards.count() == 20 and shards.where("shard != batch_no % 2").count() == 0
+    first = [(r["batch_no"], r["slot"]) for r in spark.read.parquet(f"{tmp_path}/shards/shard=0").collect()]
+    assert first == sorted(first)
+
+
+def test_audit_log_has_every_rule_set(corpus_of):
+    code = (
+        "`timescale 1ns/1ps\nmodule m(input clk);\n`oddity x\n#5 a = 1;\n$display(x);\ninitial begin\na = 1;\nend\n"
+        "specify\n(a => b) = 1;\nendspecify\nTheorem x : y.\ninclude \"x.vh\"\na =\nendmodule\n"
+    )
+    rows = clean.audit_log(corpus_of({"a.v": code})).collect()
+    assert {r["rule_set"] for r in rows} == {
+        "directive", "non_synthesizable_regex", "unknown_directive", "initial_block", "marked_block",
+        "coq_keyword", "single_line", "incomplete_assignment",
+    }
+    by = {}
+    for r in rows:
+        by.setdefault(r["rule_set"], []).append(r["fragment"])
+    assert by["initial_block"] == ["initial begin", "a = 1;", "end"]
+    assert by["incomplete_assignment"] == ["a ="]
