@@ -6,6 +6,8 @@ third of the corpus is one row per neighbour by the time it is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def bigram_counts(df: DataFrame) -> DataFrame:
     return pairs.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ngram_counts(df: DataFrame, order: int = 2) -> DataFrame:
+    """``(context, next, n)`` with contexts of ``order - 1`` tokens, joined by spaces."""
+    tokens = evaluate_once(df.select(pre_tokens(F.col("content")).alias("tokens")), "tokens")
+    places = F.sequence(F.lit(1), F.size("tokens") - order + 1)
+    rows = F.transform(places, lambda i: F.struct(
+        F.array_join(F.slice("tokens", i, F.lit(order - 1)), " ").alias("context"),
+        F.element_at("tokens", i + order - 1).alias("next"),
+    ))
+    found = tokens.where(F.size("tokens") >= order).select(F.inline(rows))
+    return found.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
 def unigram_counts(df: DataFrame) -> DataFrame:
     words = df.select(F.explode(pre_tokens(F.col("content"))).alias("next"))
     return words.groupBy("next").agg(F.count(F.lit(1)).alias("n"))
@@ -53,6 +67,65 @@ def predict(contexts: DataFrame, bigrams: DataFrame, unigrams: DataFrame, k: int
     return known.unionByName(backed)
 
 
+def predict_back_off(
+    contexts: DataFrame, counts: dict[int, DataFrame], unigrams: DataFrame, k: int = 5
+) -> DataFrame:
+    """Top ``k`` per context ``(context, order, rank, next)``, by the longest known context.
+
+    ``counts`` holds ``ngram_counts`` by order. A context that the highest
+    order has not seen loses its first token and is looked up one order lower,
+    at last among the unigrams (order 1).
+    """
+    rest = contexts.select("context").distinct().withColumn("key", F.col("context"))
+    found = []
+    for order in sorted(counts, reverse=True):
+        seen = top_next(counts[order], k).withColumnRenamed("context", "key")
+        found.append(rest.join(seen, "key").select("context", F.lit(order).alias("order"), "rank", "next"))
+        known = counts[order].select(F.col("context").alias("key")).distinct()
+        shorter = F.regexp_replace("key", r"^\S+ ?", "")
+        rest = rest.join(known, "key", "left_anti").select("context", shorter.alias("key"))
+    # k rows, so numbering and packing them into one array is bounded.
+    number = F.row_number().over(Window.orderBy(F.desc("n"), "next"))
+    common = unigrams.orderBy(F.desc("n"), "next").limit(k).select(
+        F.struct(number.alias("rank"), "next").alias("item")
+    ).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    last = rest.select("context").withColumn("items", common.scalar()).select("context", F.inline("items"))
+    found.append(last.select("context", F.lit(1).alias("order"), "rank", "next"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def predictions(
+    test: DataFrame, train_counts: DataFrame, k: int = 9, model_id: str = "ngram", batch: int = 1000
+) -> DataFrame:
+    """The model's predictions of every test pair, as rows that the metrics take.
+
+    Classes 0 to k-1 are the context's most frequent successors, class k is
+    everything else; the logits are log shares with one added to each class.
+    Pairs of the same kind are numbered apart, so a row is one occurrence.
+    """
+    top = top_next(train_counts, k)
+    totals = train_counts.groupBy("context").agg(F.sum("n").alias("context_n"))
+    packed = top.groupBy("context").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "next", "n"))).alias("top")
+    ).join(totals, "context")
+    pairs = bigram_counts(test).withColumnRenamed("n", "test_n")
+    joined = pairs.join(packed, "context", "left")
+    seen = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get("top", i)["n"], F.lit(0)))
+    other = F.coalesce("context_n", F.lit(0)) - F.aggregate(seen, F.lit(0).cast("bigint"), lambda s, n: s + n)
+    logits = F.transform(F.concat(seen, F.array(other)), lambda n: F.log((n + 1).cast("double")))
+    place = F.array_position(F.coalesce(F.col("top.next"), F.array().cast("array<string>")), F.col("next"))
+    label = F.when(place > 0, place - 1).otherwise(F.lit(k)).cast("int")
+    rows = joined.select(
+        "context", "next", label.alias("label"), logits.alias("logits"),
+        F.explode(F.sequence(F.lit(1), F.col("test_n").cast("int"))).alias("copy"),
+    )
+    key = F.xxhash64("context", "next", "copy")
+    return rows.select(
+        F.lit(model_id).alias("model_id"), F.pmod(key, F.lit(batch)).alias("batch_id"), key.alias("pos"),
+        "label", "logits",
+    )
+
+
 def score(
     test: DataFrame, train_bigrams: DataFrame, vocab_size: Column | int, alpha: float = 1.0
 ) -> DataFrame:

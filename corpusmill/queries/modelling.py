@@ -34,9 +34,22 @@ SCORED = """
     LEFT JOIN ranked r ON r.context = t.context AND r.next = t.next
     LEFT JOIN (SELECT context, sum(n) AS context_n FROM train GROUP BY context) c
         ON c.context = t.context, (SELECT count(*) AS size FROM unigrams) v"""
+_TOP = """
+    SELECT context, next, CAST(row_number() OVER (PARTITION BY context ORDER BY n DESC, next) AS INTEGER) AS rank
+    FROM {counts} QUALIFY rank <= 5"""
 _NGRAM = {
     "word_rows": WORD_ROWS, "pairs": PAIRS, "train": TRAIN, "unigrams": UNIGRAMS,
     "ranked": RANKED, "scored": SCORED,
+    "triples": """
+    SELECT context, next, count(*) AS n FROM (
+        SELECT ws[i] || ' ' || ws[i + 1] AS context, ws[i + 2] AS next
+        FROM (SELECT ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM word_rows WHERE split = 'train') p)
+    GROUP BY ALL""",
+    "top3": _TOP.format(counts="triples"),
+    "top2": _TOP.format(counts="train"),
+    "contexts": """
+    SELECT DISTINCT ws[i] || ' ' || ws[i + 1] AS context, ws[i + 1] AS shorter
+    FROM (SELECT ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM word_rows WHERE split = 'test') p""",
 }
 
 
@@ -57,6 +70,25 @@ def _predicted(spark, sf_dir):
     return G.predict(contexts, G.bigram_counts(train), G.unigram_counts(train))
 
 
+def _backed_off(spark, sf_dir):
+    """Two-token contexts of the test part, looked up in orders 3, 2 and 1."""
+    train = _part(spark, sf_dir, "train")
+    contexts = G.ngram_counts(_part(spark, sf_dir, "test"), 3).select("context")
+    counts = {3: G.ngram_counts(train, 3), 2: G.bigram_counts(train)}
+    return G.predict_back_off(contexts, counts, G.unigram_counts(train))
+
+
+def _ngram_metrics(spark, sf_dir):
+    """The counts as a model among others: its predictions through the common metrics."""
+    train = _part(spark, sf_dir, "train")
+    rows = E.score_rows(G.predictions(_part(spark, sf_dir, "test"), G.bigram_counts(train)))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.round(F.avg((F.col("label") == F.col("pred")).cast("int")), 6).alias("accuracy"),
+        F.round(F.avg("loss"), 6).alias("loss"),
+    )
+
+
 def _scored(spark, sf_dir):
     train = _part(spark, sf_dir, "train")
     size = G.unigram_counts(train).agg(F.count(F.lit(1)).alias("size")).scalar()
@@ -230,6 +262,44 @@ QUERIES = {
                      FROM unigrams QUALIFY rank <= 5) u
                WHERE c.context NOT IN (SELECT context FROM train)""", "unigrams"),
     ),
+    "M1_trigram_counts": Query(
+        lambda spark, d: G.ngram_counts(_part(spark, d, "train"), 3),
+        _ngram_sql("SELECT context, next, n FROM triples", "triples"),
+    ),
+    "M2_predict_back_off": Query(
+        _backed_off,
+        _ngram_sql(
+            """SELECT c.context, 3 AS "order", r.rank, r.next FROM contexts c JOIN top3 r USING (context)
+               UNION ALL
+               SELECT c.context, 2, r.rank, r.next FROM contexts c JOIN top2 r ON r.context = c.shorter
+               WHERE c.context NOT IN (SELECT context FROM triples)
+               UNION ALL
+               SELECT c.context, 1, u.rank, u.next FROM contexts c, (
+                   SELECT next, CAST(row_number() OVER (ORDER BY n DESC, next) AS INTEGER) AS rank
+                   FROM unigrams QUALIFY rank <= 5) u
+               WHERE c.context NOT IN (SELECT context FROM triples)
+                 AND c.shorter NOT IN (SELECT context FROM train)""", "contexts"),
+    ),
+    "M6_ngram_metrics": Query(
+        _ngram_metrics,
+        _ngram_sql(
+            """SELECT count(*) AS n_rows, round(avg(CASE WHEN label = pred THEN 1 ELSE 0 END), 6) AS accuracy,
+                      round(avg(loss), 6) AS loss
+               FROM (SELECT label, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS pred,
+                            ln(list_sum(list_transform(l, lambda x: x + 1))) - ln(l[label + 1] + 1) AS loss
+                     FROM (SELECT ns || [context_n - list_sum(ns)] AS l,
+                                  coalesce(list_position(nexts, next) - 1, 9) AS label
+                           FROM (SELECT next, unnest(range(test_n)) AS copy, coalesce(context_n, 0) AS context_n,
+                                        list_resize(coalesce(ns, []), 9, 0) AS ns, nexts
+                                 FROM (SELECT context, next, count(*) AS test_n FROM pairs
+                                       WHERE split = 'test' GROUP BY ALL) t
+                                 LEFT JOIN (SELECT context, list(n ORDER BY n DESC, next) FILTER (rank <= 9) AS ns,
+                                                   list(next ORDER BY n DESC, next) FILTER (rank <= 9) AS nexts,
+                                                   sum(n)::BIGINT AS context_n
+                                            FROM (SELECT *, row_number() OVER (PARTITION BY context
+                                                      ORDER BY n DESC, next) AS rank FROM train) r
+                                            GROUP BY context) m USING (context)) a) b) c""", "contexts"),
+    ),
     "M3_score_pairs": Query(
         lambda spark, d: _scored(spark, d).select(
             "context", "next", "test_n", F.round("p_true", 6).alias("p_true"),
