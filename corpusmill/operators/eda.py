@@ -163,6 +163,16 @@ def distinct_words_by_stage(stages: dict[str, DataFrame]) -> DataFrame:
     return words.distinct().groupBy("stage").agg(F.count(F.lit(1)).alias("distinct_words"))
 
 
+def distinct_words_of_columns(df: DataFrame, stages: dict[str, str]) -> DataFrame:
+    """The same where the stages are columns of one table, in one pass over it."""
+    words = [
+        F.struct(F.lit(name).alias("stage"), F.array_distinct(whitespace_words(F.col(column))).alias("words"))
+        for name, column in stages.items()
+    ]
+    rows = df.select(F.inline(F.array(*words))).select("stage", F.explode("words").alias("word"))
+    return rows.distinct().groupBy("stage").agg(F.count(F.lit(1)).alias("distinct_words"))
+
+
 def funnel(trace: DataFrame, stages: list[tuple[str, Column, Column]]) -> DataFrame:
     """Rows and bytes that reach each stage, with shares of the first stage.
 

@@ -86,12 +86,14 @@ def _token_counts(spark, sf_dir):
 
 
 def _stages(spark, sf_dir):
-    raw = V.vcorpus(spark, sf_dir).filter("content IS NOT NULL").select("content")
-    cleaned = clean.clean(V.vcorpus(spark, sf_dir)).select("content")
-    anonymized = A.anonymize(source(spark, sf_dir)).select("content")
-    return eda.distinct_words_by_stage(
-        {"raw": raw, "cleaned": cleaned, "anonymized": anonymized}
-    )
+    """One scan: each stage's content is a column beside the others."""
+    rows = V.vcorpus(spark, sf_dir).withColumn("raw", F.col("content"))
+    rows = clean.clean(rows).withColumnRenamed("content", "cleaned")
+    rows = clean.code_text(rows, "raw").withColumnRenamed("code", "content")
+    rows = A.anonymize(rows.select("doc_id", "raw", "cleaned", "content"))
+    anonymized = F.when(F.col("raw").isNotNull(), F.col("content"))
+    rows = rows.select("raw", "cleaned", anonymized.alias("anonymized"))
+    return eda.distinct_words_of_columns(rows, {name: name for name in rows.columns})
 
 
 def _unbalanced(spark, sf_dir):
