@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shared import written
 
 
+EDGES_PER_TASK = 100_000
+
+
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Tie the larger (else the smaller) neighbours of each node to its least neighbour.
 
@@ -55,6 +60,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     before = _digest(edges)
     while before[0]:
+        # a task for so many edges: few edges make their rounds without any shuffle
+        edges = edges.coalesce(math.ceil(before[0] / EDGES_PER_TASK))
         edges = written(_star(_star(edges, larger=True), larger=False), "edges")
         after = _digest(edges)
         if after == before:

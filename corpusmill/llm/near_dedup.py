@@ -8,19 +8,29 @@ full sets confirms the rest.
 Documents with equal sets are one node. Values are listed rarest first, as in
 prefix filtering: two sets at the threshold share so many sketch values that
 the rarest few of either already meet, so a passage that a third of the
-documents hold gives no candidates by itself. Links of a list are first tried
-with one leader; after that only nodes of different components meet, so a
-large group of near copies is joined by a star and never by all its pairs.
-
-A link is missed only if a pair at the threshold shares fewer than MEET of 64
-union-sketch values, with a chance below 2e-9 at similarity 0.8 (Chernoff
-bound) and falling fast above it; sets within the sketch size are exact.
+documents hold gives no candidates by itself.
+
+A list of nodes that share a value is tried with one leader first, and then
+only nodes of different components are paired, all within short lists. In a
+long list pairs would grow as a square, so its nodes are compared with the
+leader on full sets. Let x not be linked to the leader, and y to x. Either
+they share a value that the leader lacks, and meet again in the lists of such
+values (which are treated the same way), or all they share is the leader's,
+which takes a y smaller than the leader and an x just below the threshold.
+So a large group of near copies costs a star and few pairs.
+
+A link is missed only if the 64 smallest values of a pair's union hold far
+fewer shared ones than their share of the union, with a chance of some 1e-9
+at similarity 0.8 and falling fast above it; unions within the sketch size are
+exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +43,8 @@ from corpusmill.llm.shared import written
 
 #: Sketch size, and the least number of values that a linked pair shares in it.
 SKETCH, MEET = 64, 28
+#: Nodes of a list that are paired with each other; rounds of longer lists before all are.
+LIST, DEPTH = 32, 4
 
 
 def shingle_sets(
@@ -82,14 +94,50 @@ def _signatures(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInArrow(sign, f"id {kind}, n long, digest binary, sketch array<long>")
 
 
+@lru_cache(maxsize=8)
+def _least_shared(k: int, meet: int, percent: int) -> tuple[int, ...]:
+    """By set size from 1: values that a linked pair shares in its bottom-k sketches, at least.
+
+    The union of the pair has at most ``100 / percent`` times as many values;
+    its k smallest are drawn from it without return, and at least ``percent``
+    of 100 are shared. The number given is missed with a chance below 1e-9.
+    It falls with the size; ``meet`` holds for all sizes beyond the table.
+    """
+    table: list[int] = []
+    while len(table) < 8 * k:
+        n = len(table) + 1
+        union = n * 100 // percent
+        shared = -(-union * percent // 100)
+        if union <= k:
+            table.append(-(-n * percent // 100))
+            continue
+        low, chance = max(0, k - (union - shared)), 0.0
+        for count in range(low, k + 1):
+            chance += math.exp(
+                _log_choose(shared, count) + _log_choose(union - shared, k - count) - _log_choose(union, k)
+            )
+            if chance >= 1e-9:
+                break
+        table.append(max(meet, min(count, n)))
+    return tuple(table)
+
+
+def _log_choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
 def _required(n: Column, k: int, meet: int, percent: int) -> Column:
     """Sketch values that a node of set size n shares with any linked node, at least."""
-    exact = F.ceil(n * percent / 100)
-    return F.when(exact <= meet, exact).otherwise(F.lit(meet))
+    table = _least_shared(k, meet, percent)
+    listed = F.expr(f"array({', '.join(map(str, table))})")
+    return F.coalesce(F.get(listed, (n - 1).cast("int")), F.lit(meet))
 
 
 def _prefixes(nodes: DataFrame, k: int, meet: int, percent: int) -> DataFrame:
-    """Postings ``(value, node, n, share)`` of the rarest sketch values of each node."""
+    """Postings ``(value, node, n, share, bound)`` of the rarest sketch values of each node.
+
+    ``bound`` is the most that an intersection with the node can have.
+    """
     postings = nodes.select("node", "n", F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     listed = (
@@ -104,7 +152,7 @@ def _prefixes(nodes: DataFrame, k: int, meet: int, percent: int) -> DataFrame:
         "node", "n", (F.size("shared") / size).alias("share"), "shared", length.alias("length")
     ).where("length > 0").select(
         "node", "n", "share", F.explode(F.expr("slice(shared, 1, int(length))")).alias("p")
-    ).select("p.value", "node", "n", "share")
+    ).select("p.value", "node", "n", "share", F.col("n").alias("bound"))
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -123,18 +171,14 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, k: int, meet: int, percent: in
     whole = F.greatest("na", "nb") <= k
     inter = F.size(F.array_intersect("sa", "sb"))
     linked = 100 * inter >= percent * (F.col("na") + F.col("nb") - inter)
-    enough = F.col("met") >= F.least(F.lit(meet), F.ceil(F.size("least") * percent / 100))
+    enough = F.col("met") >= _required(F.least("na", "nb"), k, meet, percent)
     return both.select("a", "b", whole.alias("exact"), F.when(whole, linked).otherwise(enough).alias("ok")).where(
         "ok"
     ).select("a", "b", "exact")
 
 
-def _confirmed(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int
-) -> DataFrame:
-    """Pairs whose full sets are alike; sets are made anew for the nodes that need them."""
-    need = pairs.where("NOT exact").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = need.join(nodes.select("node", "id", "digest"), "node")
+def _full_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(node, values)``: the whole shingle sets of some nodes (node, id, digest), packed."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.text_blocks(batches):
@@ -149,20 +193,25 @@ def _confirmed(
     texts = docs.alias("d").join(
         wanted.select("id").distinct().alias("w"), F.expr("d.id <=> w.id"), "left_semi"
     )
-    full = (
+    return (
         texts.mapInArrow(sets, f"id {kind}, digest binary, values binary").alias("s")
         .join(wanted.alias("w"), F.expr("s.id <=> w.id AND s.digest = w.digest"))
-        .select("w.node", "s.values")
-        .dropDuplicates(["node"])
+        .groupBy("w.node").agg(F.first("s.values").alias("values"))
     )
-    full = written(full, "full-sets")
+
+
+def _unpacked(values: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(values.as_buffer(), dtype=np.uint64)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are alike; those known to be exact pass."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for one, two in zip(batch.column("va"), batch.column("vb"), strict=True):
-                x = np.frombuffer(one.as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(two.as_buffer(), dtype=np.uint64)
+                x, y = _unpacked(one), _unpacked(two)
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays(
@@ -171,16 +220,155 @@ def _confirmed(
 
     checked = (
         pairs.where("NOT exact").select("a", "b")
-        .join(full.toDF("a", "va"), "a").join(full.toDF("b", "vb"), "b")
+        .join(sets.toDF("a", "va"), "a").join(sets.toDF("b", "vb"), "b")
         .select("a", "b", "va", "vb")
         .mapInArrow(compare, "a long, b long")
     )
     return pairs.where("exact").select("a", "b").union(checked)
 
 
+def _leaders(lists: DataFrame) -> DataFrame:
+    """For each list the node that shares most of its sketch, as originals do; the smallest of equals."""
+    lead = F.min(F.struct((-F.col("share")).alias("rank"), "n", "node")).alias("lead")
+    return written(
+        lists.groupBy("value").agg(lead).select(
+            "value", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader")
+        ),
+        "leaders",
+    )
+
+
+def _clouds(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each node of long lists against the leaders of its lists, on full sets.
+
+    Columns: leader, node, n_leader, n, met (size of the intersection), linked,
+    outside (the node's values that the leader does not have).
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for one, two in zip(batch.column("vl"), batch.column("vn"), strict=True):
+                x, y = _unpacked(one), _unpacked(two)
+                outside = np.setdiff1d(y, x, assume_unique=True)
+                met = len(y) - len(outside)
+                linked = 100 * met >= percent * (len(x) + len(outside))
+                rows.append((len(x), len(y), met, linked, outside.view(np.int64)))
+            n_leader, n, met, linked, outside = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("leader"), batch.column("node"), pa.array(n_leader, pa.int64()),
+                    pa.array(n, pa.int64()), pa.array(met, pa.int64()), pa.array(linked, pa.bool_()),
+                    pa.array(outside, pa.list_(pa.int64())),
+                ],
+                ["leader", "node", "n_leader", "n", "met", "linked", "outside"],
+            )
+
+    pairs = written(
+        lists.join(_leaders(lists), "value").where("node != leader").select("leader", "node").distinct(),
+        "cloud-pairs",
+    )
+    both = pairs.join(sets.toDF("leader", "vl"), "leader").join(sets.toDF("node", "vn"), "node")
+    return written(
+        both.select("leader", "node", "vl", "vn").mapInArrow(
+            compare,
+            "leader long, node long, n_leader long, n long, met long, linked boolean, outside array<long>",
+        ),
+        "clouds",
+    )
+
+
+def _outside_lists(clouds: DataFrame, percent: int) -> DataFrame:
+    """Lists (as in ``_prefixes``) of what nodes of one leader share outside of it, rarest first.
+
+    The intersection of a linked pair has ``need`` values more than the
+    leader's part of it, at least. So the pair meets ``twice`` times among all
+    but ``need - twice`` of each node's values in the order of hashes, and
+    once among all but ``twice - 1`` of these by rarity.
+    """
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("met")).cast("int")
+    rows = clouds.select(
+        "leader", "node", "n", "met", "outside",
+        need.alias("need"), F.ceil(need / 2).cast("int").alias("twice"),
+    ).where("size(outside) >= need")
+    first = F.slice("outside", F.lit(1), F.size("outside") - F.col("need") + F.col("twice"))
+    values = rows.select("leader", "node", "n", "met", "need", "twice", F.explode(first).alias("w"))
+    common = values.groupBy("leader", "w").agg(F.count("*").alias("df")).where("df > 1")
+    listed = (
+        values.join(common, ["leader", "w"])
+        .groupBy("leader", "node", "n", "met", "need", "twice")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("shared"))
+        .where("size(shared) >= twice")
+    )
+    rarest = F.slice("shared", F.lit(1), F.size("shared") - F.col("twice") + 1)
+    # values that no other node of the leader has are in no intersection; of those not looked at, all may be
+    bound = F.col("met") + F.size("shared") + F.col("need") - F.col("twice")
+    listed = listed.select("leader", "node", "n", bound.cast("long").alias("bound"), F.explode(rarest).alias("p"))
+    return listed.select(
+        F.xxhash64("leader", "p.w").alias("value"), "node", "n", (F.col("bound") / F.col("n")).alias("share"), "bound"
+    )
+
+
+def _by_length(lists: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Lists of up to so many nodes, and longer ones."""
+    long_lists = written(
+        lists.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > most).select("value"),
+        "long-lists",
+    )
+    return lists.join(long_lists, "value", "left_anti"), lists.join(long_lists, "value", "left_semi")
+
+
+def _can_link(bound: Column, n: Column, other: Column, percent: int) -> Column:
+    """Whether an intersection of up to ``bound`` can link sets of these sizes."""
+    return (100 + percent) * bound >= percent * (n + other)
+
+
+def _apart(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Lists without nodes that cannot be linked in them, where more than one component is left."""
+    placed = lists.join(parts, "node", "left").select(
+        *lists.columns, F.coalesce("component", "node").alias("part")
+    )
+    placed = written(placed, "placed")
+    least = placed.groupBy("value").agg(F.min("n").alias("least"))
+    able = written(
+        placed.join(least, "value").where(_can_link(F.col("bound"), F.col("n"), F.col("least"), percent)).drop("least"),
+        "able",
+    )
+    mixed = able.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    return able.join(mixed.select("value"), "value", "left_semi").drop("part")
+
+
+def _across(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list whose nodes are in different components."""
+    placed = lists.join(parts, "node", "left").select(
+        "value", "node", "n", "bound", F.coalesce("component", "node").alias("part")
+    )
+    one, two = placed.toDF("value", "a", "na", "ba", "pa"), placed.toDF("value", "b", "nb", "bb", "pb")
+    able = _can_link(F.least("ba", "bb"), F.col("na"), F.col("nb"), percent)
+    return one.join(two, "value").where(
+        (F.col("pa") < F.col("pb")) & _alike("na", "nb", percent) & able
+    ).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _beside_leader(clouds: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a leader's nodes that can be linked by what they share with the leader alone.
+
+    Both share enough with it, one is not linked to it, and the other is smaller than it.
+    """
+    placed = clouds.join(parts, "node", "left").select(
+        "leader", "node", "n", "n_leader", "met", "linked", F.coalesce("component", "node").alias("part")
+    ).where(100 * F.col("met") >= percent * F.col("n"))
+    one = placed.where("NOT linked").select("leader", F.col("node").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"), F.col("part").alias("pa"))
+    two = placed.where("n < n_leader").select("leader", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb"), F.col("part").alias("pb"))
+    enough = percent * (F.col("na") + F.col("nb"))
+    return one.join(two, "leader").where(
+        (F.col("pa") != F.col("pb")) & ((100 + percent) * F.least("ma", "mb") >= enough)
+    ).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    width: int = 5, percent: int = 80, k: int = SKETCH, meet: int = MEET,
+    width: int = 5, percent: int = 80, k: int = SKETCH, meet: int = MEET, most: int = LIST,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles, component_id, kept.
 
@@ -202,46 +390,46 @@ def near_groups(
         "nodes",
     )
     lists = written(_prefixes(nodes, k, meet, percent), "prefixes")
+    listed = nodes.join(lists.select("node").distinct(), "node", "left_semi")
+    sets = written(_full_sets(listed.select("node", "id", "digest"), docs, width), "full-sets")
 
-    # a leader for each list: the node that shares most of its sketch, as originals do
-    leaders = lists.groupBy("value").agg(
-        F.min(F.struct((-F.col("share")).alias("rank"), "node", "n")).alias("lead")
-    ).select("value", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader"))
-    first = (
-        lists.join(leaders, "value")
+    # every list is tried with one leader: short ones by sketches, long ones on full sets
+    short, long_lists = _by_length(lists, most)
+    first = written(
+        short.join(_leaders(short), "value")
         .where((F.col("node") != F.col("leader")) & _alike("n", "n_leader", percent))
         .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
-        .distinct()
+        .distinct(),
+        "first-pairs",
     )
     near = written(_sketched(first, nodes, k, meet, percent), "near-pairs")
-    links = written(_confirmed(near, nodes, docs, width, percent), "links")
-    joined = components(links)
-
-    # then nodes of different components that meet in a list
-    placed = lists.join(joined, "node", "left").select(
-        "value", "node", "n", F.coalesce("component", "node").alias("part")
-    )
-    parts = placed.groupBy("value", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    mixed = parts.groupBy("value").count().where("count > 1").select("value")
-    parts = parts.join(mixed, "value")
-    meets = (
-        parts.alias("x").join(parts.alias("y"), "value").where("x.part < y.part")
-        .where((100 * F.col("x.hi") >= percent * F.col("y.lo"))
-               & (100 * F.col("y.hi") >= percent * F.col("x.lo")))
-        .select("value", F.col("x.part").alias("p"), F.col("y.part").alias("q"))
+    clouds = _clouds(long_lists, sets, percent)
+    links = written(
+        _confirmed(near, sets, percent).union(clouds.where("linked").select("leader", "node")), "links"
     )
-    one = placed.toDF("value", "a", "na", "p")
-    two = placed.toDF("value", "b", "nb", "q")
-    second = (
-        meets.join(one, ["value", "p"]).join(two, ["value", "q"])
-        .where(_alike("na", "nb", percent))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+    parts = written(components(links), "components")
+
+    # then nodes of different components: in short lists each other, in long ones by what the leader lacks
+    candidates = [_across(short, parts, percent)]
+    found = [links]
+    for level in range(DEPTH):
+        candidates.append(_beside_leader(clouds, parts, percent))
+        deeper = written(_apart(_outside_lists(clouds, percent), parts, percent), "outside-lists")
+        if level == DEPTH - 1:
+            candidates.append(_across(deeper, parts, percent))
+            break
+        short, long_lists = _by_length(deeper, most)
+        candidates.append(_across(short, parts, percent))
+        if long_lists.isEmpty():
+            break
+        clouds = _clouds(long_lists, sets, percent)
+        found.append(clouds.where("linked").select("leader", "node"))
+    second = written(
+        reduce(DataFrame.union, candidates).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs"
     )
     near = written(_sketched(second, nodes, k, meet, percent), "near-pairs")
-    more = written(_confirmed(near, nodes, docs, width, percent), "links")
-    joined = written(components(links.union(more)), "node-components")
+    found.append(_confirmed(near, sets, percent).select("a", "b"))
+    joined = written(components(reduce(DataFrame.union, found)), "node-components")
 
     named = nodes.select("node", "id", "rows", "digest").join(joined, "node", "left").select(
         "digest", "id", "rows", F.coalesce("component", "node").alias("component")
@@ -250,8 +438,10 @@ def near_groups(
     least = named.groupBy("component").agg(
         F.min("id").alias("component_id"), F.sum("rows").alias("members")
     ).where("members > 1")
-    groups = named.join(least, "component").select("digest", "component_id")
-    return signed.join(groups, "digest", "left").select(
+    groups = written(
+        named.join(written(least, "least-ids"), "component").select("digest", "component_id"), "groups"
+    )
+    return signed.select("id", "n", "digest").join(groups, "digest", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"),

@@ -139,10 +139,15 @@ def near_rows(prose):
     return [*rows, (20, rows[20][1]), (21, "other text under an id that stands twice")]
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_groups(spark, prose, width):
+@pytest.mark.parametrize(("width", "most"), [(4, 32), (5, 2)])
+def test_near_groups(spark, prose, width, most):
+    """With lists of two, nearly all links are found by way of leaders and what they lack."""
     rows = near_rows(prose)
-    found = near_dedup.near_groups(table(spark, rows), width=width).collect()
+    text = prose(99, 150)
+    rng = np.random.default_rng(9)
+    for k in range(90):  # a cloud of copies around a text that is not among them
+        rows.append((900 + k, changed(text, rng.integers(150, size=1 + k % 6).tolist(), f"w{k % 40}x")))
+    found = near_dedup.near_groups(table(spark, rows), width=width, most=most).collect()
     want = brute_near(rows, width)
     assert sorted((tuple(r) for r in found), key=str) == want
     assert sum(not row[3] for row in want) > 40
