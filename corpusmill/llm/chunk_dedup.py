@@ -95,10 +95,13 @@ def exact_groups(
     rows = recipes.groupBy("recipe", "id").agg(
         F.min("sha").alias("sha"), F.count("*").alias("copies")
     )
-    groups = (
+    rows = written(rows, "recipe-rows")
+    # written, so that the join below reads plain exchanges, whose large partitions Spark splits
+    groups = written(
         rows.groupBy("recipe")
         .agg(F.min("id").alias("keep"), F.sum("copies").alias("n"))
-        .where("n > 1")
+        .where("n > 1"),
+        "recipe-groups",
     )
     if variants is not None:
         same = F.expr(
