@@ -187,7 +187,8 @@ def learn(
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     per_language = learnable.groupBy("lang").agg(F.count("*").alias("of"))
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
-    chosen = learnable.join(per_language, "lang").where(draw < 1.2 * sample / F.col("of"))
+    # a row per language, of which the model itself holds a column of numbers on every task
+    chosen = learnable.join(F.broadcast(per_language), "lang").where(draw < 1.2 * sample / F.col("of"))
     rows = _word_counts(chosen.select("lang", "text")).collect()
     pieces = read_pieces(vocabulary)
     languages = sorted({row["lang"] for row in rows})
