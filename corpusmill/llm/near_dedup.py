@@ -315,7 +315,10 @@ def _by_length(lists: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         lists.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > most).select("value"),
         "long-lists",
     )
-    return lists.join(long_lists, "value", "left_anti"), lists.join(long_lists, "value", "left_semi")
+    return (
+        written(lists.join(long_lists, "value", "left_anti"), "short-rows"),
+        written(lists.join(long_lists, "value", "left_semi"), "long-rows"),
+    )
 
 
 def _can_link(bound: Column, n: Column, other: Column, percent: int) -> Column:
