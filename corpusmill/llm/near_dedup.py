@@ -45,6 +45,7 @@ from corpusmill.llm.shared import written
 SKETCH, MEET = 64, 28
 #: Nodes of a list that are paired with each other; rounds of longer lists before all are.
 LIST, DEPTH = 32, 4
+_TOP = np.uint64(1 << 63)
 
 
 def shingle_sets(
@@ -79,7 +80,8 @@ def _signatures(docs: DataFrame, width: int, k: int) -> DataFrame:
                 sizes.append(len(values))
                 digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
                 digests.append(digest if len(values) else None)
-                sketches.append(values[:k].view(np.int64))
+                # signed numbers in the same order: later steps sort them
+                sketches.append((values[:k] ^ _TOP).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
@@ -98,18 +100,18 @@ def _signatures(docs: DataFrame, width: int, k: int) -> DataFrame:
 def _least_shared(k: int, meet: int, percent: int) -> tuple[int, ...]:
     """By set size from 1: values that a linked pair shares in its bottom-k sketches, at least.
 
-    The union of the pair has at most ``100 / percent`` times as many values;
-    its k smallest are drawn from it without return, and at least ``percent``
-    of 100 are shared. The number given is missed with a chance below 1e-9.
-    It falls with the size; ``meet`` holds for all sizes beyond the table.
+    The union of the pair has at most ``100 / percent`` times as many values,
+    and at least ``percent`` of 100 of them are shared. A union of up to k
+    values is in the sketches whole; of a larger one the k smallest are drawn
+    without return, and the number given for it is missed with a chance below
+    1e-9. The least of all unions counts; ``meet`` holds beyond the table.
     """
-    table: list[int] = []
-    while len(table) < 8 * k:
-        n = len(table) + 1
-        union = n * 100 // percent
+    sizes = 8 * k
+    drawn: list[int] = []  # by union size from 1
+    for union in range(1, sizes * 100 // percent + 1):
         shared = -(-union * percent // 100)
         if union <= k:
-            table.append(-(-n * percent // 100))
+            drawn.append(shared)
             continue
         low, chance = max(0, k - (union - shared)), 0.0
         for count in range(low, k + 1):
@@ -118,8 +120,8 @@ def _least_shared(k: int, meet: int, percent: int) -> tuple[int, ...]:
             )
             if chance >= 1e-9:
                 break
-        table.append(max(meet, min(count, n)))
-    return tuple(table)
+        drawn.append(max(meet, count))
+    return tuple(min(drawn[n - 1 : n * 100 // percent]) for n in range(1, sizes + 1))
 
 
 def _log_choose(n: int, k: int) -> float:

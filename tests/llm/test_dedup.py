@@ -153,6 +153,25 @@ def test_near_groups(spark, prose, width, most):
     assert sum(not row[3] for row in want) > 40
 
 
+@pytest.mark.parametrize("width", [4, 5])
+def test_isolated_pairs_of_every_size_about_the_sketch(spark, prose, width):
+    """Pairs that share nothing with a third row: one word replaced, one inserted, the tail cut."""
+    rows = []
+    for size in range(40, 81):
+        edits = (
+            lambda words: [*words[:20], "other", *words[21:]],
+            lambda words: [*words[:20], "other", *words[20:]],
+            lambda words: words[: width - 1 - (-len(words[width - 1 :]) * 80 // 100)],
+        )
+        for kind, edit in enumerate(edits):
+            words = prose(10_000 + 3 * size + kind, size + width - 1).split(" ")
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(edit(words)))]
+    found = near_dedup.near_groups(table(spark, rows), width=width).collect()
+    want = brute_near(rows, width)
+    assert sorted((tuple(r) for r in found), key=str) == want
+    assert sum(not row[3] for row in want) > 115
+
+
 def test_keep_one(spark, prose):
     rows = [r for r in near_rows(prose)[:-2] if r[0] is not None]
     out = near_dedup.keep_one(table(spark, rows))
