@@ -9,7 +9,7 @@ try, and comparing the words themselves confirms an occurrence.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -168,6 +168,23 @@ def _found(
     return texts.mapInArrow(scan, f"{head}, n_words long, hits array<long>, items array<string>")
 
 
+def _item_sets(
+    benchmark: DataFrame, item_col: str, item_text: str, set_bytes: int
+) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """How many sets of items there are, and what fetches one of them."""
+    benchmark = benchmark.select(
+        F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")
+    ).where("item IS NOT NULL AND text IS NOT NULL")
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sets = max(1, -(-2 * total // set_bytes))
+
+    def items(part: int) -> list[tuple[str, str]]:
+        chosen = benchmark.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == part)
+        return [(row["item"], row["text"]) for row in chosen.collect()]
+
+    return sets, items
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
@@ -182,16 +199,7 @@ def contamination(
     benchmark takes several passes over the documents, united by row.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    benchmark = benchmark.select(
-        F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")
-    ).where("item IS NOT NULL AND text IS NOT NULL")
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sets = max(1, -(-2 * total // set_bytes))
-
-    def items(part: int) -> list[tuple[str, str]]:
-        chosen = benchmark.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == part)
-        return [(row["item"], row["text"]) for row in chosen.collect()]
-
+    sets, items = _item_sets(benchmark, item_col, item_text, set_bytes)
     if sets == 1:
         found = _found(texts, ["id"], items(0), window)
     else:
@@ -213,12 +221,36 @@ def contamination(
 
 
 def keep_clean(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    set_bytes: int = SET_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` without any occurrence, with all their columns."""
-    marks = contamination(docs, benchmark, id_col, text_col, **options)
+    """The rows of ``docs`` without any occurrence, with all their columns.
+
+    Each row is decided by its own text, whatever its id is and who shares
+    it: in the scanning pass with one set of items, by row number with several.
+    """
+    sets, items = _item_sets(benchmark, item_col, item_text, set_bytes)
+    if sets == 1:
+        return _without_hits(docs, text_col, items(0), window)
+    rows = written(
+        docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")),
+        "numbered-rows",
+    )
+    texts = rows.select("number", F.col("row").getField(text_col).alias("text"))
+    passes = [_found(texts, ["number"], items(part), window) for part in range(sets)]
     bad = written(
-        marks.where("contaminated").select(F.col(id_col).alias("id")).distinct(), "contaminated"
+        reduce(DataFrame.union, passes).where("size(hits) > 0").select("number").distinct(), "contaminated"
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id")).alias("d")
-    return rows.join(bad.alias("b"), F.expr("d.id <=> b.id"), "left_anti").select("row.*")
+    return rows.join(bad, "number", "left_anti").select("row.*")
+
+
+def _without_hits(docs: DataFrame, text_col: str, items: list[tuple[str, str]], window: int) -> DataFrame:
+    tables = docs.sparkSession.sparkContext.broadcast(build_patterns(items, window))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in arrays.text_blocks(batches, text_col):
+            _, _, found = search(data, offsets, tables.value)
+            yield part.filter(pa.array([not row for row in found], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

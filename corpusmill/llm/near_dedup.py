@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from corpusmill.llm import arrays
 from corpusmill.llm.components import components
@@ -45,6 +46,8 @@ from corpusmill.llm.shared import written
 SKETCH, MEET = 64, 28
 #: Nodes of a list that are paired with each other; rounds of longer lists before all are.
 LIST, DEPTH = 32, 4
+#: Words of a shingle.
+WIDTH = 5
 _TOP = np.uint64(1 << 63)
 
 
@@ -371,19 +374,11 @@ def _beside_leader(clouds: DataFrame, parts: DataFrame, percent: int) -> DataFra
     ).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    width: int = 5, percent: int = 80, k: int = SKETCH, meet: int = MEET, most: int = LIST,
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percent: int = 80,
+    k: int = SKETCH, meet: int = MEET, most: int = LIST,
 ) -> DataFrame:
-    """One row per row of ``docs``: the id, n_shingles, component_id, kept.
-
-    A-Z are lower-cased, words stand between white space, and documents are
-    linked when 100 * intersection >= percent * union of their sets of
-    distinct shingles. Null and empty texts have an empty set and no link.
-    The component is the smallest id reachable; a null id links like any
-    other, and is its own component where it reaches no id. Rows that repeat
-    an id all carry its component. Other columns are not read.
-    """
+    """Per row of ``docs``: id, n, digest and component_id, as ``near_groups`` has them."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = written(_signatures(docs, width, k), "signatures")
     nodes = written(
@@ -447,24 +442,60 @@ def near_groups(
         named.join(written(least, "least-ids"), "component").select("digest", "component_id"), "groups"
     )
     return signed.select("id", "n", "digest").join(groups, "digest", "left").select(
+        "id", "n", "digest", F.coalesce("component_id", "id").alias("component_id")
+    )
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    width: int = WIDTH, percent: int = 80, k: int = SKETCH, meet: int = MEET, most: int = LIST,
+) -> DataFrame:
+    """One row per row of ``docs``: the id, n_shingles, component_id, kept.
+
+    A-Z are lower-cased, words stand between white space, and documents are
+    linked when 100 * intersection >= percent * union of their sets of
+    distinct shingles. Null and empty texts have an empty set and no link.
+    The component is the smallest id reachable; a null id links like any
+    other, and is its own component where it reaches no id. Rows that repeat
+    an id all carry its component. Other columns are not read.
+    """
+    return _grouped(docs, id_col, text_col, width, percent, k, meet, most).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        "component_id",
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def _with_digests(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """The rows of ``docs`` as one struct, with the digest of their set (null if empty)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in arrays.text_blocks(batches, text_col):
+            digests = [
+                hashlib.blake2b(v.tobytes(), digest_size=16).digest() if len(v) else None
+                for v in shingle_sets(data, offsets, width)
+            ]
+            row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+            yield pa.RecordBatch.from_arrays([row, pa.array(digests, pa.binary())], ["row", "digest"])
+
+    return docs.mapInArrow(sign, StructType().add("row", docs.schema).add("digest", BinaryType()))
+
+
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options
 ) -> DataFrame:
     """The rows of ``docs`` whose id stands for its group, with all their columns.
 
-    Expects one row per id, as exact dedup leaves them; rows that repeat an id
-    stay or go together. Rows with a null id are decided by the least id they
-    reach, and stay where there is none.
+    Each row is decided by its id and its set, as exact dedup leaves one row
+    per id and text: rows that repeat an id, or have none, go only with their
+    own group. Rows with a null id go where their group reaches an id, and
+    stay where there is none.
     """
-    groups = near_groups(docs, id_col, text_col, **options)
+    groups = _grouped(docs, id_col, text_col, width, **options)
     gone = written(
-        groups.where("NOT kept").select(F.col(id_col).alias("id")).distinct(), "near-copies"
+        groups.where("NOT id <=> component_id").select("id", "digest").distinct(), "near-copies"
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id")).alias("d")
-    return rows.join(gone.alias("g"), F.expr("d.id <=> g.id"), "left_anti").select("row.*")
+    rows = _with_digests(docs, text_col, width).select(
+        "row", F.col("row").getField(id_col).alias("id"), "digest"
+    ).alias("d")
+    return rows.join(gone.alias("g"), F.expr("d.id <=> g.id AND d.digest = g.digest"), "left_anti").select("row.*")

@@ -58,6 +58,19 @@ def test_contamination(spark, prose, set_bytes):
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute_contamination(docs, items)
 
 
+@pytest.mark.parametrize("set_bytes", [1 << 20, 40])
+def test_keep_clean_decides_by_row(spark, prose, set_bytes):
+    """Several null ids and a repeated id, of which one row holds an item."""
+    benchmark = spark.createDataFrame([(1, prose(1, 12)), (2, prose(2, 12))], "item_id long, text string")
+    held = prose(3, 20) + " " + prose(2, 12)
+    rows = [(None, held), (None, prose(4, 20)), (None, prose(5, 20)), (None, None), (7, held), (7, prose(6, 20)), (8, prose(1, 12)), (9, "")]
+    docs = table(spark, [(i, t, "s") for i, t in rows])
+    out = decontaminate.keep_clean(docs, benchmark, set_bytes=set_bytes)
+    assert out.schema == docs.schema
+    want = [r for r in rows if r[1] not in (held, prose(1, 12))]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_contamination_of_nothing(spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     docs = table(spark, [(1, "a b", "s")])

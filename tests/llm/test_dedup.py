@@ -179,6 +179,18 @@ def test_keep_one(spark, prose):
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, _, _, kept in brute_near(rows, 5) if kept)
 
 
+def test_keep_one_decides_by_row(spark, prose):
+    """Several null ids and a repeated id, of which one row is a near copy."""
+    rows = [
+        (1, prose(1, 50)), (None, prose(1, 50) + " more"), (None, prose(2, 50)), (None, prose(3, 50)), (None, ""), (None, None),
+        (7, prose(1, 50) + " other"), (7, prose(4, 50)), (8, prose(5, 50)), (8, prose(6, 50)),
+    ]
+    out = near_dedup.keep_one(table(spark, rows))
+    assert out.schema == table(spark, rows).schema
+    gone = {rows[1], rows[6]}
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted((r for r in rows if r not in gone), key=str)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \t\nabAB éß\U0001f600", max_size=30), max_size=6))
 def test_word_spans(texts):
