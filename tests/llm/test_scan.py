@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import string
+import textwrap
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -113,6 +114,38 @@ def test_licences_of_odd_rows(spark, prose):
     assert all(re.search(licenses.ANCHORS, t) for texts in licenses.TEMPLATES.values() for t in texts)
 
 
+NOTICES = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Apache-2.0": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+}
+
+
+def test_wrapped_licences(spark, prose):
+    rows, want = [], []
+    for family, notice in NOTICES.items():
+        for width in (60, 66, 72, 80):
+            for mark, end in (("", "\n"), (" * ", "\r\n")):
+                body = end.join(mark + line for line in textwrap.wrap(notice, width))
+                rows.append((len(rows), f"{prose(len(rows), 30)}{end}{mark}{end}{body}{end}{mark}{end}{prose(len(rows) + 500, 30)}"))
+                want.append(family)
+    rows += [(1000 + i, prose(2000 + i, 60)) for i in range(60)]
+    rows.append((2000, "Released under the MIT License.\nsee below" + "\n" * 20_000 + " the end"))
+    found = {r.doc_id: r for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].families for i in range(len(want))] == want
+    assert all(found[1000 + i].families == "" for i in range(60))
+    assert (found[2000].families, found[2000].n_statements) == ("MIT", 1)
+
+
+def test_nothing_is_confirmed_without_an_anchor():
+    for text in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        words = re.findall(r"[^\W_]+", text.lower())
+        triples = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
+        assert sum(not re.search(licenses.ANCHORS, t) for t in triples) / len(triples) < licenses.CONFIRM
+
+
 def judge(url):
     if not url or "://" not in url:
         return "", "", None, None
