@@ -11,6 +11,7 @@ random ones; the tokens it leaves are reported.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,14 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 6
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+PIECE = r"[A-Za-z0-9]{20,}"  # of a token that fits no encoding
 _DIGITS, _SMALL = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 # encoding, what a token of it looks like, its alphabet in order
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", _DIGITS + "abcdef"),
     ("upper hex", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", _DIGITS + "ABCDEF"),
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _SMALL.upper() + "234567"),
+    ("upper base36", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _DIGITS + _SMALL.upper()),
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _DIGITS + _SMALL),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _SMALL.upper() + _SMALL + _DIGITS + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _SMALL.upper() + _SMALL + _DIGITS + "-_"),
@@ -138,6 +141,19 @@ def _battery(token: Column, alphabet: str) -> Column:
     return F.element_at(F.transform(F.array(symbols), tested), 1)
 
 
+def _tokens(text: Column) -> Column:
+    """Array of (start, end, value) of the tokens; for those that fit no encoding, their pieces."""
+
+    def parts(x: Column) -> Column:
+        fits = reduce(Column.__or__, (x["value"].rlike(shape) for _, shape, _ in ENCODINGS))
+        pieces = F.transform(match_spans(x["value"], PIECE), lambda p: F.struct(
+            (x["start"] + p["start"]).alias("start"), (x["start"] + p["end"]).alias("end"), p["value"].alias("value")
+        ))
+        return F.when(fits, F.array(x)).otherwise(pieces)
+
+    return F.flatten(F.transform(match_spans(text, TOKEN), parts))
+
+
 def _not_random(tested: DataFrame) -> dict[int, int]:
     """For each class of lengths the least step of the p-value scale that is called not random.
 
@@ -163,8 +179,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` lists kind:start:end by start, then kind as in KINDS, joined by
     commas; ``base_sha256`` digests the same without random spans. Offsets are
     code points of the whole text, ends exclusive. Null counts as empty;
-    without spans the list is empty. A token is reported as random if its
-    encoding is known and it is not told apart from random ones among all
+    without spans the list is empty. A token that fits no encoding stands for
+    its pieces between / + - and _ of 20 or more characters. A token is
+    reported as random if its encoding is known and it is not told apart from random ones among all
     tokens of its class of lengths (powers of two) in the table. Rows that
     repeat are rows like others; other columns are not read.
     """
@@ -178,7 +195,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         match_spans(text, ACCESS).alias("access"),
         match_spans(text, HEX).alias("hex"),
         F.transform(
-            F.filter(F.transform(match_spans(text, TOKEN), token), lambda x: x["test"].isNotNull()),
+            F.filter(F.transform(_tokens(text), token), lambda x: x["test"].isNotNull()),
             lambda x: F.struct(
                 x["start"].alias("start"), x["end"].alias("end"),
                 F.floor(F.log2(x["end"] - x["start"])).cast("int").alias("sized"),

@@ -68,6 +68,21 @@ def test_random_tokens_are_told_from_names(spark):
     assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_random_upper_tokens_and_pieces(spark):
+    """Upper-case letters with digits; keys in tokens of mixed marks, which fit no encoding whole."""
+    rng = random.Random(4)
+    upper = ["".join(rng.choices(string.ascii_uppercase + string.digits, k=40)) for _ in range(40)]
+    lower = ["".join(rng.choices(string.ascii_lowercase + string.digits, k=30)) for _ in range(40)]
+    mixed = ["".join(rng.choices(string.ascii_letters + string.digits, k=44)) for _ in range(40)]
+    texts = [(f"\U0001f600 value {t} end", [(8, 8 + len(t))]) for t in upper]
+    texts += [(f"é {a}-{b}", [(2, 32), (33, 63)]) for a, b in zip(lower[::2], lower[1::2], strict=True)]
+    texts += [(f"at my/path_to-the/{t}", [(18, 62)]) for t in mixed]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.spans.split(",") for r in secret_scan.scan_secrets(docs).collect()}
+    hit = [f"random:{a}:{b}" in found[i] for i, (_, spans) in enumerate(texts) for a, b in spans]
+    assert len(hit) == 120 and np.mean(hit) >= 0.9
+
+
 def test_battery_by_hand(spark):
     """The chi-squared tail against the exact formula for an even number of degrees of freedom."""
     import math
