@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm import (
     chunk_dedup,
     decontaminate,
+    filter_audit,
     langid,
     licenses,
     mixing,
     near_dedup,
+    periodic_runs,
+    pii,
     quality,
     secret_scan,
     url_rules,
@@ -223,6 +226,121 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+OP11_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+o AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+marks AS (
+    SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+    FROM labels GROUP BY doc_id),
+m AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           [CAST(f AS INTEGER) FOR f IN [
+               len(words) < 50,
+               100 * list_unique(words) < 65 * len(words),
+               100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text),
+               regexp_matches(text, '[#$%&*|]'),
+               coalesce(doc_id > first_id, false)]] AS fails
+    FROM d JOIN o USING (text) LEFT JOIN marks USING (doc_id)),
+c AS (
+    SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+letters(letter, place) AS (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)),
+orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+           [a.place, b.place, c.place, d.place, e.place] AS places
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.place, b.place, c.place, d.place, e.place])) = 5),
+steps AS (
+    SELECT filter_order, step, places[step] AS place, places[1:step - 1] AS before
+    FROM orders, range(1, 6) s(step)),
+t AS (
+    SELECT part, filter_order, step, place, n, good, toxic,
+           fails[place] = 1 AS fails_it,
+           list_sum([0] || [fails[p] FOR p IN before]) > 0 AS gone,
+           list_sum(fails) = 1 AS only_one
+    FROM c, steps),
+r AS (
+    SELECT part, filter_order, step, place,
+           sum(CASE WHEN NOT gone AND NOT fails_it THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN NOT gone AND fails_it THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN gone AND fails_it THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN only_one AND fails_it THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN NOT gone AND fails_it THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN NOT gone AND fails_it THEN toxic ELSE 0 END) AS toxic_lost
+    FROM t GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, place) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.learn(docs))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents")).drop("n_words", "n_dropped")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+           -- CRC-32 of the decimal digits, a bit at a time
+           xor(4294967295, list_reduce(
+               [CAST(4294967295 AS BIGINT)] || flatten([[-CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0]
+                                                        FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+               lambda c, x: CASE WHEN x < 0 THEN xor(c, -x)
+                                 ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END)) AS h
+    FROM documents),
+g AS (SELECT doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS planted, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (
+    SELECT doc_id, n, CASE WHEN planted
+        THEN [words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] FOR i IN range(n)] ELSE words END AS words
+    FROM p),
+-- a run's words q apart are equal for 6 words at least
+s AS (
+    SELECT doc_id, n, unnest(range(n - 5)) AS i,
+           unnest(list_transform(range(1, n - 4), lambda j: hash(array_to_string(words[j:j + 5], ' ')))) AS six
+    FROM w WHERE n >= 12),
+e AS (
+    SELECT x.doc_id, x.n, x.i, y.i - x.i AS q
+    FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.six = y.six AND x.i < y.i AND 2 * (y.i - x.i) <= x.n),
+f AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM e),
+r AS (
+    SELECT doc_id, min(i) AS start, q, max(i) + q + 6 - min(i) AS length
+    FROM f GROUP BY doc_id, q, stretch HAVING max(i) + q + 6 - min(i) >= greatest(12, 2 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY doc_id, start, length),
+best AS (
+    SELECT doc_id, count(*) AS n_runs,
+           string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+           arg_min({'start': start, 'length': length, 'period': period}, (-length, start, period)) AS top
+    FROM runs GROUP BY doc_id),
+cover AS (
+    SELECT doc_id, list(DISTINCT i) AS gone
+    FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY doc_id),
+kept AS (
+    SELECT w.doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(range(n)) AS i FROM w) w
+    LEFT JOIN (SELECT doc_id, unnest(gone) AS i, true AS dropped FROM cover) c USING (doc_id, i)
+    WHERE dropped IS NULL GROUP BY w.doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period,
+       1000 * top.length // top.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+       sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_warc": Query(op1, OP1_SQL),
     "op2_secrets": Query(op2),
@@ -234,4 +352,7 @@ QUERIES = {
     "op8_decontamination": Query(op8, OP8_SQL),
     "op9_url_rules": Query(op9, OP9_SQL),
     "op10_language": Query(op10),
+    "op11_filter_audit": Query(op11, OP11_SQL),
+    "op12_personal_data": Query(op12),
+    "op13_periodic_runs": Query(op13, OP13_SQL),
 }
