@@ -189,10 +189,12 @@ def failure_masks(
         ),
         "failure-masks",
     )
-    first = (
+    # written, so that the join's partitions are plain ones, of which large ones can be split
+    first = written(
         rows.where("id IS NOT NULL").groupBy("digest")
         .agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("first < last").select("digest", "first")
+        .where("first < last").select("digest", "first"),
+        "first-of-equal-texts",
     )
     return rows.join(first, "digest", "left").select(
         "id", "part", (F.col("mask") + F.when(F.col("id") > F.col("first"), 16).otherwise(0)).alias("mask")
