@@ -1,19 +1,31 @@
 """Byte-pair training over distributed word counts.
 
-The table holds each distinct word once, as a string of *codes*: one code
+One table holds each distinct word once, as a string of *codes*: one code
 point stands for one symbol id. Two neighbouring symbols are then a two
 character substring and a merge is ``replace``, both native string work, and
-the order of strings is the order of ids.
-
-The driver keeps only the vocabulary and the merges, both bounded by the
-configured size. Word counts and pair counts stay distributed.
+the order of strings is the order of ids. A second table holds how often each
+pair occurs; pairs are counted once, and a round only adds the differences
+that the words it changed make.
+
+A round takes as many merges as it can prove to be the next ones, in one of
+two ways. Frequent pairs are merged where the words are, several at a time
+while they cannot touch each other. Rarer pairs come with the words that hold
+them, at most ``places_per_round`` places, and are merged one after another
+on the driver; see ``train`` for why that is exact.
+
+The driver keeps the vocabulary and the merges, both bounded by the configured
+size, and the words of one round, bounded by ``places_per_round``.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +76,7 @@ class Tokenizer:
     profile: Profile
     ids: dict[str, int]
     merges: list[tuple[str, str]] = field(default_factory=list)
+    rounds: int = 0
 
     def vocab(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.ids.items()), schemas.VOCAB)
@@ -74,6 +87,8 @@ class Tokenizer:
 
 
 WORDS_PER_TASK = 20_000
+#: Leading pairs that a round looks at.
+PAIRS_SEEN = 8192
 
 _FIRST_CODE = 0x100
 _SURROGATES = range(0xD800, 0xE000)
@@ -148,13 +163,19 @@ def _encode_words(
     return coded.groupBy("codes").agg(F.sum("freq").alias("freq")).repartition(tasks)
 
 
-def _best_pairs(words: DataFrame, at_least: int, limit: int) -> list[tuple[str, int]]:
-    places = F.explode(F.sequence(F.lit(1), F.length("codes") - 1)).alias("place")
-    long = words.filter(F.length("codes") > 1).select("codes", "freq", places)
-    rows = long.select(F.col("codes").substr(F.col("place"), F.lit(2)).alias("pair"), "freq")
-    counted = rows.groupBy("pair").agg(F.sum("freq").alias("n")).filter(F.col("n") >= at_least)
-    best = counted.orderBy(F.desc("n"), "pair").limit(limit).collect()
-    return [(row["pair"], row["n"]) for row in best]
+def _pair_rows(codes: Column, sign: int, words: DataFrame) -> DataFrame:
+    places = F.explode(F.sequence(F.lit(1), F.length(codes) - 1)).alias("place")
+    long = words.filter(F.length(codes) > 1).select(codes.alias("codes"), "freq", places)
+    return long.select(
+        F.col("codes").substr(F.col("place"), F.lit(2)).alias("pair"),
+        (sign * F.col("freq")).alias("n"), F.lit(sign).cast("long").alias("places"),
+    )
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    """Occurrences, weighted by word frequency, and places in distinct words of each pair that is left."""
+    total = pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+    return total.filter("places > 0")
 
 
 def _merged(codes: Column, chosen: list[tuple[str, str]]) -> Column:
@@ -165,54 +186,189 @@ def _merged(codes: Column, chosen: list[tuple[str, str]]) -> Column:
     return F.aggregate(merges, codes, lambda left, m: F.replace(left, m["pair"], m["code"]))
 
 
+class _Vocabulary:
+    """Tokens in id order and merges in rank order, up to a size."""
+
+    def __init__(self, ids: dict[str, int], size: int, prefix: str) -> None:
+        self.ids, self.size, self._prefix = ids, size, prefix
+        self._tokens = list(ids)
+        self.merges: list[tuple[str, str]] = []
+
+    def full(self) -> bool:
+        return len(self.ids) >= self.size
+
+    def merge(self, pair: str) -> tuple[str, bool]:
+        """The code of the merged pair, and whether its token is new."""
+        left, right = (self._tokens[_token_id(code)] for code in pair)
+        token = left + right.removeprefix(self._prefix)
+        new = token not in self.ids
+        if new:
+            self.ids[token] = len(self._tokens)
+            self._tokens.append(token)
+        self.merges.append((left, right))
+        return _code(self.ids[token]), new
+
+
+def _apart(best: list[tuple[str, int, int]], vocabulary: _Vocabulary, limit: int) -> list[str]:
+    """The leading pairs none of which starts with a symbol that another ends with."""
+    room = min(limit, vocabulary.size - len(vocabulary.ids))
+    chosen, lefts, rights = [], set(), set()
+    for pair, _, _ in best[:room]:
+        if pair[0] in rights or pair[1] in lefts or chosen and pair[0] == pair[1]:
+            break
+        chosen.append(pair)
+        lefts.add(pair[0])
+        rights.add(pair[1])
+        if pair[0] == pair[1]:  # what it becomes may be as frequent as any other pair
+            break
+    return chosen
+
+
+class _Words:
+    """The words of a round with an index from each pair to its words, merged one pair at a time."""
+
+    def __init__(self, words: list[tuple[str, int]]) -> None:
+        self.before = [codes for codes, _ in words]
+        self.codes = list(self.before)
+        self._freq = [freq for _, freq in words]
+        self.count: dict[str, int] = {}
+        self._index: dict[str, set[int]] = {}
+        self._queue: list[tuple[int, str]] = []
+        for word in range(len(words)):
+            self._add(word, 1)
+
+    def _add(self, word: int, sign: int) -> set[str]:
+        codes, weight = self.codes[word], sign * self._freq[word]
+        pairs = [codes[i : i + 2] for i in range(len(codes) - 1)]
+        for pair in pairs:
+            self.count[pair] = self.count.get(pair, 0) + weight
+            if sign > 0:
+                self._index.setdefault(pair, set()).add(word)
+        return set(pairs)
+
+    def queue(self, pairs) -> None:
+        for pair in pairs:
+            heapq.heappush(self._queue, (-self.count.get(pair, 0), pair))
+
+    def best(self) -> tuple[str, int] | None:
+        """The most frequent queued pair; the lowest of equal ones."""
+        while self._queue:
+            n, pair = self._queue[0]
+            now = self.count.get(pair, 0)
+            if -n == now and now > 0:
+                return pair, now
+            heapq.heappop(self._queue)
+            if now > 0:
+                heapq.heappush(self._queue, (-now, pair))
+        return None
+
+    def merge(self, pair: str, code: str) -> None:
+        made: set[str] = set()
+        for word in self._index.pop(pair, ()):
+            if pair in self.codes[word]:
+                self._add(word, -1)
+                self.codes[word] = self.codes[word].replace(pair, code)
+                made |= self._add(word, 1)
+        self.queue(p for p in made if code in p)
+
+    def changed(self) -> list[tuple[str, str]]:
+        return [(a, b) for a, b in zip(self.before, self.codes, strict=True) if a != b]
+
+
+def _merge_here(
+    held: _Words, pairs: list[str], left_out: tuple[int, str] | None, at_least: int, vocabulary: _Vocabulary
+) -> None:
+    """Merge the best of ``pairs`` and of what they become while it ranks before ``left_out``."""
+    held.queue(pairs)
+    while not vocabulary.full():
+        found = held.best()
+        if found is None or found[1] < at_least or left_out and (-found[1], found[0]) >= left_out:
+            return
+        code, new = vocabulary.merge(found[0])
+        held.merge(found[0], code)
+        if not new:  # pairs with a symbol that other words hold too are not all here
+            return
+
+
+def _words_with(words: DataFrame, pairs: list[str]) -> list[tuple[str, int]]:
+    """Words that hold one of the pairs; the caller has bounded their number."""
+    wanted = words.sparkSession.createDataFrame(pa.table({"pair": pairs}))
+    at = F.transform(F.sequence(F.lit(1), F.length("codes") - 1), lambda i: F.col("codes").substr(i, F.lit(2)))
+    rows = words.filter(F.length("codes") > 1).select("codes", "freq", F.explode(F.array_distinct(at)).alias("pair"))
+    found = rows.join(F.broadcast(wanted), "pair", "left_semi").select("codes", "freq").toArrow()
+    return list(dict(zip(found["codes"].to_pylist(), found["freq"].to_pylist(), strict=True)).items())
+
+
 def train(
     word_counts: DataFrame, profile: Profile, vocab_size: int | None = None,
-    pairs_per_round: int = 64, rounds_per_checkpoint: int = 16,
+    pairs_per_round: int = 64, places_per_round: int = 200_000, rounds_per_checkpoint: int = 8,
 ) -> Tokenizer:
     """Merge the best pair until the vocabulary is full.
 
-    One round may apply several merges and still equal one merge at a time:
-    pairs are taken in rank order while none starts with a symbol that
+    A round takes the best pairs in rank order and the larger of two sets of
+    merges, both equal to one merge at a time.
+
+    Where the words are: pairs are taken while none starts with a symbol that
     another ends with, so their occurrences cannot overlap. A new pair then
     contains a new symbol, is at most as frequent as an existing pair that
     ranks below the ones taken, and loses every tie because new symbols have
-    the highest ids. A merge whose token exists already ends its round.
+    the highest ids.
+
+    On the driver: the leading pairs are taken while their places add up to at
+    most ``places_per_round``, with all words that hold one of them. Every
+    pair that occurs more often than the first pair left out is one of them,
+    or contains a symbol made in this round; either way all its words are
+    here. So merges go on while the best pair occurs more often than that.
+
+    In both, a merge whose token exists already ends its round.
     """
-    size = vocab_size or profile.vocab_size
+    at_least = max(1, profile.min_frequency)
     word_counts = word_counts.persist()
     ids, chars = _initial_ids(word_counts, profile)
-    tokens = list(ids)
-    merges: list[tuple[str, str]] = []
+    vocabulary = _Vocabulary(ids, vocab_size or profile.vocab_size, profile.prefix)
     words = cut_lineage(_encode_words(word_counts, ids, chars, profile)).persist()
     word_counts.unpersist()
-    rounds, stale = 0, []
-    while len(ids) < size:
-        chosen, lefts, rights = [], set(), set()
-        for pair, _ in _best_pairs(words, max(1, profile.min_frequency), pairs_per_round):
-            if pair[0] in rights or pair[1] in lefts or len(ids) >= size:
-                break
-            left, right = (tokens[_token_id(code)] for code in pair)
-            merged = left + right.removeprefix(profile.prefix)
-            known = merged in ids
-            if not known:
-                ids[merged] = len(tokens)
-                tokens.append(merged)
-            merges.append((left, right))
-            chosen.append((pair, _code(ids[merged])))
-            lefts.add(pair[0])
-            rights.add(pair[1])
-            if known:
-                break
-        if not chosen:
+    counts = _summed(_pair_rows(F.col("codes"), 1, words)).persist()
+    rounds, stale = 0, [(words, counts)]
+    while not vocabulary.full():
+        ranked = counts.filter(F.col("n") >= at_least).orderBy(F.desc("n"), "pair").limit(PAIRS_SEEN)
+        best = [(row["pair"], row["n"], row["places"]) for row in ranked.collect()]
+        if not best:
             break
-        before, rounds = words, rounds + 1
-        words = words.withColumn("codes", _merged(F.col("codes"), chosen)).persist()
+        rounds += 1
+        fitting = bisect_right(list(accumulate(places for _, _, places in best)), places_per_round)
+        whole = fitting == len(best) < PAIRS_SEEN
+        fitting = fitting if whole else min(fitting, len(best) - 1)
+        chosen = _apart(best, vocabulary, pairs_per_round)
+        if whole or fitting > len(chosen):
+            pairs = [pair for pair, _, _ in best[:fitting]]
+            held = _Words(_words_with(words, pairs))
+            _merge_here(held, pairs, None if whole else (-best[fitting][1], best[fitting][0]), at_least, vocabulary)
+            before, after = zip(*held.changed(), strict=True)
+            changes = words.sparkSession.createDataFrame(pa.table({"codes": before, "after": after}))
+            words = words.join(F.broadcast(changes), "codes", "left")
+        else:
+            merges = []
+            for pair in chosen:
+                code, new = vocabulary.merge(pair)
+                merges.append((pair, code))
+                if not new:
+                    break
+            after = _merged(F.col("codes"), merges)
+            words = words.withColumn("after", F.when(after != F.col("codes"), after))
+        both = words.persist()
+        changed = both.filter("after IS NOT NULL")
+        differences = _pair_rows(F.col("codes"), -1, changed).unionByName(_pair_rows(F.col("after"), 1, changed))
+        counts = _summed(counts.unionByName(differences)).persist()
+        words = both.select(F.coalesce("after", "codes").alias("codes"), "freq")
+        stale.append((both, counts))
         if rounds % rounds_per_checkpoint == 0:
-            cached, words = words, cut_lineage(words).persist()
-            cached.unpersist()
-        stale.append(before)
-        if len(stale) > 1:
-            stale.pop(0).unpersist()
-    for table in (*stale, words):
-        table.unpersist()
-    return Tokenizer(profile, ids, merges)
+            words, counts = cut_lineage(words).persist(), cut_lineage(counts).persist()
+            stale.append((words, counts))
+        while len(stale) > 2:
+            for table in stale.pop(0):
+                table.unpersist()
+    for tables in stale:
+        for table in tables:
+            table.unpersist()
+    return Tokenizer(profile, vocabulary.ids, vocabulary.merges, rounds)

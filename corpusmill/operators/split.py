@@ -43,31 +43,53 @@ def assign_split_exact(
 ) -> DataFrame:
     """Exact shares: ``ceil`` of the test share, then of the rest's share.
 
-    Only keys are ranked; the split then joins back on the unique key.
+    Only hashes of keys are ranked, one per row; a split is a range of hashes,
+    so each row finds its own by the two borders and nothing is joined back.
+    Rows of a repeated key, or of null keys, have one hash and stay together:
+    shares are exact but for copies of the keys at the borders.
     """
-    keys = df.select(key, seeded_hash(seed, F.col(key)).alias("order_hash"))
-    ranked = global_rank(keys, "order_hash", key)
+    order = seeded_hash(seed, F.col(key))
+    ranked = global_rank(df.select(key, order.alias("order_hash")), "order_hash", key)
     n_test = F.ceil(F.round(F.col("n_total") * test, 6))
     rest = F.col("n_total") - n_test
     n_validation = F.ceil(F.round(rest * (validation / (1 - test)), 6))
+    last = lambda upto: F.coalesce(F.max(F.when(F.col("rank") <= upto, F.col("order_hash"))), F.lit(""))
+    borders = ranked.agg(
+        F.struct(last(n_test).alias("test"), last(n_test + n_validation).alias("validation")).alias("borders")
+    ).scalar()
     split = (
-        F.when(F.col("rank") <= n_test, "test")
-        .when(F.col("rank") <= n_test + n_validation, "validation")
+        F.when(order <= borders["test"], "test")
+        .when(order <= borders["validation"], "validation")
         .otherwise("train")
     )
-    return df.join(ranked.select(key, split.alias("split")), key)
+    return df.withColumn("split", split)
 
 
-def epoch_batches(
+def in_epoch_order(
     df: DataFrame, epoch: int, batch_size: int, shards: int = 8, seed: int = 42,
     key: str = "doc_id",
 ) -> DataFrame:
-    """A reproducible epoch order: ``batch_no``, place in batch, and shard."""
-    hashed = df.select(key, seeded_hash(f"{seed}:{epoch}", F.col(key)).alias("order_hash"))
-    ranked = global_rank(hashed, "order_hash", key)
+    """The rows with their place in a reproducible epoch order: ``batch_no``, ``slot`` and ``shard``.
+
+    Rows are ranked, not keys: each has a place of its own, also those of
+    repeated or null keys, which follow each other by all their columns. Null
+    keys are spread by their columns as well.
+    """
+    columns = F.xxhash64(*df.columns)
+    spread = F.when(F.col(key).isNull(), columns)
+    hashed = df.withColumn("order_hash", seeded_hash(f"{seed}:{epoch}", F.col(key), spread)).withColumn("order_row", columns)
+    ranked = global_rank(hashed, "order_hash", key, "order_row")
     place = F.col("rank") - 1
     batch = F.floor(place / batch_size).cast("bigint")
     return ranked.select(
-        key, batch.alias("batch_no"), (place % batch_size).cast("bigint").alias("slot"),
+        *df.columns, batch.alias("batch_no"), (place % batch_size).cast("bigint").alias("slot"),
         (batch % shards).cast("bigint").alias("shard"),
     )
+
+
+def epoch_batches(
+    df: DataFrame, epoch: int, batch_size: int, shards: int = 8, seed: int = 42,
+    key: str = "doc_id",
+) -> DataFrame:
+    """The places of ``in_epoch_order`` for the keys alone, one row per row of ``df``."""
+    return in_epoch_order(df.select(key), epoch, batch_size, shards, seed, key)

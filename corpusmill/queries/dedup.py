@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from corpusmill import rules as R
@@ -12,7 +10,7 @@ from corpusmill.operators import clean, dedup, flags, split
 from corpusmill.queries.base import Query, check, listed, values
 from corpusmill.queries.cleaning import AUDIT_SQL, CLEAN_STAGES, CODE, FRAGMENTS, MASKED
 from corpusmill.schemas import ANONYMIZED
-from corpusmill.session import ensure_checkpoint_dir
+from corpusmill.session import shared_path
 from corpusmill.sources import corpus as C
 from corpusmill.sources import views as V
 
@@ -29,8 +27,7 @@ SPLIT_SQL = """
 
 def _read_split(spark, sf_dir):
     """A table partitioned by split, of which one folder is read."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/splits-{uuid4().hex}"
+    path = shared_path(spark, "splits")
     C.write_corpus(_with_split(spark, sf_dir).select(*ANONYMIZED.names), path)
     return C.read_split(spark, path, "train").select("doc_id", "path")
 

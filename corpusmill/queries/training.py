@@ -1,7 +1,8 @@
 """Training, encoding and decoding with learnt merges, and the same in recursive SQL.
 
 The profiles are trained on the whole benchmark table, each to its own size or
-until no pair is left, and the corpus is encoded with what they learnt.
+until no pair is left, and the corpus is encoded with what they learnt. One
+profile is trained on all documents too.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ def trained(spark, sf_dir, name: str) -> bpe.Tokenizer:
     return bpe.train(W.pre_token_counts(texts), bpe.PROFILES[name])
 
 
+def trained_on_documents(spark, sf_dir: str) -> bpe.Tokenizer:
+    """The GPT-2 profile, trained on all documents; SQL would need hours, so tests use a brute-force trainer."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe.train(W.pre_token_counts(docs.select("doc_id", F.col("text").alias("content"))), bpe.PROFILES["gpt2"])
+
+
 # --- the trainer in SQL: the word list rides in one row, a merge is a replace ---
 
 
@@ -209,6 +216,7 @@ QUERIES = {
     "X5_train_bpe_gemma": _merges("gemma"),
     "X5_train_bpe_llama": _vocabulary("llama"),
     "X5_train_bpe_gpt2": _vocabulary("gpt2"),
+    "X5_train_on_documents": Query(lambda spark, sf_dir: trained_on_documents(spark, sf_dir).vocab(spark)),
     "X6_train_wordpiece": _vocabulary("bert"),
     "X6_encode_wordpiece": _encoding("bert"),
     "X8_encode_bpe": _encoding("gpt2"),

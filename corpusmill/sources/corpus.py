@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill import schemas
+from corpusmill.operators.split import in_epoch_order
 
+#: Most rows of an exported file.
+ROWS_PER_FILE = 1 << 17
 SPLITS = ("train", "test", "validation")
 
 
@@ -97,14 +100,42 @@ def write_token_counts(encoded: DataFrame, path: str, key: str = "doc_id") -> No
     write_audit_csv(encoded.select(key, F.size("input_ids").alias("n_tokens")), path)
 
 
-def write_shards(inputs: DataFrame, batches: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Model inputs in the order of an epoch, a folder per shard, batches in order in each file.
-
-    ``batches`` comes from ``epoch_batches``; a shard is a set of whole batches.
+def write_shards(
+    inputs: DataFrame, path: str, epoch: int, batch_size: int, shards: int = 8, seed: int = 42,
+    rows_per_file: int = ROWS_PER_FILE, tokens: str = "input_ids", key: str = "doc_id",
+) -> DataFrame:
+    """Model inputs in the order of an epoch as ``data/shard=../file=..``, and their manifest.
+
+    A file holds whole batches in order, ``rows_per_file`` rows at most (one
+    batch, if that is larger), and is written by one task; so a shard of any
+    size is as many files as it needs. Each row gets its place by itself and
+    is in exactly one file, also where keys repeat or are null. The manifest
+    has a row per file: first and last batch, rows, tokens; it is read from
+    what was written. Without rows there is no file and no row.
     """
-    rows = inputs.join(batches, key)
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "batch_no", "slot")
-    ordered.write.mode("overwrite").partitionBy("shard").parquet(path)
+    spark = inputs.sparkSession
+    per_file = max(1, rows_per_file // batch_size)  # batches
+    batches = -(-inputs.count() // batch_size)
+    files = max(1, -(-(-(-batches // shards)) // per_file))  # of a shard
+    placed = in_epoch_order(inputs, epoch, batch_size, shards, seed, key)
+    placed = placed.withColumn("file", F.floor(F.floor(F.col("batch_no") / shards) / per_file).cast("bigint"))
+    task = (F.col("shard") * files + F.col("file")).cast("int")
+    ordered = placed.repartitionById(shards * files, task).sortWithinPartitions("batch_no", "slot")
+    ordered.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("shard", "file").parquet(f"{path}/data")
+    manifest = (
+        spark.read.schema(T.StructType([*ordered.schema.fields])).parquet(f"{path}/data")
+        .groupBy("shard", "file").agg(
+            F.min("batch_no").alias("first_batch"), F.max("batch_no").alias("last_batch"),
+            F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.size(tokens)), F.lit(0)).cast("bigint").alias("n_tokens"),
+        )
+    )
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
+
+
+def read_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
+    """One shard of an export; only its folders are listed. Sort by batch_no and slot for the order."""
+    return spark.read.parquet(f"{path}/data").filter(F.col("shard") == shard)
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:

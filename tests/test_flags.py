@@ -88,6 +88,45 @@ def test_split_is_a_partition_and_stable_under_append(spark):
     assert set(counts) == {"train", "test", "validation"} and abs(counts["test"] - 200) < 60
 
 
+def test_dedup_with_repeated_and_null_keys(spark):
+    rows = [(1, "a", 1), (1, "a", 1), (2, "b", 1), (2, "a", 1), (None, "x", 2), (3, "c", 1), (None, "x", 1), (None, None, 1),
+            (4, None, 1), (6, "", 0), (5, "", 0), (None, "b", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, content string, size long").repartition(3)
+    want = [(1, "a", 1), (2, "b", 1), (3, "c", 1), (5, "", 0), (None, "x", 1)]
+    for bits in (dedup.MOST_BITS, 1 << 15):
+        assert sorted(map(tuple, dedup.deduplicate(df, most_bits=bits).collect()), key=str) == sorted(want, key=str)
+    assert dedup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_suspects_hold_all_copies_and_few_others(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id % 5000) AS content")
+    marked = dedup.suspects(df).groupBy("content").agg(F.count("*").alias("n"), F.max("suspect").alias("suspect")).collect()
+    assert all(row["suspect"] for row in marked if row["n"] > 1)
+    assert sum(row["suspect"] for row in marked if row["n"] == 1) < 400
+    # a bitmap with one bit per value at most still finds every copy
+    assert dedup.deduplicate(df, most_bits=1 << 10).count() == 5000
+
+
+def test_exact_split_with_repeated_and_null_keys(spark):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (2, "a"), (None, "x"), (3, "c"), (None, "y")] + [(i, "z") for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, content string")
+    done = split.assign_split_exact(df)
+    assert sorted(map(tuple, done.drop("split").collect()), key=str) == sorted(rows, key=str)
+    assert done.groupBy("doc_id").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    counts = dict(done.groupBy("split").count().collect())
+    assert 6 <= counts["test"] <= 7 and 6 <= counts["validation"] <= 7  # ceil(5.7), ceil(51 / 9), a copy at a border
+    assert split.assign_split_exact(df.limit(0)).count() == 0
+
+
+def test_epoch_places_of_repeated_and_null_keys(spark):
+    rows = [(i // 3 if i % 5 else None, f"t{i % 7}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, content string")
+    placed = split.in_epoch_order(df.repartition(3), 1, 8, shards=3).collect()
+    assert sorted((r["doc_id"], r["content"]) for r in placed if r["doc_id"] is not None) == sorted(r for r in rows if r[0] is not None)
+    assert sorted(r["batch_no"] * 8 + r["slot"] for r in placed) == list(range(100))
+    assert all(r["shard"] == r["batch_no"] % 3 for r in placed)
+
+
 def test_exact_split_shares(spark):
     rows = split.assign_split_exact(spark.range(1001).withColumnRenamed("id", "doc_id"))
     assert dict(rows.groupBy("split").count().collect()) == {

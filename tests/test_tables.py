@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusmill.operators import clean, eda, flags, split
@@ -30,7 +32,9 @@ def test_split_table_prunes_and_unions(spark, sf_dir, tmp_path):
     whole = split.assign_split(V.corpus(spark, sf_dir))
     C.write_corpus(whole.select(*ANONYMIZED.names), str(tmp_path / "t"))
     train = C.read_split(spark, str(tmp_path / "t"), "train")
-    assert "PartitionFilters: [isnotnull(split" in train._jdf.queryExecution().toString() or train.count()
+    plan = spark._jvm.PythonSQLUtils.explainString(train._jdf.queryExecution(), "formatted")
+    assert re.search(r"PartitionFilters: \[.*split#\d+ = train", plan)
+    assert train.count() == whole.where("split = 'train'").count()
     parts = {name: C.read_split(spark, str(tmp_path / "t"), name).drop("split") for name in C.SPLITS}
     assert C.union_splits(parts).count() == whole.count()
 
@@ -89,6 +93,21 @@ def test_dedup_groups_never_shuffle_bodies(spark, sf_dir, tmp_path):
     assert shuffled and all("content#" not in line for line in shuffled)
 
 
+def test_dedup_moves_only_bodies_that_may_have_a_copy(spark, tmp_path):
+    """Rows without a copy reach the result through no exchange; suspects are aggregated before theirs."""
+    from corpusmill.operators import dedup
+
+    texts = [(i, f"body {i}") for i in range(300)] + [(1000 + i, "copy") for i in range(300)]
+    spark.createDataFrame(texts, "doc_id long, content string").write.parquet(f"{tmp_path}/c")
+    done = dedup.deduplicate(spark.read.parquet(f"{tmp_path}/c"))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    alone = plan.split("Union", 1)[1].split("first#", 1)[0]
+    assert all("content#" not in line for line in alone.split("\n") if "Exchange " in line and "Broadcast" not in line)
+    assert "hashpartitioning(doc_id" not in plan and "SortMergeJoin" not in plan
+    assert done.count() == 301
+    assert dedup.suspects(spark.read.parquet(f"{tmp_path}/c")).where("suspect AND content != 'copy'").count() < 10
+
+
 def test_vocabulary_shard_and_count_sinks(spark, corpus_of, tmp_path):
     import json
 
@@ -107,14 +126,33 @@ def test_vocabulary_shard_and_count_sinks(spark, corpus_of, tmp_path):
     counts = spark.read.csv(f"{tmp_path}/counts", header=True)
     lengths = {str(r["doc_id"]): str(len(r["input_ids"])) for r in encoded.collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in counts.collect()} == lengths
-    batches = split.epoch_batches(docs, epoch=1, batch_size=3, shards=2)
-    C.write_shards(encode.model_inputs(encoded, 1, 16), batches, f"{tmp_path}/shards")
-    shards = spark.read.parquet(f"{tmp_path}/shards")
+    C.write_shards(encode.model_inputs(encoded, 1, 16), f"{tmp_path}/shards", epoch=1, batch_size=3, shards=2)
+    shards = spark.read.parquet(f"{tmp_path}/shards/data")
     assert shards.count() == 20 and shards.where("shard != batch_no % 2").count() == 0
-    first = [(r["batch_no"], r["slot"]) for r in spark.read.parquet(f"{tmp_path}/shards/shard=0").collect()]
+    first = [(r["batch_no"], r["slot"]) for r in spark.read.parquet(f"{tmp_path}/shards/data/shard=0").collect()]
     assert first == sorted(first)
 
 
+def test_shards_are_files_of_whole_batches_under_a_budget(spark, tmp_path):
+    """Ten times the rows are ten times the files; every row is in one of them, also with odd keys."""
+    for rows in (400, 4000):
+        df = spark.range(rows).selectExpr(
+            "CASE WHEN id % 3 > 0 THEN id DIV 2 END AS doc_id", "id AS row", "transform(sequence(1, int(id % 5)), x -> x) AS input_ids"
+        )
+        path = f"{tmp_path}/{rows}"
+        manifest = C.write_shards(df, path, epoch=2, batch_size=8, shards=3, rows_per_file=50).collect()
+        assert all(m["n_rows"] <= 48 for m in manifest) and sum(m["n_rows"] for m in manifest) == rows
+        assert len(manifest) == sum(-(-len(range(s, -(-rows // 8), 3)) // 6) for s in range(3))
+        found = C.read_shard(spark, path, 0).unionByName(C.read_shard(spark, path, 1)).unionByName(C.read_shard(spark, path, 2))
+        assert sorted(r["row"] for r in found.select("row").collect()) == list(range(rows))
+        for m in manifest:
+            (part,) = (tmp_path / f"{rows}/data/shard={m['shard']}/file={m['file']}").glob("part-*")
+            places = [(r["batch_no"], r["slot"]) for r in spark.read.parquet(str(part)).collect()]
+            assert places == sorted(places) and len(places) == m["n_rows"]
+            assert (places[0][0], places[-1][0]) == (m["first_batch"], m["last_batch"])
+    assert C.write_shards(df.limit(0), f"{tmp_path}/none", epoch=1, batch_size=8).count() == 0
+
+
 def test_audit_log_has_every_rule_set(corpus_of):
     code = (
         "`timescale 1ns/1ps\nmodule m(input clk);\n`oddity x\n#5 a = 1;\n$display(x);\ninitial begin\na = 1;\nend\n"

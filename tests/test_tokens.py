@@ -73,6 +73,58 @@ def test_one_merge_per_round_gives_the_same_merges(docs):
     assert several.merges == single.merges and several.ids == single.ids
 
 
+def one_merge_at_a_time(counts, profile, size, ids):
+    """Byte-pair training by the definition; ``ids`` holds the first symbols."""
+    def spelled(word):
+        last = len(word) - 1
+        return [("" if i == 0 else profile.prefix) + c + (profile.suffix if i == last else "") for i, c in enumerate(word)]
+
+    words = [([ids[t] for t in spelled(w)], n) for w, n in counts]
+    ids, merges = dict(ids), []
+    names = list(ids)
+    while len(ids) < size:
+        pairs = {}
+        for symbols, n in words:
+            for pair in zip(symbols, symbols[1:], strict=False):
+                pairs[pair] = pairs.get(pair, 0) + n
+        pairs = {p: n for p, n in pairs.items() if n >= max(1, profile.min_frequency)}
+        if not pairs:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        token = names[best[0]] + names[best[1]].removeprefix(profile.prefix)
+        if token not in ids:
+            ids[token] = len(names)
+            names.append(token)
+        merges.append((names[best[0]], names[best[1]]))
+        for symbols, _ in words:
+            i = 0
+            while i < len(symbols) - 1:
+                if (symbols[i], symbols[i + 1]) == best:
+                    symbols[i : i + 2] = [ids[token]]
+                i += 1
+    return ids, merges
+
+
+@pytest.mark.parametrize("name", ["gpt2", "bert"])
+def test_rounds_of_both_kinds_equal_one_merge_at_a_time(spark, name, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    words = {"aaaa", "aaaaaaa", "abab", "ababababa", "bb", "a"}
+    words |= {"".join(rng.choices("aab" if i % 2 else "abcdefg", k=rng.randint(1, 12))) for i in range(120)}
+    counts = [(w, rng.choice([1, 1, 2, 3, 10])) for w in sorted(words)]
+    table = spark.createDataFrame(counts, "word string, freq long")
+    first = bpe.train(table, bpe.PROFILES[name], 1)
+    assert not first.merges
+    size = len(first.ids) + 45
+    ids, merges = one_merge_at_a_time(counts, bpe.PROFILES[name], size, first.ids)
+    for seen, places, pairs in ((8192, 10**9, 64), (8192, 0, 64), (8192, 60, 64), (4, 10**9, 64)):
+        monkeypatch.setattr(bpe, "PAIRS_SEEN", seen)
+        found = bpe.train(table, bpe.PROFILES[name], size, pairs_per_round=pairs, places_per_round=places)
+        assert found.merges == merges and found.ids == ids, (seen, places, pairs)
+        assert found.rounds < len(merges)
+
+
 @pytest.mark.parametrize("name", ["gpt2", "bert"])
 def test_encoding_equals_the_public_encoder(docs, name):
     profile = bpe.PROFILES[name]
