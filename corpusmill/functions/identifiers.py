@@ -18,6 +18,8 @@ MODULE_NAMES = r"\bmodule\s+\\?([_a-zA-Z$][\w$]*)"
 INSTANCES = r"(?<![\w$])([_a-zA-Z$][\w$]*)(?=\s+([_a-zA-Z$][\w$]*))"
 NUMBER_TEXTS = r"'(d[0-9]+|b[01]+|o[0-7]+|h[0-9a-fA-F]+)"
 DUMMY_MODULE = "dummymodule"
+#: Up to so many modules of a file are searched one by one; more are hashed.
+FEW_MODULES = 16
 
 
 def without(column: str, listed) -> Column:
@@ -68,12 +70,29 @@ def number_texts(text: Column) -> Column:
 
 
 def instance_names(text: Column, modules: Column) -> Column:
-    """Names that directly follow the name of a module of the same file."""
+    """Names that directly follow the name of a module of the same file.
+
+    A few modules are compared one by one; more are looked up by hash.
+    """
     pairs = F.arrays_zip(
         find_all(text, INSTANCES, 1).alias("first"), find_all(text, INSTANCES, 2).alias("second")
     )
-    hits = F.filter(pairs, lambda p: F.array_contains(modules, p["first"]))
-    return F.array_distinct(F.transform(hits, lambda p: p["second"]))
+
+    def hits(both: Column) -> Column:
+        few = F.filter(both["pairs"], lambda p: F.array_contains(both["modules"], p["first"]))
+        names = F.transform(both["modules"], lambda m: F.struct(m.alias("name"), m.alias("replacement")))
+        many = _once(_once(names, rename_lookup), lambda lookup: F.filter(
+            both["pairs"], lambda p: _found(lookup, p["first"]).isNotNull()
+        ))
+        return F.when(F.size(both["modules"]) <= FEW_MODULES, few).otherwise(many)
+
+    found = _once(F.struct(pairs.alias("pairs"), modules.alias("modules")), hits)
+    return F.array_distinct(F.transform(found, lambda p: p["second"]))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def meaningful_part(name: Column, protected=R.MEANINGFUL_WORDS) -> Column:
@@ -161,13 +180,15 @@ def rename_lookup(renames: Column) -> Column:
     return F.when(F.size(renames) > 0, F.struct(maps.alias("maps"), buckets.alias("n")))
 
 
+def _found(lookup: Column, name: Column) -> Column:
+    place = F.pmod(F.xxhash64(name), lookup["n"]).cast("int")
+    return F.try_element_at(F.get(lookup["maps"], place), name)
+
+
 def apply_renames(text: Column, lookup: Column) -> Column:
     """Rewrite ``text`` with a lookup built by ``rename_lookup``, whole runs in one pass."""
-    def swap(run: Column) -> Column:
-        place = F.pmod(F.xxhash64(run), lookup["n"]).cast("int")
-        return F.coalesce(F.try_element_at(F.get(lookup["maps"], place), run), run)
-
-    rewritten = F.array_join(F.transform(find_all(text, RUNS), swap), "")
+    swapped = F.transform(find_all(text, RUNS), lambda run: F.coalesce(_found(lookup, run), run))
+    rewritten = F.array_join(swapped, "")
     return F.when(lookup.isNull(), text).otherwise(rewritten)
 
 

@@ -101,10 +101,22 @@ def directive_line(directives=R.DIRECTIVES) -> str:
 # --- fragments ------------------------------------------------------------
 
 
+def _closed_and_rest(text: Column) -> tuple[Column, Column]:
+    """The text up to its last semicolon, and what follows."""
+    rest = F.substring_index(text, ";", -1)
+    return F.substring(text, 1, F.length(text) - F.length(rest)), rest
+
+
+def has_module_header(text: Column) -> Column:
+    """Whether a module header is closed by a semicolon; linear, as no open header is searched to the end."""
+    return _closed_and_rest(text)[0].rlike(R.MODULE_START_REGEX)
+
+
 def mask_module_headers(text: Column) -> Column:
     """Hide module headers from the fragment scan when there are several."""
-    many = F.regexp_count(text, F.lit(R.MODULE_HEADER_REGEX)) > 1
-    return F.when(many, F.regexp_replace(text, R.MODULE_HEADER_REGEX, "")).otherwise(text)
+    closed, rest = _closed_and_rest(text)
+    many = F.regexp_count(closed, F.lit(R.MODULE_HEADER_REGEX)) > 1
+    return F.when(many, F.concat(F.regexp_replace(closed, R.MODULE_HEADER_REGEX, ""), rest)).otherwise(text)
 
 
 def matched_fragments(

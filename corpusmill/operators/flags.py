@@ -54,7 +54,7 @@ def first_contained(text: Column, words) -> Column:
 
 
 def has_module(text: Column) -> Column:
-    return text.rlike(R.MODULE_HEADER_REGEX)
+    return X.has_module_header(text)
 
 
 def flag(df: DataFrame, path_keywords=R.PATH_KEYWORDS) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.staging import evaluate_once
 from corpusmill.functions.tokens import next_token_pairs, pre_tokens
+from corpusmill.session import cut_lineage
+
+#: What each count gives up for contexts it was not seen in.
+DISCOUNT = 0.75
 
 
 def bigram_counts(df: DataFrame) -> DataFrame:
@@ -158,6 +162,69 @@ def score(
     )
 
 
+def _shorter(context: Column) -> Column:
+    """A context without its first token; without the last one it is empty."""
+    return F.regexp_replace(context, r"^[^ ]* ?", "")
+
+
+def back_off_model(train: DataFrame, order: int, discount: float = DISCOUNT) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Interpolated discounting by order: ``(context, next, share)`` and ``(context, weight)``.
+
+    The highest order discounts counts. A lower one discounts continuations:
+    in how many different longer contexts a token follows. ``share`` is what
+    the discount leaves of a token in its context, ``weight`` what it takes
+    away from all of them, for the next lower order to give out. Contexts are
+    aggregated before they are joined, and their table is cut off from its
+    plan, so that the partition of a hot context can be split.
+    """
+    model = {}
+    counts = ngram_counts(train, order) if order > 1 else unigram_counts(train).withColumn("context", F.lit(""))
+    for k in range(order, 0, -1):
+        totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+        if k == 1:  # one context: two numbers instead of a join
+            total = totals.select(F.struct("total", "types")).scalar()
+            shares = counts.select("context", "next", ((F.col("n") - discount) / total["total"]).alias("share"))
+            model[k] = shares, totals.select("context", (discount * F.col("types") / F.col("total")).alias("weight"))
+            break
+        totals = cut_lineage(totals.select("context", "total", (discount * F.col("types") / F.col("total")).alias("weight")))
+        shares = counts.join(totals, "context").select(
+            "context", "next", ((F.col("n") - discount) / F.col("total")).alias("share")
+        )
+        model[k] = shares, totals.select("context", "weight")
+        # the different n-grams of this order are the continuations of the next lower one
+        grams = (counts if k == order else ngram_counts(train, k)).select(_shorter(F.col("context")).alias("context"), "next")
+        counts = grams.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+    return model
+
+
+def score_back_off(test: DataFrame, train: DataFrame, order: int = 3, discount: float = DISCOUNT) -> DataFrame:
+    """Per distinct test n-gram ``(context, next, test_n)``: ``p_true`` by all orders up to ``order``.
+
+    A context that training has not seen leaves everything to the next lower
+    order; below the single tokens, all tokens of training and one unknown
+    token are equally likely. The probabilities of a context add up to 1.
+    """
+    model = back_off_model(train, order, discount)
+    size = unigram_counts(train).agg(F.count(F.lit(1)).alias("size")).scalar()
+    grams = ngram_counts(test, order) if order > 1 else unigram_counts(test).withColumn("context", F.lit(""))
+    rows = grams.withColumnRenamed("n", "test_n").withColumns(
+        {"key": F.col("context"), "p_true": F.lit(0.0), "left": F.lit(1.0)}
+    )
+    for k in range(order, 1, -1):
+        shares, weights = (table.withColumnRenamed("context", "key") for table in model[k])
+        rows = rows.join(shares, ["key", "next"], "left").join(weights, "key", "left").select(
+            "context", "next", "test_n", _shorter(F.col("key")).alias("key"),
+            (F.col("p_true") + F.col("left") * F.coalesce("share", F.lit(0.0))).alias("p_true"),
+            (F.col("left") * F.coalesce("weight", F.lit(1.0))).alias("left"),
+        )
+    shares, weights = model[1]
+    weight = F.coalesce(weights.select("weight").scalar(), F.lit(1.0))
+    single = F.coalesce("share", F.lit(0.0)) + weight / (size + 1)
+    return rows.join(shares.select("next", "share"), "next", "left").select(
+        "context", "next", "test_n", (F.col("p_true") + F.col("left") * single).alias("p_true")
+    )
+
+
 def score_summary(scored: DataFrame, k: int = 5) -> DataFrame:
     """Loss, perplexity and hit rates, weighted by occurrences."""
     n = F.col("test_n")

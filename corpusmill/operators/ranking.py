@@ -87,3 +87,11 @@ def running_max(
         .withColumn(name, F.greatest(F.max(value).over(inside), F.col("earlier_max")))
         .drop("max_block", "earlier_max")
     )
+
+
+def with_group_rows(df: DataFrame, key: str, position: str, name: str, block_rows: int = 4096) -> DataFrame:
+    """Add how many rows each ``key`` has. A hot key comes in blocks of positions, which are joined one by one."""
+    df = df.withColumn("size_block", F.floor(F.col(position) / block_rows))
+    blocks = df.groupBy(key, "size_block").agg(F.count(F.lit(1)).alias("block_rows"))
+    blocks = blocks.select(key, "size_block", F.sum("block_rows").over(Window.partitionBy(key)).alias(name))
+    return _with_block(df, blocks, key, "size_block", name).drop("size_block")

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.ranking import running_max
+from corpusmill.operators.ranking import running_max, with_group_rows
 
 # The hyper-parameter grid.
 GRID = {
@@ -138,11 +138,12 @@ def epoch_losses(steps: DataFrame, key: str = "run") -> DataFrame:
 def smoothed_losses(runs: DataFrame, key: str = "run", at: str = "epoch") -> DataFrame:
     """Mean loss per window of one percent of a run's steps.
 
-    The window width needs only the row count per run, joined back by run.
+    The window width needs the row count of the run, which each block of steps
+    gets by itself; a run of any length is spread over its blocks.
     """
-    sizes = runs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sized = with_group_rows(runs, key, at, "n")
     width = F.greatest(F.lit(1), F.floor(F.col("n") / 100))
     window_no = F.floor((F.col(at) - 1) / width).cast("bigint")
-    return runs.join(sizes, key).groupBy(key, window_no.alias("window_no")).agg(
+    return sized.groupBy(key, window_no.alias("window_no")).agg(
         F.avg("loss").alias("mean_loss"), F.count(F.lit(1)).alias("n_steps")
     )

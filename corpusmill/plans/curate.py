@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusmill.functions.staging import evaluate_once
@@ -10,6 +10,8 @@ from corpusmill.operators import anonymize as A
 from corpusmill.operators import clean, dedup, eda, flags, split
 
 MIN_LINES = 30
+#: Where a unique file can end, in the order of the stages; each is an audit set of its own.
+ROUTES = ("removed", "coq_suspect", "short", "quarantined", "identifier_heavy", "kept")
 
 
 def _survivors(df: DataFrame) -> DataFrame:
@@ -57,6 +59,50 @@ def curate(df: DataFrame, min_lines: int = MIN_LINES, seed: int = 42) -> DataFra
     return split.assign_split(trimmed, seed=seed)
 
 
+def routed(df: DataFrame, min_lines: int = MIN_LINES, seed: int = 42) -> DataFrame:
+    """Each row with its ``route`` (one of ROUTES), ``reason`` and ``split``; one stage of per-row expressions.
+
+    ``content`` is the text at the point where the row left: without comments
+    for removed rows, cleaned for suspects and short ones, else anonymised.
+    No rule runs on the text of a row that has left. ``reason`` says why a row
+    was removed or quarantined.
+    """
+    names, c = df.columns, F.col
+    rows = judge(df)
+    left = (
+        F.when(c("remove_flag"), "removed").when(c("coq_flag"), "coq_suspect")
+        .when(flags.line_count(c("content")) < min_lines, "short")
+    )
+    rows = rows.withColumn("left", left).withColumn("aside", F.when(c("left").isNotNull(), c("content")))
+    rows = rows.withColumn("content", F.when(c("left").isNull(), c("content")))
+    rows = flags.flag_identifier_heavy(A.anonymize(evaluate_once(rows, "content", "left", "aside"), seed))
+    route = F.coalesce("left", F.when(c("quarantine").isNotNull(), "quarantined").when(c("remove"), "identifier_heavy"), F.lit("kept"))
+    reason = F.when(route == "removed", c("reason_code")).when(route == "quarantined", c("quarantine"))
+    rows = rows.withColumn("route", route).withColumn("reason", reason)
+    rows = rows.withColumn("content", F.when(c("left").isNull(), c("content")).otherwise(c("aside")))
+    rows = evaluate_once(rows.select(*names, "route", "reason"), "content", "route", "reason")
+    return split.assign_split(rows, seed=seed)
+
+
+def write_routes(df: DataFrame, path: str, min_lines: int = MIN_LINES, seed: int = 42) -> dict[str, int]:
+    """Curate once and write every audit set: a folder per route, and rows and bytes of each.
+
+    All sets come from one job over the acquired, unique files; the counts are
+    observed while it writes.
+    """
+    rows = routed(dedup.deduplicate(flags.filter_acquisition(df)), min_lines, seed)
+    counts = []
+    for name in ROUTES:
+        here = F.col("route") == name
+        counts += [
+            F.count_if(here).alias(name),
+            F.coalesce(F.sum(F.when(here, F.octet_length("content"))), F.lit(0)).alias(f"{name}_bytes"),
+        ]
+    observed = Observation("routes")
+    rows.observe(observed, *counts).write.mode("overwrite").partitionBy("route").parquet(path)
+    return observed.get
+
+
 def trace(df: DataFrame, min_lines: int = MIN_LINES, seed: int = 42) -> DataFrame:
     """How far each row gets and how long its content is at each stage.
 

@@ -95,6 +95,34 @@ def _scored(spark, sf_dir):
     return G.score(_part(spark, sf_dir, "test"), G.bigram_counts(train), size)
 
 
+def _scored_by_orders(spark, sf_dir):
+    return G.score_back_off(_part(spark, sf_dir, "test"), _part(spark, sf_dir, "train"), 3)
+
+
+# Discounted shares and the weight left for the next lower order, for orders 3, 2 and 1.
+_DISCOUNTED = {
+    "c2": "SELECT split_part(context, ' ', 2) AS context, next, count(*) AS n FROM triples GROUP BY ALL",
+    "c1": "SELECT '' AS context, next, count(*) AS n FROM train GROUP BY ALL",
+    **{f"m{k}": f"""
+    SELECT context, next, (n - 0.75) / sum(n) OVER (PARTITION BY context) AS share,
+           0.75 * count(*) OVER (PARTITION BY context) / sum(n) OVER (PARTITION BY context) AS weight
+    FROM {counts}""" for k, counts in ((3, "triples"), (2, "c2"), (1, "c1"))},
+    **{f"w{k}": f"SELECT DISTINCT context, weight FROM m{k}" for k in (3, 2, 1)},
+    "test3": """
+    SELECT a || ' ' || b AS context, b, next, count(*) AS test_n FROM (
+        SELECT ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS next
+        FROM (SELECT ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM word_rows WHERE split = 'test') p)
+    GROUP BY ALL""",
+    "scored3": """
+    SELECT t.context, t.next, t.test_n,
+           coalesce(m3.share, 0) + coalesce(w3.weight, 1) * (coalesce(m2.share, 0) + coalesce(w2.weight, 1) * (
+               coalesce(m1.share, 0) + (SELECT any_value(weight) FROM w1) / ((SELECT count(*) FROM unigrams) + 1))) AS p_true
+    FROM test3 t LEFT JOIN m3 ON m3.context = t.context AND m3.next = t.next LEFT JOIN w3 ON w3.context = t.context
+    LEFT JOIN m2 ON m2.context = t.b AND m2.next = t.next LEFT JOIN w2 ON w2.context = t.b
+    LEFT JOIN m1 ON m1.next = t.next""",
+}
+
+
 # --- prediction metrics ----------------------------------------------------
 
 ROWS = """
@@ -319,6 +347,13 @@ QUERIES = {
                     sum(CASE WHEN rank BETWEEN 1 AND 5 THEN test_n ELSE 0 END) AS t5 FROM scored) s
                GROUP BY loss""", "scored"),
     ),
+    "M3_score_order_3": Query(
+        lambda spark, d: _scored_by_orders(spark, d).select(
+            "context", "next", "test_n", F.round("p_true", 9).alias("p_true")
+        ),
+        check("corpus", "SELECT context, next, test_n, round(p_true, 9) AS p_true FROM scored3",
+              **{n: _NGRAM[n] for n in ("word_rows", "pairs", "train", "unigrams", "triples")}, **_DISCOUNTED),
+    ),
     "K5_argmax": Query(_per_row("pred"), _metric_sql("pos, pred", "scored")),
     "K6_top_k_membership": Query(_per_row("top_k"), _metric_sql("pos, top_k", "scored")),
     "M4_cross_entropy": Query(_per_row("loss"), _metric_sql("pos, " + _six("loss"), "scored")),

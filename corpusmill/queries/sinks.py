@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from corpusmill.functions.tokens import pre_tokens
 from corpusmill.operators import eda, flags, split
 from corpusmill.operators import vocab as W
+from corpusmill.plans import curate
 from corpusmill.queries.base import Query, check
 from corpusmill.queries.dedup import SPLIT_SQL
 from corpusmill.queries.flagging import FLAGGED
-from corpusmill.queries.reports import PRE
+from corpusmill.queries.reports import FUNNEL_STEPS, PRE
 from corpusmill.queries.tokenizing import QUERIES as TOKENIZING
 from corpusmill.schemas import ANONYMIZED
 from corpusmill.session import shared_path
@@ -65,6 +66,15 @@ def _manifest(spark, sf_dir):
     )
 
 
+def _routed_run(spark, sf_dir):
+    """Every audit set of one run, as it was written."""
+    path = shared_path(spark, "routes")
+    curate.write_routes(V.vcorpus(spark, sf_dir), path, min_lines=10)
+    return spark.read.parquet(path).groupBy("route", F.coalesce("reason", F.lit("")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+
+
 _TOKENS = f"coalesce(len(regexp_extract_all(content, '{PRE}')), 0)"
 
 QUERIES = {
@@ -84,6 +94,16 @@ QUERIES = {
               "round(sum(size) / 1073741824, 6) AS gib FROM corpus"),
     ),
     "S9_vocabulary": Query(_vocabulary, TOKENIZING["X7_special_tokens_first"].sql),
+    "F10_routed_run": Query(
+        _routed_run,
+        check("vcorpus", """SELECT route, coalesce(CASE route WHEN 'removed' THEN reason_code WHEN 'quarantined' THEN quarantine END, '')
+                  AS reason, count(*) AS n_rows
+              FROM (SELECT CASE WHEN j.remove_flag THEN 'removed' WHEN j.coq_flag THEN 'coq_suspect'
+                                WHEN NOT t.long THEN 'short' WHEN NOT t.free THEN 'quarantined'
+                                WHEN t.heavy THEN 'identifier_heavy' ELSE 'kept' END AS route, j.reason_code, f.quarantine
+                    FROM trace t JOIN judged j ON j.doc_id = t.doc_id JOIN final f ON f.doc_id = t.doc_id WHERE t.uniq) r
+              GROUP BY ALL""", **FUNNEL_STEPS),
+    ),
     "K7_shard_manifest": Query(
         _manifest,
         check("corpus", f"""SELECT shard, (b // 8) // 3 AS file, min(b) AS first_batch, max(b) AS last_batch,

@@ -1,8 +1,10 @@
 """The per-document stages on a stream of files.
 
-Flagging, cleaning, anonymisation and the hash split look at one row only, so
-the same functions run on a streaming DataFrame. Deduplication against all
-earlier files and exact-share splits need the whole table and stay batch.
+Acquisition, flagging, cleaning, anonymisation, trimming and the hash split
+look at one row only, so the same functions run on a streaming DataFrame.
+Deduplication against all earlier files and exact-share splits need the whole
+table and stay batch; on files without copies the stream releases what
+``curate`` does.
 """
 
 from __future__ import annotations
@@ -12,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill import schemas
-from corpusmill.operators import anonymize as A
-from corpusmill.operators import flags, split
-from corpusmill.plans.curate import judge
+from corpusmill.operators import flags
+from corpusmill.plans.curate import routed
 
 
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -22,11 +23,10 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet", **options)
 
 
 def curate_rows(rows: DataFrame, min_lines: int = 30, seed: int = 42) -> DataFrame:
-    """Split, anonymised files; quarantined ones carry their reason."""
-    names = list(rows.columns)
-    valid = flags.keep_long(flags.keep_valid(judge(rows)), min_lines).select(*names)
-    done = A.anonymize(valid, seed).select(*names, "quarantine")
-    return split.assign_split(done, seed=seed)
+    """Split, anonymised, trimmed files; quarantined ones carry their reason."""
+    done = routed(flags.filter_acquisition(rows), min_lines, seed)
+    quarantine = F.when(F.col("route") == "quarantined", F.col("reason")).alias("quarantine")
+    return done.filter(F.col("route").isin("kept", "quarantined")).select(*rows.columns, quarantine, "split")
 
 
 def write_splits(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -158,3 +158,26 @@ def test_many_names_take_bounded_time(corpus_of):
     start = time.perf_counter()
     assert A.anonymize(docs).first()["quarantine"] is None
     assert time.perf_counter() - start < 60
+
+
+def test_long_files_take_linear_time(spark):
+    """Many modules, many open headers: each would take minutes if every one were searched for each other."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from corpusmill.functions import identifiers as I
+    from corpusmill.functions import text as X
+
+    modules = " ".join(f"module m{i}; m{i - 1} u{i} (x); endmodule" for i in range(5_000))
+    opened = "module a " * 20_000
+    rows = spark.createDataFrame([(1, modules), (2, opened), (3, opened + ";"), (4, "module a; " + opened)], "i int, t string")
+    start = time.time()
+    found = rows.select(
+        "i", X.has_module_header(F.col("t")).alias("has"), F.length(X.mask_module_headers(F.col("t"))).alias("n"),
+        F.size(I.instance_names(F.col("t"), I.module_names(F.col("t")))).alias("instances"),
+    ).orderBy("i").collect()
+    assert [r["has"] for r in found] == [True, False, True, True]
+    assert found[0]["instances"] == 4_999
+    assert [r["n"] for r in found[1:]] == [len(opened), len(opened) + 1, len(opened) + 10]
+    assert time.time() - start < 45

@@ -148,3 +148,35 @@ def test_checkpoints_and_parameters(spark):
     grid = L.grid_runs(log).collect()
     assert len(grid) == 16 and sum(r["n_rows"] for r in grid) == 3
     assert "model_bs4_lr0.00005_wd0.010_ws500" in {r["run_name"] for r in grid}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_back_off_probabilities_add_up(spark, corpus_of, order):
+    """Over all tokens and the unknown one, in seen and unseen contexts."""
+    train = corpus_of({"a": "a b c a b d a b c c c", "b": "b c a", "c": "", "d": "d"})
+    tokens = ["a", "b", "c", "d", "zz"]
+    contexts = ["a b c", "a b d", "zz a b", "zz zz zz", "c c c"]
+    docs = corpus_of({f"{i}.{j}": " ".join([*c.split()[4 - order :], t]) for i, c in enumerate(contexts) for j, t in enumerate(tokens)})
+    scored = G.score_back_off(docs, train, order)
+    sums = scored.groupBy("context").agg(F.sum("p_true").alias("p"), F.count("*").alias("n")).collect()
+    assert sums and all(r["p"] == pytest.approx(1) for r in sums if r["n"] == len(tokens))
+    assert scored.where("p_true <= 0").count() == 0
+    assert G.score_back_off(docs, train.limit(0), order).where("abs(p_true - 1) > 1e-12").count() == 0
+
+
+def test_back_off_by_hand(corpus_of):
+    """a b (2), a c (1), b a (1): the share of b after a, and its share among the continuations."""
+    train = corpus_of({"x": "a b a c", "y": "a b"})
+    row = G.score_back_off(corpus_of({"t": "a b"}), train, 2).first()
+    one = (1 - 0.75) / 3 + 0.75 * 3 / 3 / (3 + 1)  # b follows one token; three pairs in all
+    assert row["p_true"] == pytest.approx((2 - 0.75) / 3 + 0.75 * 2 / 3 * one)
+
+
+def test_smoothing_does_not_join_a_run_in_one_task(spark):
+    steps = spark.range(1, 40001).selectExpr("'hot' AS run", "id AS epoch", "double(id % 7) AS loss")
+    plan = L.smoothed_losses(steps)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and all("size_block#" in line for line in joins)
+    rows = L.smoothed_losses(steps).collect()
+    assert len(rows) == 100 and sum(r["n_steps"] for r in rows) == 40000
+    assert {r["n_steps"] for r in rows} == {400}

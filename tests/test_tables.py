@@ -77,6 +77,36 @@ def test_whole_run(spark, sf_dir):
     assert counts == sorted(counts, reverse=True)
 
 
+def test_routes_of_one_run(spark, sf_dir, tmp_path):
+    """All audit sets by one write; counts as observed, as read back, and as the separate stages give them."""
+    source = V.vcorpus(spark, sf_dir)
+    observed = curate.write_routes(source, f"{tmp_path}/r", min_lines=10)
+    table = spark.read.parquet(f"{tmp_path}/r")
+    found = {r["route"]: (r["n"], r["b"]) for r in table.groupBy("route").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("b")).collect()}
+    assert {name: (observed[name], observed[f"{name}_bytes"]) for name in curate.ROUTES if observed[name]} == {
+        name: (n, b or 0) for name, (n, b) in found.items()
+    }
+    funnel = {r["stage"]: r["n_rows"] for r in curate.stage_funnel(curate.trace(source, min_lines=10)).collect()}
+    assert funnel["deduplicated"] == table.count() and funnel["trimmed"] == observed["kept"]
+    assert funnel["cleaned"] == sum(observed[r] for r in ("short", "quarantined", "identifier_heavy", "kept"))
+    done = curate.curate(source, min_lines=10).select("doc_id", "content", "split")
+    kept = table.where("route = 'kept'").select("doc_id", "content", "split")
+    assert kept.count() and sorted(map(tuple, kept.collect())) == sorted(map(tuple, done.collect()))
+
+
+def test_stream_releases_what_the_whole_run_does(spark, sf_dir, tmp_path):
+    from corpusmill.operators import dedup
+
+    unique = dedup.deduplicate(V.vcorpus(spark, sf_dir)).select(*CORPUS.names)
+    unique.write.parquet(f"{tmp_path}/in")
+    rows = stream.curate_rows(stream.read_files(spark, f"{tmp_path}/in"), min_lines=10)
+    stream.write_splits(rows, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
+    streamed = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "content", "split")
+    batch = curate.curate(spark.read.parquet(f"{tmp_path}/in"), min_lines=10).select("doc_id", "content", "split")
+    assert streamed.count() and sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_cleaning_plan_has_no_shuffle_and_one_scan(spark, sf_dir, tmp_path):
     V.vcorpus(spark, sf_dir).write.parquet(f"{tmp_path}/v")
     plan = clean.clean(spark.read.parquet(f"{tmp_path}/v"))._jdf.queryExecution().executedPlan().toString()
