@@ -145,7 +145,7 @@ def search(
 
 
 def _found(
-    texts: DataFrame, keys: list[str], items: list[tuple[str, str]], window: int
+    texts: DataFrame, keys: list[str], items: list[tuple[str | None, str]], window: int
 ) -> DataFrame:
     """The keys of each row with n_words, the places of hit words, and the items found."""
     names = [name for name, _ in items]
@@ -160,7 +160,7 @@ def _found(
                     [np.flatnonzero(hit[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
                     pa.list_(pa.int64()),
                 ),
-                pa.array([sorted({names[i] for i in row}) for row in found], pa.list_(pa.string())),
+                pa.array([sorted({names[i] for i in row} - {None}) for row in found], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(columns, [*keys, "n_words", "hits", "items"])
 
@@ -170,15 +170,15 @@ def _found(
 
 def _item_sets(
     benchmark: DataFrame, item_col: str, item_text: str, set_bytes: int
-) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+) -> tuple[int, Callable[[int], list[tuple[str | None, str]]]]:
     """How many sets of items there are, and what fetches one of them."""
     benchmark = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")
-    ).where("item IS NOT NULL AND text IS NOT NULL")
+    ).where("text IS NOT NULL")
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sets = max(1, -(-2 * total // set_bytes))
 
-    def items(part: int) -> list[tuple[str, str]]:
+    def items(part: int) -> list[tuple[str | None, str]]:
         chosen = benchmark.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == part)
         return [(row["item"], row["text"]) for row in chosen.collect()]
 
@@ -192,9 +192,10 @@ def contamination(
 ) -> DataFrame:
     """One row per row of ``docs``: the id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words. Items with a null id, a null text or
-    no words are no test strings; rows that repeat an item id are one item
-    with the windows of both. Whole texts are searched, other columns are not
+    Null and empty texts have no words. Items with a null text or no words
+    are no test strings; windows of items with a null id count as hits and in
+    no list of items; rows that repeat an item id are one item with the
+    windows of both. Whole texts are searched, other columns are not
     read. Tasks get the items in sets of about ``set_bytes``: a larger
     benchmark takes several passes over the documents, united by row.
     """
@@ -245,7 +246,7 @@ def keep_clean(
     return rows.join(bad, "number", "left_anti").select("row.*")
 
 
-def _without_hits(docs: DataFrame, text_col: str, items: list[tuple[str, str]], window: int) -> DataFrame:
+def _without_hits(docs: DataFrame, text_col: str, items: list[tuple[str | None, str]], window: int) -> DataFrame:
     tables = docs.sparkSession.sparkContext.broadcast(build_patterns(items, window))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

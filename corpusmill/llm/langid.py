@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 from corpusmill.llm import arrays
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Labelled documents of each language that the probabilities are learnt from, about.
-SAMPLE = 200
-#: Bytes of a run of letters that are scored together; longer runs are scored in parts.
-RUN = 48
+#: Labelled documents of each language that the probabilities are learnt from, about; and at most
+#: so many different words of them all, each cut between characters every so many bytes.
+SAMPLE, LEARNT_WORDS, LEARNT_BYTES = 200, 200_000, 256
+#: Bytes of the longest piece, after a space.
+LONGEST = 48
+#: Positions after which a forward pass starts a new scale, so that no product of chances underflows.
+RESCALE = 16
 #: Words whose scores a task remembers.
 REMEMBERED = 400_000
 
@@ -41,7 +45,7 @@ def read_pieces(path: str = VOCABULARY) -> list[bytes]:
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
         body = piece.removeprefix(b" ")
-        if LETTERS[np.frombuffer(body, np.uint8)].all() and len(piece) <= RUN + 1:
+        if LETTERS[np.frombuffer(body, np.uint8)].all() and len(piece) <= LONGEST + 1:
             pieces.add(piece)
     return sorted(pieces)
 
@@ -84,36 +88,70 @@ class Lattice:
     def log_scores(
         self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chances: np.ndarray
     ) -> np.ndarray:
-        """Log probability of each word in each language, all segmentations summed."""
+        """Log probability of each word in each language, all segmentations of the whole word summed.
+
+        Only as many positions as the longest piece has are kept, each with
+        the logarithm of its scale, so a word may have any length.
+        """
         out = np.empty((len(starts), chances.shape[1]))
         order = np.argsort(-sizes, kind="stable")
         for part in np.array_split(order, -(-len(order) // 20_000)) if len(order) else []:
             size = sizes[part]
-            forward = np.zeros((int(size[0]) + 1, len(part), chances.shape[1]))
-            forward[0] = 1
-            for end, length, words, pieces in self.arcs(data, starts[part], size):
-                forward[end, words] += forward[end - length, words] * chances[pieces]
-            out[part] = np.log(forward[size, np.arange(len(part))])
+            slots = min(self.lengths[-1], int(size[0])) + 1
+            forward = np.zeros((slots, len(part), chances.shape[1]))
+            scale = np.zeros_like(forward)
+            forward[0], now = 1, 0
+            for end, length, words, pieces in chain(self.arcs(data, starts[part], size), [(int(size[0]) + 1, 0, None, None)]):
+                while now < end:
+                    if now:
+                        done = slice(np.searchsorted(-size, -now), np.searchsorted(-size, -now, side="right"))
+                        out[part[done]] = np.log(forward[now % slots, done]) + scale[now % slots, done]
+                        reach = done.stop
+                        if now % RESCALE == 0 and reach:
+                            _rescale(forward[now % slots, :reach], scale[now % slots, :reach])
+                    now += 1
+                    if now <= size[0]:
+                        forward[now % slots] = 0
+                        scale[now % slots] = scale[(now - 1) % slots]
+                if words is None:
+                    break
+                back = (end - length) % slots
+                flow = forward[back, words] * chances[pieces]
+                if (end - length) // RESCALE != (end - 1) // RESCALE:
+                    flow *= np.exp(scale[back, words] - scale[end % slots, words])
+                forward[end % slots, words] += flow
         return out
 
     def expected(
         self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
         counts: np.ndarray, chances: np.ndarray,
     ) -> np.ndarray:
-        """Expected uses of each piece in each language, given how often each word occurs there."""
+        """Expected uses of each piece in each language, given how often each word occurs there.
+
+        Forward values are scaled as in ``log_scores``; backward values by the
+        inverse, so that their products need no scale but between positions.
+        """
         uses = np.zeros_like(chances)
         order = np.argsort(-sizes, kind="stable")
         for part in np.array_split(order, -(-len(order) // 5_000)) if len(order) else []:
             size, at = sizes[part], np.arange(len(part))
             arcs = list(self.arcs(data, starts[part], size))
             forward = np.zeros((int(size[0]) + 1, len(part), chances.shape[1]))
-            forward[0] = 1
+            scale = np.zeros_like(forward)
+            forward[0], now = 1, 0
             for end, length, words, pieces in arcs:
-                forward[end, words] += forward[end - length, words] * chances[pieces]
+                while now < end:
+                    if now and now % RESCALE == 0:
+                        reach = int(np.searchsorted(-size, -now, side="right"))
+                        _rescale(forward[now, :reach], scale[now, :reach])
+                    now += 1
+                    scale[now] = scale[now - 1]
+                forward[end, words] += forward[end - length, words] * chances[pieces] * _step(scale, end, length, words)
             backward = np.zeros_like(forward)
             backward[size, at] = counts[part] / forward[size, at]
             for end, length, words, pieces in reversed(arcs):
-                flow = backward[end, words] * chances[pieces]
+                # a position's own new scale is not in the arcs that end there
+                flow = backward[end, words] * chances[pieces] * np.exp(scale[end - length, words] - scale[end, words])
                 backward[end - length, words] += flow
                 weight = flow * forward[end - length, words]
                 for language in range(chances.shape[1]):
@@ -121,14 +159,38 @@ class Lattice:
         return uses
 
 
+def _rescale(values: np.ndarray, scale: np.ndarray) -> None:
+    """Values become 1 (or stay 0), and their scale takes what they were."""
+    size = np.where(values > 0, values, 1.0)
+    scale += np.log(size)
+    values /= size
+
+
+def _step(scale: np.ndarray, end: int, length: int, words: np.ndarray) -> np.ndarray | float:
+    """What turns values of the scale ``length`` positions back into values of the scale before ``end``."""
+    if (end - length) // RESCALE == (end - 1) // RESCALE:
+        return 1.0
+    return np.exp(scale[end - length, words] - scale[end - 1, words])
+
+
 def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of letters, long ones cut every RUN bytes."""
-    starts, ends, rows = arrays.word_spans(data, offsets, LETTERS)
-    parts = -(-(ends - starts) // RUN)
+    """Start, end and row of each run of letters."""
+    return arrays.word_spans(data, offsets, LETTERS)
+
+
+def learnt_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray):
+    """The runs in parts of at most LEARNT_BYTES, cut between characters."""
+    parts = -(-(ends - starts) // (LEARNT_BYTES - 3))
     which = np.repeat(np.arange(len(starts)), parts)
     step = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = starts[which] + step * RUN
-    return first, np.minimum(first + RUN, ends[which]), rows[which]
+    first = starts[which] + step * (LEARNT_BYTES - 3)
+    for _ in range(3):  # forward to the first byte of a character
+        within = (first < ends[which]) & (step > 0)
+        inner = within & ((data[np.minimum(first, len(data) - 1)] & 0xC0) == 0x80)
+        first = first + inner
+    after = np.append(first[1:], 0)
+    last = np.append(which[1:] != which[:-1], True) if len(which) else np.empty(0, bool)
+    return first, np.where(last, ends[which], after), rows[which]
 
 
 def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +222,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.text_blocks(batches):
-            starts, ends, rows = letter_runs(data, offsets)
+            starts, ends, rows = learnt_parts(data, *letter_runs(data, offsets))
             raw = data.tobytes()
             words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             table = pa.table({"lang": part.column("lang").take(pa.array(rows)), "word": pa.array(words, pa.binary())})
@@ -178,8 +240,9 @@ def learn(
     """Piece probabilities of each language, from rows that are not held out.
 
     Rows with a null language, null text or null id teach nothing. Of each
-    language about ``sample`` documents are used, chosen by a hash of the id;
-    the driver gets the words of those and how often each occurs.
+    language about ``sample`` documents are used, chosen by a hash of the id.
+    The driver gets the words of those and how often each occurs: at most
+    LEARNT_WORDS of LEARNT_BYTES each, chosen by a hash of the word.
     """
     learnable = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
@@ -189,7 +252,8 @@ def learn(
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
     # a row per language, of which the model itself holds a column of numbers on every task
     chosen = learnable.join(F.broadcast(per_language), "lang").where(draw < 1.2 * sample / F.col("of"))
-    rows = _word_counts(chosen.select("lang", "text")).collect()
+    words = _word_counts(chosen.select("lang", "text"))
+    rows = words.orderBy(F.xxhash64("word"), "word", "lang").limit(LEARNT_WORDS).collect()
     pieces = read_pieces(vocabulary)
     languages = sorted({row["lang"] for row in rows})
     if not languages:

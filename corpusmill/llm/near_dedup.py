@@ -306,9 +306,11 @@ def _outside_lists(clouds: DataFrame, percent: int) -> DataFrame:
         .where("size(shared) >= twice")
     )
     rarest = F.slice("shared", F.lit(1), F.size("shared") - F.col("twice") + 1)
-    # values that no other node of the leader has are in no intersection; of those not looked at, all may be
-    bound = F.col("met") + F.size("shared") + F.col("need") - F.col("twice")
-    listed = listed.select("leader", "node", "n", bound.cast("long").alias("bound"), F.explode(rarest).alias("p"))
+    # Values of both prefixes are in ``shared``. What a pair has in common besides is the end of its common
+    # values in the order of hashes, cut off by one of the two: at most the largest cut of the leader's nodes.
+    rests = written(rows.groupBy("leader").agg(F.max(F.col("need") - F.col("twice")).alias("rest")), "largest-cuts")
+    bound = F.col("met") + F.size("shared") + F.col("rest")
+    listed = listed.join(rests, "leader").select("leader", "node", "n", bound.cast("long").alias("bound"), F.explode(rarest).alias("p"))
     return listed.select(
         F.xxhash64("leader", "p.w").alias("value"), "node", "n", (F.col("bound") / F.col("n")).alias("share"), "bound"
     )

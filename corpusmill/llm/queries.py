@@ -143,7 +143,7 @@ q AS (
     SELECT item_id, regexp_extract_all(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-    FROM benchmark WHERE item_id IS NOT NULL),
+    FROM benchmark),
 t AS (
     SELECT DISTINCT item_id, least(len(words), 10) AS size,
            unnest(list_transform(range(1, greatest(2, len(words) - 8)),
@@ -162,7 +162,7 @@ h AS (
     FROM (SELECT doc_id, unnest(range(place, place + size)) AS word FROM f) GROUP BY doc_id),
 m AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM f) GROUP BY doc_id)
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM f WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)

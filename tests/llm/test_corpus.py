@@ -29,8 +29,8 @@ def brute_contamination(docs, items, window=10):
     tests = []
     for name, text in items:
         words = words_of(text)
-        if name is not None and words:
-            tests += [(str(name), words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+        if words:
+            tests += [(name if name is None else str(name), words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
     out = []
     for i, text in docs:
         words, hit, found = words_of(text), set(), set()
@@ -39,6 +39,7 @@ def brute_contamination(docs, items, window=10):
                 if words[at : at + len(test)] == test:
                     hit.update(range(at, at + len(test)))
                     found.add(name)
+        found.discard(None)  # hits, but in no list
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((i, len(words), len(hit), len(found), digest, bool(hit)))
     return sorted(out, key=str)

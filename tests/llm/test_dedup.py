@@ -209,3 +209,19 @@ def test_components(spark):
     want = {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100} | {1000: 900, 900: 900}
     assert found == want | {2000 + i: 900 for i in range(500)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bound_of_long_lists_counts_what_the_other_cut_leaves_out(spark):
+    """Sets of 800 and 1,000, one inside the other, that share 500 with the leader: linked at exactly 0.8."""
+    import numpy as np
+
+    for seed in range(3):
+        values = np.random.default_rng(seed).choice(1 << 40, 500, replace=False).astype(np.int64)
+        small, large = np.sort(values[:300]).tolist(), np.sort(values).tolist()
+        clouds = spark.createDataFrame(
+            [(1, 2, 500, 800, 500, False, small), (1, 3, 500, 1000, 500, False, large)],
+            "leader long, node long, n_leader long, n long, met long, linked boolean, outside array<long>",
+        ).coalesce(1)
+        rows = near_dedup._outside_lists(clouds, 80).collect()
+        assert {r.node for r in rows} == {2, 3}
+        assert all(r.bound >= 800 for r in rows)

@@ -226,12 +226,50 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(lengths @ uses, sizes.sum())  # every segmentation uses all bytes
 
 
+def test_forward_over_long_runs():
+    """Runs of 500 and 3,000 bytes, and one of three-byte characters, against a plain pass in wider numbers."""
+    rng = np.random.default_rng(2)
+    letters = [bytes([c]) for c in b"abc \xe4\xbd\xa0\xe5\xa5"]
+    pieces = sorted({*letters, b" a", b"ab", b"abc", b"cab", b"abcabcabc", " 你".encode(), "你".encode(), "好".encode(), "你好".encode()})
+    chances = rng.random((len(pieces), 3)) * [[1e-3, 0.3, 1e-6]]
+    text = "".join(rng.choice(list("abc"), 3000))
+    words = [b" " + text[:500].encode(), b" " + text.encode(), b" " + ("你好" * 90 + "你").encode(), b" abc", b" " + b"ab" * 8]
+    data, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    starts = np.cumsum(sizes) - sizes
+    found = langid.Lattice(pieces).log_scores(data, starts, sizes, chances)
+    total_uses = np.zeros_like(chances)
+    for word, scores in zip(words, found, strict=True):
+        ahead = np.full((len(word) + 1, 3), -np.inf)
+        ahead[0] = 0
+        arcs = [(e, len(p), i) for e in range(1, len(word) + 1) for i, p in enumerate(pieces) if word[max(0, e - len(p)) : e] == p]
+        for end, length, i in arcs:
+            ahead[end] = np.logaddexp(ahead[end], ahead[end - length] + np.log(chances[i]))
+        assert np.allclose(scores, ahead[-1], rtol=1e-9)
+        behind = np.full_like(ahead, -np.inf)
+        behind[-1] = 0
+        for end, length, i in reversed(arcs):
+            behind[end - length] = np.logaddexp(behind[end - length], behind[end] + np.log(chances[i]))
+            total_uses[i] += np.exp(ahead[end - length] + np.log(chances[i]) + behind[end] - ahead[-1])
+    uses = langid.Lattice(pieces).expected(data, starts, sizes, np.ones((len(words), 3)), chances)
+    assert np.allclose(uses, total_uses, rtol=1e-6)
+
+
+def test_learnt_parts_end_between_characters():
+    data = np.frombuffer(("你好" * 300 + " ab").encode(), np.uint8)
+    starts, ends, rows = langid.letter_runs(data, np.array([0, len(data)]))
+    assert (ends - starts).tolist() == [1800, 2]
+    first, last, row = langid.learnt_parts(data, starts, ends, rows)
+    parts = [data[a:b].tobytes() for a, b in zip(first, last, strict=True)]
+    assert b"".join(parts) == data.tobytes().replace(b" ", b"") and max(map(len, parts)) <= langid.LEARNT_BYTES
+    assert all(p.decode() for p in parts) and set(row) == {0}
+
+
 def test_letter_runs_keep_every_letter(prose):
     text = ("é" * 200 + " 12 abc-def " + "x" * 100).encode()
     data = np.frombuffer(text, np.uint8)
     starts, ends, rows = langid.letter_runs(data, np.array([0, len(data)]))
     assert b"".join(text[a:b] for a, b in zip(starts, ends, strict=True)) == re.sub(rb"[ 0-9-]", b"", text)
-    assert (ends - starts).max() <= langid.RUN and set(rows) == {0}
+    assert set(rows) == {0}
     copied, begin, sizes = langid.spaced(data, starts, ends)
     assert copied.tobytes() == b"".join(b" " + text[a:b] for a, b in zip(starts, ends, strict=True))
     assert (begin == np.cumsum(sizes) - sizes).all()
