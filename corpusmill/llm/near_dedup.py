@@ -297,7 +297,9 @@ def _outside_lists(clouds: DataFrame, percent: int) -> DataFrame:
         need.alias("need"), F.ceil(need / 2).cast("int").alias("twice"),
     ).where("size(outside) >= need")
     first = F.slice("outside", F.lit(1), F.size("outside") - F.col("need") + F.col("twice"))
-    values = rows.select("leader", "node", "n", "met", "need", "twice", F.explode(first).alias("w"))
+    values = written(
+        rows.select("leader", "node", "n", "met", "need", "twice", F.explode(first).alias("w")), "outside-values"
+    )
     common = values.groupBy("leader", "w").agg(F.count("*").alias("df")).where("df > 1")
     listed = (
         values.join(common, ["leader", "w"])
