@@ -144,7 +144,8 @@ def _prefixes(nodes: DataFrame, k: int, meet: int, percent: int) -> DataFrame:
     ``bound`` is the most that an intersection with the node can have.
     """
     postings = nodes.select("node", "n", F.explode("sketch").alias("value"))
-    common = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    # written, so that the join reads two shuffles and a hot value's partition can be split
+    common = written(postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
     listed = (
         postings.join(common, "value")
         .groupBy("node", "n")
@@ -300,7 +301,9 @@ def _outside_lists(clouds: DataFrame, percent: int) -> DataFrame:
     values = written(
         rows.select("leader", "node", "n", "met", "need", "twice", F.explode(first).alias("w")), "outside-values"
     )
-    common = values.groupBy("leader", "w").agg(F.count("*").alias("df")).where("df > 1")
+    common = written(
+        values.groupBy("leader", "w").agg(F.count("*").alias("df")).where("df > 1"), "shared-outside"
+    )
     listed = (
         values.join(common, ["leader", "w"])
         .groupBy("leader", "node", "n", "met", "need", "twice")
@@ -341,13 +344,13 @@ def _apart(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
         *lists.columns, F.coalesce("component", "node").alias("part")
     )
     placed = written(placed, "placed")
-    least = placed.groupBy("value").agg(F.min("n").alias("least"))
+    least = written(placed.groupBy("value").agg(F.min("n").alias("least")), "least-sizes")
     able = written(
         placed.join(least, "value").where(_can_link(F.col("bound"), F.col("n"), F.col("least"), percent)).drop("least"),
         "able",
     )
     mixed = able.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    return able.join(mixed.select("value"), "value", "left_semi").drop("part")
+    return able.join(written(mixed.select("value"), "mixed-lists"), "value", "left_semi").drop("part")
 
 
 def _across(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
