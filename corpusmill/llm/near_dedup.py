@@ -284,16 +284,35 @@ def _clouds(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _unsettled(clouds: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of leaders whose nodes are not all of one component.
+
+    Links within a component join nothing, so the other leaders have no pair to find.
+    """
+    groups = written(
+        clouds.join(parts, "node", "left").select("leader", F.coalesce("component", "node").alias("part"))
+        .groupBy("leader").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+        .where("lo < hi").select("leader"),
+        "unsettled",
+    )
+    return clouds.join(groups, "leader", "left_semi")
+
+
 def _outside_lists(clouds: DataFrame, percent: int) -> DataFrame:
     """Lists (as in ``_prefixes``) of what nodes of one leader share outside of it, rarest first.
 
-    The intersection of a linked pair has ``need`` values more than the
-    leader's part of it, at least. So the pair meets ``twice`` times among all
+    The smaller a partner can be, the less the pair must have in common: it is
+    no smaller than the ``least`` of the leader's nodes, nor than linked sizes
+    allow. So the intersection has ``need`` values more than the leader's part
+    of it, at least, and the pair meets ``twice`` times among all
     but ``need - twice`` of each node's values in the order of hashes, and
     once among all but ``twice - 1`` of these by rarity.
     """
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("met")).cast("int")
-    rows = clouds.select(
+    least = written(clouds.groupBy("leader").agg(F.min("n").alias("least")), "least-of-leaders")
+    partner = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("least"))
+    inter = F.ceil((F.col("n") + partner) * percent / (100 + percent))
+    need = F.greatest(F.lit(1), inter - F.col("met")).cast("int")
+    rows = clouds.join(least, "leader").select(
         "leader", "node", "n", "met", "outside",
         need.alias("need"), F.ceil(need / 2).cast("int").alias("twice"),
     ).where("size(outside) >= need")
@@ -421,7 +440,7 @@ def _grouped(
     found = [links]
     for level in range(DEPTH):
         candidates.append(_beside_leader(clouds, parts, percent))
-        deeper = written(_apart(_outside_lists(clouds, percent), parts, percent), "outside-lists")
+        deeper = written(_apart(_outside_lists(_unsettled(clouds, parts), percent), parts, percent), "outside-lists")
         if level == DEPTH - 1:
             candidates.append(_across(deeper, parts, percent))
             break
