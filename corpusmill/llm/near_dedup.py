@@ -285,34 +285,33 @@ def _clouds(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(clouds: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows of leaders whose nodes are not all of one component.
+    """``(leader, least)`` of leaders whose nodes are not all of one component, with the least set size.
 
     Links within a component join nothing, so the other leaders have no pair to find.
     """
-    groups = written(
-        clouds.join(parts, "node", "left").select("leader", F.coalesce("component", "node").alias("part"))
-        .groupBy("leader").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-        .where("lo < hi").select("leader"),
+    placed = clouds.join(parts, "node", "left").select("leader", "n", F.coalesce("component", "node").alias("part"))
+    return written(
+        placed.groupBy("leader")
+        .agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("n").alias("least"))
+        .where("lo < hi").select("leader", "least"),
         "unsettled",
     )
-    return clouds.join(groups, "leader", "left_semi")
 
 
 def _outside_lists(clouds: DataFrame, percent: int) -> DataFrame:
     """Lists (as in ``_prefixes``) of what nodes of one leader share outside of it, rarest first.
 
     The smaller a partner can be, the less the pair must have in common: it is
-    no smaller than the ``least`` of the leader's nodes, nor than linked sizes
+    no smaller than the leader's ``least`` (a column), nor than linked sizes
     allow. So the intersection has ``need`` values more than the leader's part
     of it, at least, and the pair meets ``twice`` times among all
     but ``need - twice`` of each node's values in the order of hashes, and
     once among all but ``twice - 1`` of these by rarity.
     """
-    least = written(clouds.groupBy("leader").agg(F.min("n").alias("least")), "least-of-leaders")
     partner = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("least"))
     inter = F.ceil((F.col("n") + partner) * percent / (100 + percent))
     need = F.greatest(F.lit(1), inter - F.col("met")).cast("int")
-    rows = clouds.join(least, "leader").select(
+    rows = clouds.select(
         "leader", "node", "n", "met", "outside",
         need.alias("need"), F.ceil(need / 2).cast("int").alias("twice"),
     ).where("size(outside) >= need")
@@ -358,7 +357,7 @@ def _can_link(bound: Column, n: Column, other: Column, percent: int) -> Column:
 
 
 def _apart(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Lists without nodes that cannot be linked in them, where more than one component is left."""
+    """Lists without nodes that cannot be linked in them, where more than one component is left; ``m`` nodes."""
     placed = lists.join(parts, "node", "left").select(
         *lists.columns, F.coalesce("component", "node").alias("part")
     )
@@ -368,8 +367,10 @@ def _apart(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
         placed.join(least, "value").where(_can_link(F.col("bound"), F.col("n"), F.col("least"), percent)).drop("least"),
         "able",
     )
-    mixed = able.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    return able.join(written(mixed.select("value"), "mixed-lists"), "value", "left_semi").drop("part")
+    mixed = able.groupBy("value").agg(
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")
+    ).where("lo < hi")
+    return able.join(written(mixed.select("value", "m"), "mixed-lists"), "value").drop("part")
 
 
 def _across(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -439,13 +440,17 @@ def _grouped(
     candidates = [_across(short, parts, percent)]
     found = [links]
     for level in range(DEPTH):
+        unsettled = _unsettled(clouds, parts)
+        if unsettled.isEmpty():
+            break
+        clouds = clouds.join(unsettled, "leader")
         candidates.append(_beside_leader(clouds, parts, percent))
-        deeper = written(_apart(_outside_lists(_unsettled(clouds, parts), percent), parts, percent), "outside-lists")
+        deeper = written(_apart(_outside_lists(clouds, percent), parts, percent), "outside-lists")
         if level == DEPTH - 1:
             candidates.append(_across(deeper, parts, percent))
             break
-        short, long_lists = _by_length(deeper, most)
-        candidates.append(_across(short, parts, percent))
+        long_lists = deeper.where(F.col("m") > most)
+        candidates.append(_across(deeper.where(F.col("m") <= most), parts, percent))
         if long_lists.isEmpty():
             break
         clouds = _clouds(long_lists, sets, percent)
