@@ -172,9 +172,8 @@ BANDS = (0.9, 0.8, 0.7, 0.6, 0.49)
 
 
 def variable_share(text: Column, pattern: str = R.VARIABLE_REGEX) -> Column:
-    """Characters in placeholder occurrences over all characters."""
-    lengths = F.transform(X.find_all(text, pattern), lambda v: F.length(v))
-    total = F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+    """Characters in placeholder occurrences over all characters: what is gone without them."""
+    total = F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     return F.when(F.length(text) > 0, total / F.length(text))
 
 
@@ -204,7 +203,10 @@ def flag_identifier_heavy(
         if min_distinct is None
         else distinct_variables(text) >= min_distinct
     )
-    df = df.withColumn("share", variable_share(text))
-    df = df.withColumn("band", share_band(F.col("share"), bands))
-    df = df.withColumn("big_variable", big)
+    # a filter on the verdict would run the text rules once per use of the share
+    df = evaluate_once(
+        df.withColumn("share", variable_share(text)).withColumn("big_variable", big), "share", "big_variable"
+    )
+    names = [name for name in df.columns if name not in ("band", "big_variable")]
+    df = df.select(*names, share_band(F.col("share"), bands).alias("band"), "big_variable")
     return df.withColumn("remove", (F.col("band") != "kept") | F.col("big_variable"))
