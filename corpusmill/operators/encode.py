@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from corpusmill.functions.tokens import MAX_LENGTH, attention_mask, pad, pre_tok
 from corpusmill.operators import eda
 from corpusmill.operators.bpe import Profile, Tokenizer
 
-#: Words that a task remembers the ids of.
-REMEMBERED = 200_000
+#: Words that a task remembers the ids of, and about how many words or ids it works on at once.
+REMEMBERED, AT_ONCE = 50_000, 200_000
 
 
 def word_tokenizer(vocab: DataFrame, specials: tuple[str, ...], size: int) -> Tokenizer:
@@ -92,6 +94,21 @@ def splitter(tokenizer: Tokenizer) -> Callable[[str], list[str]]:
     return lambda word: bpe_pieces(word, tokenizer, ranks)
 
 
+def _slices(batch: pa.RecordBatch, column: str, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose lists hold about ``at_once`` items together; a longer row stands alone.
+
+    What Python needs for a batch then depends neither on how many rows Spark
+    puts into it nor on how long their lists are.
+    """
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + at_once, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _spread(values: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``values[code]`` of each code one after the other, and their sizes."""
     sizes = np.array([len(v) for v in values], dtype=np.int64)
@@ -108,7 +125,7 @@ def encode_tokens(rows: DataFrame, tokenizer: Tokenizer, keys: list[str]) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, unknown = splitter(tokenizer), tokenizer.profile.unknown
         known: dict[str, tuple[np.ndarray, bool]] = {}
-        for batch in batches:
+        for batch in chain.from_iterable(_slices(whole, "tokens") for whole in batches):
             lists = batch.column("tokens")
             lists = lists.fill_null([]) if lists.null_count else lists
             words = lists.flatten().dictionary_encode()
@@ -163,7 +180,7 @@ def decode_corpus(
         tokens = {row["id"]: row["token"] for row in vocab.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(_slices(whole, "input_ids") for whole in batches):
             texts = [
                 " ".join([tokens.get(i, unknown) for i in ids or []])
                 for ids in batch.column("input_ids").to_pylist()
