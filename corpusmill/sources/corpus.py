@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from corpusmill import schemas
 from corpusmill.operators.split import in_epoch_order
 
-#: Most rows of an exported file.
-ROWS_PER_FILE = 1 << 17
+#: Most rows of an exported file; rows of a task that writes several files, about.
+ROWS_PER_FILE, ROWS_PER_TASK = 1 << 17, 1 << 14
 SPLITS = ("train", "test", "validation")
 
 
@@ -108,19 +108,23 @@ def write_shards(
 
     A file holds whole batches in order, ``rows_per_file`` rows at most (one
     batch, if that is larger), and is written by one task; so a shard of any
-    size is as many files as it needs. Each row gets its place by itself and
+    size is as many files as it needs. A task writes one file after the other
+    where files are small, since the driver hears of every task. Each row gets its place by itself and
     is in exactly one file, also where keys repeat or are null. The manifest
     has a row per file: first and last batch, rows, tokens; it is read from
     what was written. Without rows there is no file and no row.
     """
     spark = inputs.sparkSession
     per_file = max(1, rows_per_file // batch_size)  # batches
-    batches = -(-inputs.count() // batch_size)
+    rows = inputs.count()
+    batches = -(-rows // batch_size)
     files = max(1, -(-(-(-batches // shards)) // per_file))  # of a shard
     placed = in_epoch_order(inputs, epoch, batch_size, shards, seed, key)
     placed = placed.withColumn("file", F.floor(F.floor(F.col("batch_no") / shards) / per_file).cast("bigint"))
-    task = (F.col("shard") * files + F.col("file")).cast("int")
-    ordered = placed.repartitionById(shards * files, task).sortWithinPartitions("batch_no", "slot")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(shards * files, max(usual, -(-rows // ROWS_PER_TASK)))
+    task = ((F.col("shard") * files + F.col("file")) % tasks).cast("int")
+    ordered = placed.repartitionById(tasks, task).sortWithinPartitions("shard", "file", "batch_no", "slot")
     ordered.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("shard", "file").parquet(f"{path}/data")
     manifest = (
         spark.read.schema(T.StructType([*ordered.schema.fields])).parquet(f"{path}/data")
