@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.staging import evaluate_once
 from corpusmill.functions.tokens import next_token_pairs, pre_tokens
-from corpusmill.session import cut_lineage
+from corpusmill.session import stored
 
 #: What each count gives up for contexts it was not seen in.
 DISCOUNT = 0.75
@@ -80,14 +80,17 @@ def predict_back_off(
     order has not seen loses its first token and is looked up one order lower,
     at last among the unigrams (order 1).
     """
-    rest = contexts.select("context").distinct().withColumn("key", F.col("context"))
+    rest = stored(contexts.select("context").distinct().withColumn("key", F.col("context")), "contexts")
     found = []
     for order in sorted(counts, reverse=True):
-        seen = top_next(counts[order], k).withColumnRenamed("context", "key")
+        # only successors of wanted contexts are kept and ranked; each order is counted once
+        wanted = rest.select(F.col("key").alias("context")).distinct()
+        held = stored(counts[order].join(wanted, "context", "left_semi"), f"successors-{order}")
+        seen = top_next(held, k).withColumnRenamed("context", "key")
         found.append(rest.join(seen, "key").select("context", F.lit(order).alias("order"), "rank", "next"))
-        known = counts[order].select(F.col("context").alias("key")).distinct()
+        known = held.select(F.col("context").alias("key")).distinct()
         shorter = F.regexp_replace("key", r"^\S+ ?", "")
-        rest = rest.join(known, "key", "left_anti").select("context", shorter.alias("key"))
+        rest = stored(rest.join(known, "key", "left_anti").select("context", shorter.alias("key")), "contexts")
     # k rows, so numbering and packing them into one array is bounded.
     number = F.row_number().over(Window.orderBy(F.desc("n"), "next"))
     common = unigrams.orderBy(F.desc("n"), "next").limit(k).select(
@@ -167,33 +170,37 @@ def _shorter(context: Column) -> Column:
     return F.regexp_replace(context, r"^[^ ]* ?", "")
 
 
-def back_off_model(train: DataFrame, order: int, discount: float = DISCOUNT) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """Interpolated discounting by order: ``(context, next, share)`` and ``(context, weight)``.
+def _order_counts(train: DataFrame, order: int) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """By order what the discount works on: ``(context, next, n)`` and per context ``(context, total, types)``.
 
-    The highest order discounts counts. A lower one discounts continuations:
-    in how many different longer contexts a token follows. ``share`` is what
-    the discount leaves of a token in its context, ``weight`` what it takes
-    away from all of them, for the next lower order to give out. Contexts are
-    aggregated before they are joined, and their table is cut off from its
-    plan, so that the partition of a hot context can be split.
+    The highest order counts occurrences, a lower one continuations: in how
+    many different longer contexts a token follows. Each table is made and
+    written once; what follows reads it instead of counting again.
     """
-    model = {}
+    tables = {}
     counts = ngram_counts(train, order) if order > 1 else unigram_counts(train).withColumn("context", F.lit(""))
     for k in range(order, 0, -1):
+        counts = stored(counts.select("context", "next", "n"), f"counts-{k}")
         totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-        if k == 1:  # one context: two numbers instead of a join
-            total = totals.select(F.struct("total", "types")).scalar()
-            shares = counts.select("context", "next", ((F.col("n") - discount) / total["total"]).alias("share"))
-            model[k] = shares, totals.select("context", (discount * F.col("types") / F.col("total")).alias("weight"))
-            break
-        totals = cut_lineage(totals.select("context", "total", (discount * F.col("types") / F.col("total")).alias("weight")))
+        tables[k] = counts, stored(totals, f"totals-{k}")
+        if k > 1:  # the different n-grams of this order are the continuations of the next lower one
+            grams = (counts if k == order else ngram_counts(train, k)).select(_shorter(F.col("context")).alias("context"), "next")
+            counts = grams.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+    return tables
+
+
+def back_off_model(train: DataFrame, order: int, discount: float = DISCOUNT) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Interpolated discounting by order: ``(context, next, share)`` and ``(context, weight)``.
+
+    ``share`` is what the discount leaves of a token in its context, ``weight``
+    what it takes away from all of them, for the next lower order to give out.
+    """
+    model = {}
+    for k, (counts, totals) in _order_counts(train, order).items():
         shares = counts.join(totals, "context").select(
             "context", "next", ((F.col("n") - discount) / F.col("total")).alias("share")
         )
-        model[k] = shares, totals.select("context", "weight")
-        # the different n-grams of this order are the continuations of the next lower one
-        grams = (counts if k == order else ngram_counts(train, k)).select(_shorter(F.col("context")).alias("context"), "next")
-        counts = grams.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+        model[k] = shares, totals.select("context", (discount * F.col("types") / F.col("total")).alias("weight"))
     return model
 
 
@@ -203,25 +210,28 @@ def score_back_off(test: DataFrame, train: DataFrame, order: int = 3, discount:
     A context that training has not seen leaves everything to the next lower
     order; below the single tokens, all tokens of training and one unknown
     token are equally likely. The probabilities of a context add up to 1.
+    Totals of contexts meet the test rows, not the counts of training, which
+    are moved once per order.
     """
-    model = back_off_model(train, order, discount)
+    tables = _order_counts(train, order)
     size = unigram_counts(train).agg(F.count(F.lit(1)).alias("size")).scalar()
     grams = ngram_counts(test, order) if order > 1 else unigram_counts(test).withColumn("context", F.lit(""))
     rows = grams.withColumnRenamed("n", "test_n").withColumns(
         {"key": F.col("context"), "p_true": F.lit(0.0), "left": F.lit(1.0)}
     )
+    share = F.coalesce((F.col("n") - discount) / F.col("total"), F.lit(0.0))
+    weight = F.coalesce(discount * F.col("types") / F.col("total"), F.lit(1.0))
     for k in range(order, 1, -1):
-        shares, weights = (table.withColumnRenamed("context", "key") for table in model[k])
-        rows = rows.join(shares, ["key", "next"], "left").join(weights, "key", "left").select(
+        counts, totals = (table.withColumnRenamed("context", "key") for table in tables[k])
+        rows = rows.join(counts, ["key", "next"], "left").join(totals, "key", "left").select(
             "context", "next", "test_n", _shorter(F.col("key")).alias("key"),
-            (F.col("p_true") + F.col("left") * F.coalesce("share", F.lit(0.0))).alias("p_true"),
-            (F.col("left") * F.coalesce("weight", F.lit(1.0))).alias("left"),
+            (F.col("p_true") + F.col("left") * share).alias("p_true"), (F.col("left") * weight).alias("left"),
         )
-    shares, weights = model[1]
-    weight = F.coalesce(weights.select("weight").scalar(), F.lit(1.0))
-    single = F.coalesce("share", F.lit(0.0)) + weight / (size + 1)
-    return rows.join(shares.select("next", "share"), "next", "left").select(
-        "context", "next", "test_n", (F.col("p_true") + F.col("left") * single).alias("p_true")
+    counts, totals = tables[1]  # one context: two numbers instead of a join
+    whole = totals.select(F.struct("total", "types")).scalar()
+    rows = rows.join(counts.select("next", "n"), "next", "left").withColumns({"total": whole["total"], "types": whole["types"]})
+    return rows.select(
+        "context", "next", "test_n", (F.col("p_true") + F.col("left") * (share + weight / (size + 1))).alias("p_true")
     )
 
 
