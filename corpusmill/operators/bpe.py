@@ -7,14 +7,15 @@ the order of strings is the order of ids. A second table holds how often each
 pair occurs; pairs are counted once, and a round only adds the differences
 that the words it changed make.
 
-A round takes as many merges as it can prove to be the next ones, in one of
-two ways. Frequent pairs are merged where the words are, several at a time
-while they cannot touch each other. Rarer pairs come with the words that hold
-them, at most ``places_per_round`` places, and are merged one after another
-on the driver; see ``train`` for why that is exact.
+A round takes the leading pairs and cuts each word wherever two neighbours are
+not one of them. What is left, the *chains*, are few: words share them. They
+are counted where the words are, and come to the driver as distinct chains of
+at most ``places_per_round`` places, where the pairs are merged one after
+another; see ``train`` for why that is exact. The words then take over what
+became of their chains.
 
 The driver keeps the vocabulary and the merges, both bounded by the configured
-size, and the words of one round, bounded by ``places_per_round``.
+size, and the chains of one round, bounded by ``places_per_round``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -88,7 +91,7 @@ class Tokenizer:
 
 WORDS_PER_TASK = 20_000
 #: Leading pairs that a round looks at.
-PAIRS_SEEN = 8192
+PAIRS_SEEN = 65_536
 
 _FIRST_CODE = 0x100
 _SURROGATES = range(0xD800, 0xE000)
@@ -178,14 +181,6 @@ def _summed(pairs: DataFrame) -> DataFrame:
     return total.filter("places > 0")
 
 
-def _merged(codes: Column, chosen: list[tuple[str, str]]) -> Column:
-    """Apply merges in order; as data, so that every round runs the same code."""
-    pairs = F.array(*(F.lit(pair) for pair, _ in chosen))
-    symbols = F.array(*(F.lit(code) for _, code in chosen))
-    merges = F.arrays_zip(pairs.alias("pair"), symbols.alias("code"))
-    return F.aggregate(merges, codes, lambda left, m: F.replace(left, m["pair"], m["code"]))
-
-
 class _Vocabulary:
     """Tokens in id order and merges in rank order, up to a size."""
 
@@ -225,7 +220,7 @@ def _apart(best: list[tuple[str, int, int]], vocabulary: _Vocabulary, limit: int
 
 
 class _Words:
-    """The words of a round with an index from each pair to its words, merged one pair at a time."""
+    """The chains of a round with an index from each pair to its chains, merged one pair at a time."""
 
     def __init__(self, words: list[tuple[str, int]]) -> None:
         self.before = [codes for codes, _ in words]
@@ -271,8 +266,8 @@ class _Words:
                 made |= self._add(word, 1)
         self.queue(p for p in made if code in p)
 
-    def changed(self) -> list[tuple[str, str]]:
-        return [(a, b) for a, b in zip(self.before, self.codes, strict=True) if a != b]
+    def changed(self) -> dict[str, str]:
+        return {a: b for a, b in zip(self.before, self.codes, strict=True) if a != b}
 
 
 def _merge_here(
@@ -290,37 +285,77 @@ def _merge_here(
             return
 
 
-def _words_with(words: DataFrame, pairs: list[str]) -> list[tuple[str, int]]:
-    """Words that hold one of the pairs; the caller has bounded their number."""
-    wanted = words.sparkSession.createDataFrame(pa.table({"pair": pairs}))
-    at = F.transform(F.sequence(F.lit(1), F.length("codes") - 1), lambda i: F.col("codes").substr(i, F.lit(2)))
-    rows = words.filter(F.length("codes") > 1).select("codes", "freq", F.explode(F.array_distinct(at)).alias("pair"))
-    found = rows.join(F.broadcast(wanted), "pair", "left_semi").select("codes", "freq").toArrow()
-    return list(dict(zip(found["codes"].to_pylist(), found["freq"].to_pylist(), strict=True)).items())
+def _listed(column: pa.Array | pa.ChunkedArray) -> list:
+    """Its values; unlike ``to_pylist`` without an object of Arrow for each."""
+    return column.to_pandas().tolist()
+
+
+def _cut(codes: str, pairs: frozenset[str]) -> list[str]:
+    """The word in pieces, cut between neighbours that are none of ``pairs``."""
+    pieces, start = [], 0
+    for i in range(1, len(codes)):
+        if codes[i - 1 : i + 1] not in pairs:
+            pieces.append(codes[start:i])
+            start = i
+    pieces.append(codes[start:])
+    return pieces
+
+
+def _chains(words: DataFrame, pairs: frozenset[str]) -> DataFrame:
+    """Distinct pieces of two symbols and more, with the frequency of the words that hold them."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[str] = Counter()
+            for codes, freq in zip(_listed(batch["codes"]), _listed(batch["freq"]), strict=True):
+                for piece in _cut(codes, pairs):
+                    if len(piece) > 1:
+                        found[piece] += freq
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["codes", "freq"]
+            )
+
+    parts = words.select("codes", "freq").mapInArrow(counted, "codes string, freq long")
+    return parts.groupBy("codes").agg(F.sum("freq").alias("freq"))
+
+
+def _taken_over(words: DataFrame, pairs: frozenset[str], changes: dict[str, str]) -> DataFrame:
+    """Adds ``after``: the word with its chains as they became, null where none changed."""
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = _listed(batch["codes"])
+            after = ["".join(changes.get(piece, piece) for piece in _cut(codes, pairs)) for codes in before]
+            after = [b if a != b else None for a, b in zip(before, after, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["codes"], batch["freq"], pa.array(after, pa.string())], ["codes", "freq", "after"]
+            )
+
+    return words.select("codes", "freq").mapInArrow(applied, "codes string, freq long, after string")
 
 
 def train(
     word_counts: DataFrame, profile: Profile, vocab_size: int | None = None,
-    pairs_per_round: int = 64, places_per_round: int = 200_000, rounds_per_checkpoint: int = 8,
+    pairs_per_round: int = 64, places_per_round: int = 400_000, rounds_per_checkpoint: int = 4,
 ) -> Tokenizer:
     """Merge the best pair until the vocabulary is full.
 
-    A round takes the best pairs in rank order and the larger of two sets of
-    merges, both equal to one merge at a time.
-
-    Where the words are: pairs are taken while none starts with a symbol that
-    another ends with, so their occurrences cannot overlap. A new pair then
-    contains a new symbol, is at most as frequent as an existing pair that
-    ranks below the ones taken, and loses every tie because new symbols have
-    the highest ids.
-
-    On the driver: the leading pairs are taken while their places add up to at
-    most ``places_per_round``, with all words that hold one of them. Every
-    pair that occurs more often than the first pair left out is one of them,
-    or contains a symbol made in this round; either way all its words are
-    here. So merges go on while the best pair occurs more often than that.
-
-    In both, a merge whose token exists already ends its round.
+    A round takes the best pairs in rank order, and the chains of symbols that
+    they make in the words. Merges go on, in the order of one merge at a time,
+    while the best pair ranks before the first pair left out. No pair across a
+    cut gets there: all occurrences of one lie where the same pair was cut at
+    the start of the round, as a new symbol begins and ends with the same
+    symbols everywhere. So it is at most as frequent as that pair, which ranks
+    no better than the one left out, and loses a tie because new symbols have
+    the highest ids. All other pairs have all their occurrences in the chains.
+
+    Pairs are taken while their distinct chains have at most
+    ``places_per_round`` places; how many that are is tried, from what the
+    round before took. At least those are taken, up to ``pairs_per_round``,
+    none of which starts with a symbol that another ends with: their
+    occurrences cannot overlap, and a new pair ranks below all of them.
+
+    A merge whose token exists already ends its round.
     """
     at_least = max(1, profile.min_frequency)
     word_counts = word_counts.persist()
@@ -329,34 +364,43 @@ def train(
     words = cut_lineage(_encode_words(word_counts, ids, chars, profile)).persist()
     word_counts.unpersist()
     counts = _summed(_pair_rows(F.col("codes"), 1, words)).persist()
-    rounds, stale = 0, [(words, counts)]
+    rounds, stale, wanted = 0, [(words, counts)], 64
     while not vocabulary.full():
         ranked = counts.filter(F.col("n") >= at_least).orderBy(F.desc("n"), "pair").limit(PAIRS_SEEN)
-        best = [(row["pair"], row["n"], row["places"]) for row in ranked.collect()]
+        best = list(zip(*map(_listed, ranked.toArrow()), strict=True))
         if not best:
             break
         rounds += 1
+        apart = _apart(best, vocabulary, pairs_per_round)
         fitting = bisect_right(list(accumulate(places for _, _, places in best)), places_per_round)
-        whole = fitting == len(best) < PAIRS_SEEN
-        fitting = fitting if whole else min(fitting, len(best) - 1)
-        chosen = _apart(best, vocabulary, pairs_per_round)
-        if whole or fitting > len(chosen):
-            pairs = [pair for pair, _, _ in best[:fitting]]
-            held = _Words(_words_with(words, pairs))
-            _merge_here(held, pairs, None if whole else (-best[fitting][1], best[fitting][0]), at_least, vocabulary)
-            before, after = zip(*held.changed(), strict=True)
-            changes = words.sparkSession.createDataFrame(pa.table({"codes": before, "after": after}))
-            words = words.join(F.broadcast(changes), "codes", "left")
-        else:
-            merges = []
-            for pair in chosen:
+        while True:
+            taken = max(wanted if places_per_round else 0, fitting)
+            whole = taken >= len(best) < PAIRS_SEEN
+            taken = len(best) if whole else min(taken, len(best) - 1)
+            alone = not whole and taken <= len(apart)
+            pairs = apart if alone else [pair for pair, _, _ in best[:taken]]
+            chains = _chains(words, frozenset(pairs)).persist()
+            places = chains.agg(F.sum(F.length("codes") - 1)).first()[0]
+            room = 0.7 * places_per_round / places
+            if alone or taken <= fitting or places <= places_per_round:
+                break
+            chains.unpersist()
+            wanted = int(taken * max(0.25, room))
+        wanted = max(1, int(len(pairs) * min(4, max(1, room))))
+        found = chains.toArrow()
+        chains.unpersist()
+        held = _Words(list(zip(*map(_listed, found), strict=True)))
+        if alone:
+            for pair in pairs:
                 code, new = vocabulary.merge(pair)
-                merges.append((pair, code))
+                held.merge(pair, code)
                 if not new:
                     break
-            after = _merged(F.col("codes"), merges)
-            words = words.withColumn("after", F.when(after != F.col("codes"), after))
-        both = words.persist()
+        else:
+            _merge_here(held, pairs, None if whole else (-best[taken][1], best[taken][0]), at_least, vocabulary)
+        if vocabulary.full():
+            break
+        both = _taken_over(words, frozenset(pairs), held.changed()).persist()
         changed = both.filter("after IS NOT NULL")
         differences = _pair_rows(F.col("codes"), -1, changed).unionByName(_pair_rows(F.col("after"), 1, changed))
         counts = _summed(counts.unionByName(differences)).persist()

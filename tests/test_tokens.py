@@ -125,6 +125,22 @@ def test_rounds_of_both_kinds_equal_one_merge_at_a_time(spark, name, monkeypatch
         assert found.rounds < len(merges)
 
 
+def test_rounds_depend_on_what_words_share_not_on_their_number(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["ing", "ter", "ion", "pre", "con", "ate", "lum", "or", "is"]
+    words = {"".join(rng.choices(parts, k=rng.randint(2, 5))) for _ in range(600)}
+    counts = [(w, rng.randint(1, 9)) for w in sorted(words)]
+    table = spark.createDataFrame(counts, "word string, freq long")
+    first = bpe.train(table, bpe.PROFILES["gpt2"], 1)
+    size = len(first.ids) + 60
+    found = bpe.train(table, bpe.PROFILES["gpt2"], size, places_per_round=150)
+    ids, merges = one_merge_at_a_time(counts, bpe.PROFILES["gpt2"], size, first.ids)
+    assert found.merges == merges and found.ids == ids
+    assert found.rounds <= 7  # 13 when whole words were fetched
+
+
 @pytest.mark.parametrize("name", ["gpt2", "bert"])
 def test_encoding_equals_the_public_encoder(docs, name):
     profile = bpe.PROFILES[name]
