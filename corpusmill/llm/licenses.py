@@ -1,16 +1,23 @@
 """Licence statements found by a trained paragraph classifier, in DataFrame operations only.
 
 Multinomial logistic regression over sparse word n-grams names the licence
-family of a paragraph or the unknown class. A prediction must pass a level
-calibrated on unknown paragraphs that the model has not seen, and the
-family's templates must confirm it. Training and scoring run in the JVM, by
-the DataFrame API of Spark ML.
+family of a paragraph or the unknown class. Every paragraph of the table
+without an anchor word is of the unknown class: those of two thirds of the
+documents train, those of the others calibrate. Features are the n-grams of the
+taught statements, so paragraphs that hold the same of them are one weighted
+row. A prediction must pass the level calibrated on unknown paragraphs that the
+model has not seen, and the family's templates must confirm it. Training and
+scoring run in the JVM, by the DataFrame API of Spark ML.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,15 +97,24 @@ NOT_LICENCES = (
     "Copyright the authors. All rights reserved.",
 )
 #: What most word triples of every template have: CONFIRM of them cannot be held without any of these.
-ANCHORS = (
-    r"(?i)licen[sc]e|copyright[\W_]+notice|permission|redistribut|creative[\W_]+commons|(?<![a-z0-9])cc(?:0|[\W_]+by)(?![a-z0-9])"
-    r"|public[\W_]+domain|the[\W_]+(?:mit|bsd|isc|gnu)(?![a-z0-9])|clause[\W_]+bsd|hereby|obtaining|associated[\W_]+documentation"
-    r"|substantial|unencumbered|applicable|compliance|agreed[\W_]+to|distributed[\W_]+under|is[\W_]+basis|foundation|later[\W_]+version"
-    r"|lesser[\W_]+general|mozilla|code[\W_]+form|binary[\W_]+forms|without[\W_]+modification|permitted|conditions[\W_]+are"
-    r"|copy[\W_]+modify|any[\W_]+purpose|fee[\W_]+is|modify[\W_]+and|dedicated"
+#: Before each pattern what every match of it has in lower case, which is looked for first.
+ANCHOR_PARTS = (
+    ("licen", r"licen[sc]e"), ("copyright", r"copyright[\W_]+notice"), ("permission", r"permission"),
+    ("redistribut", r"redistribut"), ("commons", r"creative[\W_]+commons"),
+    ("cc", r"(?<![a-z0-9])cc(?:0|[\W_]+by)(?![a-z0-9])"), ("domain", r"public[\W_]+domain"),
+    ("the", r"the[\W_]+(?:mit|bsd|isc|gnu)(?![a-z0-9])"), ("bsd", r"clause[\W_]+bsd"), ("hereby", r"hereby"),
+    ("obtaining", r"obtaining"), ("documentation", r"associated[\W_]+documentation"), ("substantial", r"substantial"),
+    ("unencumbered", r"unencumbered"), ("applicable", r"applicable"), ("compliance", r"compliance"),
+    ("agreed", r"agreed[\W_]+to"), ("distributed", r"distributed[\W_]+under"), ("basis", r"is[\W_]+basis"),
+    ("foundation", r"foundation"), ("later", r"later[\W_]+version"), ("lesser", r"lesser[\W_]+general"),
+    ("mozilla", r"mozilla"), ("code", r"code[\W_]+form"), ("binary", r"binary[\W_]+forms"),
+    ("modification", r"without[\W_]+modification"), ("permitted", r"permitted"), ("conditions", r"conditions[\W_]+are"),
+    ("modify", r"copy[\W_]+modify|modify[\W_]+and"), ("purpose", r"any[\W_]+purpose"), ("fee", r"fee[\W_]+is"),
+    ("dedicated", r"dedicated"),
 )
-#: Unknown paragraphs used for training and calibration, about; hashed features; longest line or paragraph left whole.
-SAMPLE, FEATURES, LONG = 3000, 1 << 14, 400
+ANCHORS = "(?i)" + "|".join(pattern for _, pattern in ANCHOR_PARTS)
+#: What all unknown paragraphs of the table weigh together at most, in taught statements; longest line or paragraph left whole.
+BALANCE, LONG = 2000, 400
 #: Share of unknown paragraphs that may pass the level; share of a template's word triples that confirms.
 FALSE_RATE, CONFIRM = 0.002, 0.6
 
@@ -120,6 +136,13 @@ def lines(text: Column) -> Column:
     return _by_sentence(F.split(F.coalesce(text, F.lit("")), r"[\r\n]+"))
 
 
+def _anchored(text: Column) -> Column:
+    """Whether ANCHORS are found in the text."""
+    return F.exists(F.array(F.lower(text)), lambda lower: reduce(or_, (
+        F.contains(lower, F.lit(part)) & text.rlike("(?i)" + pattern) for part, pattern in ANCHOR_PARTS
+    )))
+
+
 def _units(text: Column) -> Column:
     """Anchored (block, wrapped, unit): the lines of each paragraph, and paragraphs of several lines joined.
 
@@ -127,7 +150,7 @@ def _units(text: Column) -> Column:
     """
 
     def anchored(units: Column, number: Column, wrapped: bool) -> Column:
-        return F.transform(F.filter(units, lambda u: u.rlike(ANCHORS)), lambda u: F.struct(
+        return F.transform(F.filter(units, _anchored), lambda u: F.struct(
             number.alias("block"), F.lit(wrapped).alias("wrapped"), u.alias("unit")
         ))
 
@@ -151,48 +174,93 @@ def _runs(words: Column, n: int) -> Column:
     )).otherwise(F.array().cast("array<string>"))
 
 
-def _featured(units: DataFrame) -> DataFrame:
-    """Adds the sparse vector of distinct word n-grams, n from 1 to 3."""
-    words = units.withColumn("words", _words(F.col("unit")))
-    grams = words.withColumn("grams", F.concat(*(_runs(F.col("words"), n) for n in (1, 2, 3))))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(grams)
+def _taught() -> list[tuple[str, str]]:
+    """Class and text of the taught statements."""
+    return [(name, frame.format(text)) for name, texts in [*TEMPLATES.items(), (UNKNOWN, NOT_LICENCES)]
+            for text in texts for frame in AROUND]
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    classes = [UNKNOWN, *TEMPLATES]
-    rows = [
-        (float(classes.index(family)), frame.format(text))
-        for family, texts in TEMPLATES.items() for text in texts for frame in AROUND
-    ]
-    rows += [(0.0, frame.format(text)) for text in NOT_LICENCES for frame in AROUND]
-    return spark.createDataFrame(rows, "label double, unit string")
+def _vocabulary(n: int) -> list[str]:
+    """The word n-grams of the taught statements."""
+    words = [re.findall(r"[a-z0-9]+", text.lower()) for _, text in _taught()]
+    return sorted({" ".join(w[i : i + n]) for w in words for i in range(len(w) - n + 1)})
+
 
+def _grams(units: Column) -> Column:
+    """For each unit the distinct n-grams, n from 1 to 3, that are in the vocabulary, sorted."""
+
+    def only(grams: Column, n: int) -> Column:
+        return F.transform(grams, lambda g: F.when(g.isin(_vocabulary(n)), g))
+
+    def longer(grams: Column, words: Column, n: int) -> Column:
+        # The n-gram at each place, null where its head or its last word is not in the vocabulary.
+        return only(F.zip_with(grams, F.slice(words, n, F.size(words)), lambda g, w: F.when(
+            g.isNotNull() & w.isNotNull(), F.concat(g, F.lit(" "), w)
+        )), n)
+
+    none = F.array().cast("array<string>")
+    ones = F.transform(units, lambda u: only(_words(u), 1))
+    twos = F.transform(ones, lambda w: F.struct(w.alias("w"), longer(w, w, 2).alias("g")))
+    return F.transform(twos, lambda x: F.array_sort(F.array_distinct(F.array_compact(F.concat(
+        x["w"], x["g"], F.when(F.exists(x["g"], F.isnotnull), longer(x["g"], x["w"], 3)).otherwise(none)
+    )))))
+
+
+def _featured(units: DataFrame) -> DataFrame:
+    """Adds the sparse vector of the n-grams in ``grams``."""
+    vocabulary = [g for n in (1, 2, 3) for g in _vocabulary(n)]
+    return CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True).transform(units)
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
-    """The model and its level. About ``sample`` paragraphs of the table, one of a document, are the unknown class.
 
-    Paragraphs with an anchor word are left out of that class, so a
-    statement cannot teach its own family as unknown; a third calibrates.
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, row, n_paragraphs, units, plain): anchored units, and the n-grams of each line without an anchor."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(
+        "id", "text", F.monotonically_increasing_id().alias("row"),
+        _anchored(F.col("text")).alias("anchored"), lines(F.col("text")).alias("lines"),
+    )
+    plain = F.when(F.col("anchored"), F.filter("lines", lambda u: ~_anchored(u))).otherwise(F.col("lines"))
+    rows = rows.select(
+        "id", "row", F.size("lines").cast("long").alias("n_paragraphs"),
+        F.when(F.col("anchored"), _units(F.col("text"))).alias("units"), _grams(plain).alias("plain"),
+    )
+    return written(rows, "licence-candidates")
+
+
+def _learned(rows: DataFrame) -> tuple[LogisticRegressionModel, float]:
+    held_out = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(6)), F.lit(3)) == 0
+    unknown = rows.select(held_out.alias("held_out"), F.explode("plain").alias("grams"))
+    unknown = written(unknown.groupBy("held_out", "grams").agg(F.count("*").alias("n")), "unknown-paragraphs")
+    total = unknown.where("not held_out").agg(F.sum("n")).first()[0] or 0
+    classes = [UNKNOWN, *TEMPLATES]
+    taught = rows.sparkSession.createDataFrame(
+        [(float(classes.index(name)), text) for name, text in _taught()], "label double, unit string"
+    ).coalesce(1).select("label", _grams(F.array("unit"))[0].alias("grams"), F.lit(1.0).alias("weight"))
+    taught = taught.union(unknown.where("not held_out").select(
+        F.lit(0.0), "grams", F.col("n") * F.lit(min(1.0, BALANCE / max(1, total)))
+    ))
+    regression = LogisticRegression(maxIter=40, regParam=2e-4, family="multinomial", weightCol="weight")
+    model = regression.fit(_featured(taught).select("label", "features", "weight"))
+    # Six digits above the least level: what the quantile keeps does not grow with the table.
+    chance = F.round(F.greatest(F.lit(0.5), F.col("chance")), 6)
+    scored = _predicted(unknown.where("held_out"), model)
+    level = scored.agg(F.percentile(chance, F.lit(1 - FALSE_RATE), F.col("n"))).first()[0]
+    return model, level or 0.5
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[LogisticRegressionModel, float]:
+    """The model and its level, from all paragraphs of the table; every paragraph counts alike.
+
+    Paragraphs with an anchor word are left out of the unknown class, so a
+    statement cannot teach its own family as unknown. Those of every third
+    document, by a hash of its id, calibrate: at most FALSE_RATE of them pass
+    the level, which is at least 0.5 and has six digits. The others train; together
+    they weigh as BALANCE statements, if they are more. No paragraphs: level 0.5.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    total = max(1, rows.count())
-    draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
-    drawn = rows.where(draw < 1.2 * sample / total).select("id", lines(F.col("text")).alias("units"))
-    place = F.pmod(F.xxhash64("id", F.lit(4)), F.greatest(F.size("units"), F.lit(1))).cast("int")
-    unknown = drawn.where("size(units) > 0").select(
-        F.pmod(F.xxhash64("id", F.lit(6)), F.lit(3)).alias("fold"),
-        F.get("units", place).alias("unit"),
-    ).where(~F.col("unit").rlike(ANCHORS))
-    unknown = written(unknown, "unknown-paragraphs")
-    taught = _templates(docs.sparkSession).union(unknown.where("fold > 0").select(F.lit(0.0), "unit"))
-    model = LogisticRegression(maxIter=40, regParam=2e-4, family="multinomial").fit(_featured(taught.coalesce(1)))
-    scored = _predicted(unknown.where("fold = 0").select("unit"), model)
-    level = scored.agg(F.percentile("chance", F.lit(1 - FALSE_RATE))).first()[0]
-    return model, max(0.5, level or 0.0)
+    return _learned(_read(docs, id_col, text_col))
 
 
 def _predicted(units: DataFrame, model: LogisticRegressionModel) -> DataFrame:
-    """Adds the likeliest family other than unknown and its chance."""
+    """Adds the likeliest family other than unknown and its chance, by the n-grams in ``grams``."""
     classes = F.array(*(F.lit(c) for c in [UNKNOWN, *TEMPLATES]))
     scored = model.transform(_featured(units)).withColumn("chances", vector_to_array("probability"))
     known = F.slice("chances", 2, len(TEMPLATES))
@@ -202,20 +270,25 @@ def _predicted(units: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     )
 
 
-def _confirmed(words: Column, family: Column) -> Column:
+def _confirmed(unit: Column, family: Column) -> Column:
     """The largest share of word triples of a template of the family that the paragraph holds."""
-    triples = _runs(words, 3)
-    out = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
-        shares = [
-            F.size(F.array_intersect(triples, t)) / F.greatest(F.size(F.array_distinct(t)), F.lit(1))
-            for t in (_runs(_words(F.lit(text)), 3) for text in texts)
-        ]
-        out = F.when(family == name, F.greatest(F.lit(0.0), *shares)).otherwise(out)
-    return out
-
-
-def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+
+    def share(triples: Column) -> Column:
+        out = F.lit(0.0)
+        for name, texts in TEMPLATES.items():
+            shares = [
+                F.size(F.array_intersect(triples, t)) / F.greatest(F.size(F.array_distinct(t)), F.lit(1))
+                for t in (_runs(_words(F.lit(text)), 3) for text in texts)
+            ]
+            out = F.when(family == name, F.greatest(F.lit(0.0), *shares)).otherwise(out)
+        return out
+
+    # The words are bound first: inside the lambda of the runs they would be found again for each of them.
+    triples = F.transform(F.array(_words(unit)), lambda words: _runs(words, 3))
+    return F.transform(triples, share)[0]
+
+
+def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, n_paragraphs, n_statements, family, families, score.
 
     A line is a statement of a family if the classifier prefers it above the
@@ -229,15 +302,11 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     without an anchor, which no template can confirm, are not scored. Rows
     that repeat are rows like others; other columns are not read.
     """
-    model, level = learn(docs, id_col, text_col, sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(
-        "id", F.monotonically_increasing_id().alias("row"),
-        F.size(lines(F.col("text"))).cast("long").alias("n_paragraphs"),
-        F.when(F.col("text").rlike(ANCHORS), _units(F.col("text"))).alias("units"),
-    )
-    rows = written(rows, "licence-candidates")
-    found = _predicted(rows.select("row", F.inline("units")), model)
-    found = found.where((F.col("chance") > level) & (_confirmed(F.col("words"), F.col("family")) >= CONFIRM))
+    rows = _read(docs, id_col, text_col)
+    model, level = _learned(rows)
+    found = rows.select("row", F.inline("units")).select("*", _grams(F.array("unit"))[0].alias("grams"))
+    found = _predicted(found, model)
+    found = found.where((F.col("chance") > level) & (_confirmed(F.col("unit"), F.col("family")) >= CONFIRM))
     one = F.struct("unit", "chance")
     held = found.groupBy("row", "block", "family").agg(
         F.collect_list(F.when(~F.col("wrapped"), one)).alias("single"),

@@ -129,6 +129,60 @@ def test_licences_of_odd_rows(spark, prose):
     assert all(re.search(licenses.ANCHORS, t) for texts in licenses.TEMPLATES.values() for t in texts)
 
 
+def test_licence_model_and_level_come_from_every_paragraph(spark, prose):
+    """All lines of 30 documents calibrate: 4 of 1,000 raise a level that 1 of them does not."""
+    ids = spark.range(90).select("id", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(6)), F.lit(3)).alias("fold")).collect()
+    held_out = [r.id for r in ids if r.fold == 0][:10]
+    odd = "GNU Lesser, GNU Affero General Public, version 3. See the file for details."
+    assert len(held_out) == 10 and not re.search(licenses.ANCHORS, odd)
+
+    def learnt(odd_lines, odd_taught=0):
+        rows, trained = [], 0
+        for r in ids:
+            if r.fold or r.id in held_out:
+                body = [prose(1000 * r.id + i, 8) for i in range(100)]
+                if r.id in held_out[:odd_lines]:
+                    body[7 * held_out.index(r.id) + 5] = odd
+                if r.fold:
+                    trained += 1
+                    body[:odd_taught] = [odd] * odd_taught
+                rows.append((r.id, "\n".join(body)))
+        model, level = licenses.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+        grams = licenses._grams(F.array("unit"))[0].alias("grams")
+        seen = licenses._predicted(spark.createDataFrame([(odd,)], "unit string").select(grams), model).first()
+        return seen.family, seen.chance, level
+
+    family, chance, level = learnt(4)
+    assert family == "AGPL-3.0" and level == pytest.approx(chance, abs=1e-6) and level > 0.5
+    assert learnt(1)[2] == 0.5
+    assert learnt(4, odd_taught=10)[1:] == (pytest.approx(0, abs=0.5), 0.5)
+
+
+@pytest.mark.parametrize("text", [
+    "", "the of THE of", "Released under the MIT License", "thé MIT—License, the  MIT\tLicense zebra under", "zebra", "terms of the zebra of the MIT License.",
+])
+def test_grams_are_those_of_the_taught_statements(spark, text):
+    known = {g for n in (1, 2, 3) for g in licenses._vocabulary(n)}
+    words = re.findall(r"[^\W_]+", text.lower())
+    want = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)} & known
+    row = spark.createDataFrame([(text,)], "t string").select(licenses._grams(F.array("t"))[0].alias("g")).first()
+    assert row.g == sorted(want)
+
+
+def test_anchors_hold_their_parts(spark):
+    """Each pattern has its part in all it matches, whatever the case; without the part it is not looked for."""
+    for part, pattern in licenses.ANCHOR_PARTS:
+        plain = re.sub(r"\(\?<?!\[a-z0-9\]\)", "", pattern).replace(r"[\W_]+", " ").replace("licen[sc]e", "licen(?:s|c)e")
+        forms = [""]
+        for piece in re.split(r"(\(\?:[^)]*\))", plain):
+            options = piece[3:-1].split("|") if piece.startswith("(?:") else [piece]
+            forms = [f + o for f in forms for o in options]
+        forms = [x for f in forms for x in f.split("|")]
+        assert all(part in f and re.search(pattern, f) for f in forms), (part, forms)
+        rows = spark.createDataFrame([(f.upper(),) for f in forms], "t string")
+        assert all(r[0] for r in rows.select(licenses._anchored(F.col("t"))).collect())
+
+
 NOTICES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
