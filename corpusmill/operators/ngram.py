@@ -26,16 +26,33 @@ def bigram_counts(df: DataFrame) -> DataFrame:
     return pairs.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _grams(df: DataFrame, order: int, padded: bool = False) -> DataFrame:
+    """``(gram)`` per place: ``order`` neighbouring tokens, joined by spaces (no token holds one).
+
+    ``padded`` has a gram for the first ``order - 1`` tokens of a row too, with
+    empty tokens in front, so it starts with a space.
+    """
+    tokens = pre_tokens(F.col("content"))
+    if padded:
+        tokens = F.concat(F.array_repeat(F.lit(""), order - 1), tokens)
+    tokens = evaluate_once(df.select(tokens.alias("tokens")), "tokens")
+    n = F.greatest(F.size("tokens") - (order - 1), F.lit(0))
+    places = F.arrays_zip(*(F.slice("tokens", i + 1, n).alias(f"w{i}") for i in range(order)))
+    return tokens.select(F.inline(places)).select(F.concat_ws(" ", *(f"w{i}" for i in range(order))).alias("gram"))
+
+
+def _context(gram: Column, order: int) -> Column:
+    return F.substring_index(gram, " ", order - 1)
+
+
+def _next(gram: Column) -> Column:
+    return F.substring_index(gram, " ", -1)
+
+
 def ngram_counts(df: DataFrame, order: int = 2) -> DataFrame:
     """``(context, next, n)`` with contexts of ``order - 1`` tokens, joined by spaces."""
-    tokens = evaluate_once(df.select(pre_tokens(F.col("content")).alias("tokens")), "tokens")
-    places = F.sequence(F.lit(1), F.size("tokens") - order + 1)
-    rows = F.transform(places, lambda i: F.struct(
-        F.array_join(F.slice("tokens", i, F.lit(order - 1)), " ").alias("context"),
-        F.element_at("tokens", i + order - 1).alias("next"),
-    ))
-    found = tokens.where(F.size("tokens") >= order).select(F.inline(rows))
-    return found.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+    found = _grams(df, order).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return found.select(_context(F.col("gram"), order).alias("context"), _next(F.col("gram")).alias("next"), "n")
 
 
 def unigram_counts(df: DataFrame) -> DataFrame:
@@ -165,27 +182,36 @@ def score(
     )
 
 
-def _shorter(context: Column) -> Column:
-    """A context without its first token; without the last one it is empty."""
-    return F.regexp_replace(context, r"^[^ ]* ?", "")
-
-
-def _order_counts(train: DataFrame, order: int) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """By order what the discount works on: ``(context, next, n)`` and per context ``(context, total, types)``.
+def _order_counts(train: DataFrame, order: int, test: DataFrame | None = None) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """By order what the discount works on: ``(gram, n, wanted, trained)`` and per context ``(context, total, types)``.
 
     The highest order counts occurrences, a lower one continuations: in how
-    many different longer contexts a token follows. Each table is made and
-    written once; what follows reads it instead of counting again.
+    many different longer contexts a token follows. Training is cut into tokens
+    once: a lower order takes the different n-grams of the one above without
+    their first token. For those at the start of a row the highest order has
+    padded ones; they are ``trained``, but continue nothing. With a test part,
+    its n-grams are among the rows (``n`` 0 if training has none), they and
+    their ends are ``wanted``, and only contexts of wanted ones are kept. Each
+    table is written once; what follows reads it instead of counting again.
     """
+    gram = F.col("gram")
+    rows = _grams(train, order, padded=True).select("gram", F.lit(1).alias("one"), F.lit(test is None).alias("wanted"))
+    if test is not None:
+        rows = rows.unionByName(_grams(test, order).select("gram", F.lit(0).alias("one"), F.lit(True).alias("wanted")))
+    level = rows.groupBy("gram").agg(F.sum("one").alias("n"), F.max("wanted").alias("wanted"))
+    level = level.withColumn("trained", F.col("n") > 0)
     tables = {}
-    counts = ngram_counts(train, order) if order > 1 else unigram_counts(train).withColumn("context", F.lit(""))
     for k in range(order, 0, -1):
-        counts = stored(counts.select("context", "next", "n"), f"counts-{k}")
-        totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-        tables[k] = counts, stored(totals, f"totals-{k}")
-        if k > 1:  # the different n-grams of this order are the continuations of the next lower one
-            grams = (counts if k == order else ngram_counts(train, k)).select(_shorter(F.col("context")).alias("context"), "next")
-            counts = grams.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+        level = stored(level, f"grams-{k}")
+        whole = level.where(~gram.startswith(" "))
+        totals = whole.groupBy(_context(gram, k).alias("context")).agg(
+            F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("types"), F.max("wanted").alias("wanted")
+        ).where("wanted and total > 0").select("context", "total", "types")
+        tables[k] = whole, stored(totals, f"totals-{k}")
+        level = level.groupBy(F.substring_index("gram", " ", 1 - k).alias("gram")).agg(
+            F.count_if(F.col("trained") & ~gram.startswith(" ")).alias("n"),
+            F.max("wanted").alias("wanted"), F.max("trained").alias("trained"),
+        )
     return tables
 
 
@@ -196,7 +222,8 @@ def back_off_model(train: DataFrame, order: int, discount: float = DISCOUNT) ->
     what it takes away from all of them, for the next lower order to give out.
     """
     model = {}
-    for k, (counts, totals) in _order_counts(train, order).items():
+    for k, (grams, totals) in _order_counts(train, order).items():
+        counts = grams.where("n > 0").select(_context(F.col("gram"), k).alias("context"), _next(F.col("gram")).alias("next"), "n")
         shares = counts.join(totals, "context").select(
             "context", "next", ((F.col("n") - discount) / F.col("total")).alias("share")
         )
@@ -210,29 +237,29 @@ def score_back_off(test: DataFrame, train: DataFrame, order: int = 3, discount:
     A context that training has not seen leaves everything to the next lower
     order; below the single tokens, all tokens of training and one unknown
     token are equally likely. The probabilities of a context add up to 1.
-    Totals of contexts meet the test rows, not the counts of training, which
-    are moved once per order.
+    Orders are put together from the lowest upwards, each for the wanted
+    n-grams alone: tables of training are aggregated, but never joined whole.
     """
-    tables = _order_counts(train, order)
-    size = unigram_counts(train).agg(F.count(F.lit(1)).alias("size")).scalar()
-    grams = ngram_counts(test, order) if order > 1 else unigram_counts(test).withColumn("context", F.lit(""))
-    rows = grams.withColumnRenamed("n", "test_n").withColumns(
-        {"key": F.col("context"), "p_true": F.lit(0.0), "left": F.lit(1.0)}
-    )
-    share = F.coalesce((F.col("n") - discount) / F.col("total"), F.lit(0.0))
+    tables = _order_counts(train, order, test)
+    share = F.when(F.col("n") > 0, (F.col("n") - discount) / F.col("total")).otherwise(0.0)
     weight = F.coalesce(discount * F.col("types") / F.col("total"), F.lit(1.0))
-    for k in range(order, 1, -1):
-        counts, totals = (table.withColumnRenamed("context", "key") for table in tables[k])
-        rows = rows.join(counts, ["key", "next"], "left").join(totals, "key", "left").select(
-            "context", "next", "test_n", _shorter(F.col("key")).alias("key"),
-            (F.col("p_true") + F.col("left") * share).alias("p_true"), (F.col("left") * weight).alias("left"),
-        )
-    counts, totals = tables[1]  # one context: two numbers instead of a join
+    grams, totals = tables[1]  # one context: three numbers instead of a join
+    size = grams.agg(F.count_if("trained").alias("size")).scalar()
     whole = totals.select(F.struct("total", "types")).scalar()
-    rows = rows.join(counts.select("next", "n"), "next", "left").withColumns({"total": whole["total"], "types": whole["types"]})
-    return rows.select(
-        "context", "next", "test_n", (F.col("p_true") + F.col("left") * (share + weight / (size + 1))).alias("p_true")
-    )
+    words = unigram_counts(test).select(F.col("next").alias("gram"))
+    scored = words.join(grams.select("gram", "n"), "gram", "left").withColumns(
+        {"total": whole["total"], "types": whole["types"]}
+    ).select("gram", (share + weight / (size + 1)).alias("p_true"))
+    for k in range(2, order + 1):
+        grams, totals = tables[k]
+        rows = grams.where("wanted").select(
+            "gram", "n", _context(F.col("gram"), k).alias("context"), F.substring_index("gram", " ", 1 - k).alias("end")
+        )
+        scored = rows.join(totals, "context", "left").join(scored.withColumnRenamed("gram", "end"), "end").select(
+            "gram", (share + weight * F.col("p_true")).alias("p_true")
+        )
+    found = _grams(test, order).groupBy("gram").agg(F.count(F.lit(1)).alias("test_n")).join(scored, "gram")
+    return found.select(_context(F.col("gram"), order).alias("context"), _next(F.col("gram")).alias("next"), "test_n", "p_true")
 
 
 def score_summary(scored: DataFrame, k: int = 5) -> DataFrame:

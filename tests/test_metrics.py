@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -172,6 +174,33 @@ def test_back_off_by_hand(corpus_of):
     assert row["p_true"] == pytest.approx((2 - 0.75) / 3 + 0.75 * 2 / 3 * one)
 
 
+def test_back_off_counts_the_starts_of_rows(corpus_of):
+    """Order 3 by brute force: rows of one and two tokens, and starts that nothing precedes, count in the lower orders."""
+    train = ["a b c a b", "b c", "d", "a b c", "e b c a", "", None, "c, a b", "f f f f"]
+    test = ["a b c a b c", "d e b c", "x b c f f f", "b c", "f f, a x y z", None]
+    cut = [re.findall(r"\w+|[^\w\s]+", text or "") for text in train]
+    grams = {k: [tuple(w[i : i + k]) for w in cut for i in range(len(w) - k + 1)] for k in (1, 2, 3)}
+    counts = {3: Counter(grams[3]), 2: Counter(g[1:] for g in set(grams[3])), 1: Counter(g[1:] for g in set(grams[2]))}
+
+    def chance(gram):
+        if not gram:
+            return 1 / (len(set(grams[1])) + 1)
+        held = counts[len(gram)]
+        same = [n for g, n in held.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return chance(gram[1:])
+        return (max(held[gram] - 0.75, 0) + 0.75 * len(same) * chance(gram[1:])) / sum(same)
+
+    wanted = Counter(tuple(w[i : i + 3]) for text in test for w in [re.findall(r"\w+|[^\w\s]+", text or "")] for i in range(len(w) - 2))
+    made = lambda texts: corpus_of({str(i): text for i, text in enumerate(texts)})
+    found = {(*r["context"].split(" "), r["next"]): r for r in G.score_back_off(made(test), made(train), 3).collect()}
+    assert {g: r["test_n"] for g, r in found.items()} == wanted
+    assert all(r["p_true"] == pytest.approx(chance(g)) for g, r in found.items())
+    shares, weights = G.back_off_model(made(train), 3)[2]
+    assert {(r["context"], r["next"]) for r in shares.collect()} == set(counts[2])
+    assert {r["context"] for r in weights.collect()} == {g[0] for g in counts[2]}
+
+
 def test_smoothing_does_not_join_a_run_in_one_task(spark):
     steps = spark.range(1, 40001).selectExpr("'hot' AS run", "id AS epoch", "double(id % 7) AS loss")
     plan = L.smoothed_losses(steps)._jdf.queryExecution().executedPlan().toString()

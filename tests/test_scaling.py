@@ -56,6 +56,21 @@ def test_training_is_counted_once_for_scores(corpus_of):
     assert plan.count("regexp_extract_all(") == 2  # the test part, and how many tokens there are
 
 
+def test_training_is_cut_into_tokens_once_for_scores(spark, corpus_of):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    train = corpus_of({"a": "x y z x y", "b": "x y w", "c": "x y", "d": "v"})
+    heard = train.withColumn("content", told("content"))
+    found = ngram.score_back_off(corpus_of({"t": "x y w"}), heard, 3).collect()
+    assert read.value == 4  # every row once, for all orders and the number of tokens
+    assert found == ngram.score_back_off(corpus_of({"t": "x y w"}), train, 3).collect()
+
+
 def test_counts_are_read_once_for_predictions(corpus_of):
     docs = corpus_of({"a": "x y z x y", "b": "x y w"})
     contexts = ngram.ngram_counts(docs, 3).select("context")
