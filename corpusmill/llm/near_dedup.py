@@ -302,13 +302,15 @@ def _outside_lists(clouds: DataFrame, percent: int) -> DataFrame:
     """Lists (as in ``_prefixes``) of what nodes of one leader share outside of it, rarest first.
 
     The smaller a partner can be, the less the pair must have in common: it is
-    no smaller than the leader's ``least`` (a column), nor than linked sizes
-    allow. So the intersection has ``need`` values more than the leader's part
+    no smaller than the leader's ``least`` (a column that may be left out), nor
+    than linked sizes allow. So the intersection has ``need`` values more than the leader's part
     of it, at least, and the pair meets ``twice`` times among all
     but ``need - twice`` of each node's values in the order of hashes, and
     once among all but ``twice - 1`` of these by rarity.
     """
-    partner = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("least"))
+    partner = F.ceil(F.col("n") * percent / 100)
+    if "least" in clouds.columns:
+        partner = F.greatest(partner, F.col("least"))
     inter = F.ceil((F.col("n") + partner) * percent / (100 + percent))
     need = F.greatest(F.lit(1), inter - F.col("met")).cast("int")
     rows = clouds.select(
