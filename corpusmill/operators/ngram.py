@@ -208,10 +208,11 @@ def _order_counts(train: DataFrame, order: int, test: DataFrame | None = None) -
             F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("types"), F.max("wanted").alias("wanted")
         ).where("wanted and total > 0").select("context", "total", "types")
         tables[k] = whole, stored(totals, f"totals-{k}")
-        level = level.groupBy(F.substring_index("gram", " ", 1 - k).alias("gram")).agg(
-            F.count_if(F.col("trained") & ~gram.startswith(" ")).alias("n"),
-            F.max("wanted").alias("wanted"), F.max("trained").alias("trained"),
-        )
+        if k > 1:
+            level = level.groupBy(F.substring_index("gram", " ", 1 - k).alias("gram")).agg(
+                F.count_if(F.col("trained") & ~gram.startswith(" ")).alias("n"),
+                F.max("wanted").alias("wanted"), F.max("trained").alias("trained"),
+            )
     return tables
 
 
